@@ -23,7 +23,7 @@ def counts_by_status(df: DataFrame, column: str) -> DataFrame:
     return (
         df.groupBy(F.col(column).alias("category"))
         .pivot("status", ["healthy", "diseased"])
-        .agg(F.count("*"))
+        .agg(F.count(F.lit(1)))
         .na.fill(0, ["healthy", "diseased"])
     )
 

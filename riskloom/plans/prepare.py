@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskloom.operators.folds import fold_of
 from riskloom.functions.rowindex import with_row_index
+from riskloom.operators.folds import fold_of
 from riskloom.operators.survival import label_horizons, labelled_expression, parse_survival
-from riskloom.sources.cohort_files import Cohort, write_task
+from riskloom.runtime import cut
+from riskloom.sources.cohort_files import Cohort, read_task, write_task
 
 
 def task_labels(clinical: DataFrame, cohort: str, horizons: Sequence[int | None], text: str = "os") -> DataFrame:
@@ -30,8 +31,15 @@ def class_balance(labels: DataFrame, n_splits: int) -> DataFrame:
 
 def prepare_task(cohort: Cohort, name: str, horizons: Sequence[int | None], path: str, text: str = "os") -> None:
     """Label the cohort and store its X (long) and Y by cohort and horizon."""
-    labels = task_labels(cohort.clinical, name, horizons, text)
+    labels = cut(task_labels(cohort.clinical, name, horizons, text), "labels")
     write_task(labels, f"{path}/Y")
-    wanted = labels.select("cohort", "horizon", "sample_id", "y")
-    rows = labelled_expression(cohort.expr, wanted.select("sample_id", "y").dropDuplicates(["sample_id"]))
-    write_task(rows.drop("y").withColumn("cohort", F.lit(name)).withColumn("horizon", F.lit(None).cast("int")), f"{path}/X")
+    # the measurements are stored once; a horizon's rows follow from its labels
+    labelled = labels.select("sample_id").distinct()
+    rows = cohort.expr.join(labelled, "sample_id", "left_semi").withColumn("cohort", F.lit(name))
+    rows.write.mode("append").partitionBy("cohort").parquet(f"{path}/X")
+
+
+def load_task(spark: SparkSession, path: str, cohort: str, horizon: int | None) -> DataFrame:
+    """Measurement rows with the label of one cohort and horizon."""
+    expr = spark.read.parquet(f"{path}/X").where(F.col("cohort") == cohort).drop("cohort")
+    return labelled_expression(expr, read_task(spark, f"{path}/Y", cohort, horizon))
