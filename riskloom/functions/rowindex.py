@@ -18,7 +18,7 @@ _ROW_BITS = (1 << 33) - 1  # low bits of monotonically_increasing_id: position i
 
 
 def _placed(df: DataFrame, groups: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Rows sorted over range partitions, with range number ``_part`` and place ``_pos``.
+    """Rows sorted over range partitions, with range number ``_ri_part`` and place ``_ri_pos``.
 
     ``order`` must be total (end with an id): ties then never share one range whole.
     The result is written, since a second evaluation could draw other range bounds.
@@ -26,27 +26,27 @@ def _placed(df: DataFrame, groups: Sequence[str], order: Sequence[Column]) -> Da
     keys = [F.col(g) for g in groups] + list(order)
     spread = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     return cut(
-        spread.withColumn("_part", F.spark_partition_id()).withColumn(
-            "_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS))
+        spread.withColumn("_ri_part", F.spark_partition_id()).withColumn(
+            "_ri_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS))
         ),
         "ranges",
     )
 
 
 def _shift(sizes: DataFrame, groups: Sequence[str], by: str, amount: str) -> DataFrame:
-    """Add ``_before`` (sum of ``amount`` in earlier ranges) and ``_all`` (sum over the group)."""
+    """Add ``_ri_before`` (sum of ``amount`` in earlier ranges) and ``_ri_all`` (sum over the group)."""
     group = Window.partitionBy(*groups)
     earlier = group.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.withColumn("_before", F.coalesce(F.sum(amount).over(earlier), F.lit(0))).withColumn(
-        "_all", F.sum(amount).over(group)
+    return sizes.withColumn("_ri_before", F.coalesce(F.sum(amount).over(earlier), F.lit(0))).withColumn(
+        "_ri_all", F.sum(amount).over(group)
     )
 
 
 def _rejoin(rows: DataFrame, shifts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join on ``keys`` that also matches null group values."""
-    renamed = shifts.select(*[F.col(k).alias(f"_k_{k}") if k in keys else F.col(k) for k in shifts.columns])
-    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    return rows.join(renamed, on).drop(*[f"_k_{k}" for k in keys])
+    renamed = shifts.select(*[F.col(k).alias(f"_ri_k_{k}") if k in keys else F.col(k) for k in shifts.columns])
+    on = [F.col(k).eqNullSafe(F.col(f"_ri_k_{k}")) for k in keys]
+    return rows.join(renamed, on).drop(*[f"_ri_k_{k}" for k in keys])
 
 
 def with_row_index(
@@ -62,13 +62,13 @@ def with_row_index(
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     rows = _placed(df, groups, order)
-    sizes = rows.groupBy("_part", *groups).agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
-    shifts = _shift(sizes, groups, "_part", "_n")
-    out = _rejoin(rows, shifts.drop("_n"), ["_part", *groups])
-    out = out.withColumn(name, F.col("_pos") - F.col("_first") + F.col("_before"))
+    sizes = rows.groupBy("_ri_part", *groups).agg(F.min("_ri_pos").alias("_ri_first"), F.count("*").alias("_ri_n"))
+    shifts = _shift(sizes, groups, "_ri_part", "_ri_n")
+    out = _rejoin(rows, shifts.drop("_ri_n"), ["_ri_part", *groups])
+    out = out.withColumn(name, F.col("_ri_pos") - F.col("_ri_first") + F.col("_ri_before"))
     if count:
-        out = out.withColumn(count, F.col("_all"))
-    return out.drop("_part", "_pos", "_first", "_before", "_all")
+        out = out.withColumn(count, F.col("_ri_all"))
+    return out.drop("_ri_part", "_ri_pos", "_ri_first", "_ri_before", "_ri_all")
 
 
 def with_running_sum(
@@ -82,15 +82,15 @@ def with_running_sum(
     """Sum of ``value`` over this row and all rows before it in its group."""
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     rows = _placed(df, groups, order)
-    sizes = rows.groupBy("_part", *groups).agg(F.sum(value).alias("_sum"))
-    shifts = _shift(sizes, groups, "_part", "_sum")
-    inside = Window.partitionBy("_part", *groups).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_inside", F.sum(value).over(inside))
-    out = _rejoin(rows, shifts.drop("_sum"), ["_part", *groups])
-    out = out.withColumn(name, F.col("_inside") + F.col("_before"))
+    sizes = rows.groupBy("_ri_part", *groups).agg(F.sum(value).alias("_ri_sum"))
+    shifts = _shift(sizes, groups, "_ri_part", "_ri_sum")
+    inside = Window.partitionBy("_ri_part", *groups).orderBy("_ri_pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_ri_inside", F.sum(value).over(inside))
+    out = _rejoin(rows, shifts.drop("_ri_sum"), ["_ri_part", *groups])
+    out = out.withColumn(name, F.col("_ri_inside") + F.col("_ri_before"))
     if total:
-        out = out.withColumn(total, F.col("_all"))
-    return out.drop("_part", "_pos", "_inside", "_before", "_all")
+        out = out.withColumn(total, F.col("_ri_all"))
+    return out.drop("_ri_part", "_ri_pos", "_ri_inside", "_ri_before", "_ri_all")
 
 
 def shuffle_key(seed: int, repeat: str | Column, ident: str | Column) -> Column:
@@ -115,16 +115,16 @@ def with_shuffled_index(
     to be sampled or written: one shuffle on (repeat, group, bucket).
     """
     parts = [repeat, *groups]
-    rows = df.withColumn("_key", shuffle_key(seed, repeat, ident)).withColumn("_bucket", F.substring("_key", 1, 3))
-    sizes = rows.groupBy(*parts, "_bucket").agg(F.count("*").alias("_n"))
-    shifts = _shift(sizes, parts, "_bucket", "_n").drop("_n")
-    inside = Window.partitionBy(*parts, "_bucket").orderBy("_key", ident)
-    rows = rows.withColumn("_pos", F.row_number().over(inside) - 1)
-    out = _rejoin(rows, shifts, [*parts, "_bucket"])
-    out = out.withColumn(name, F.col("_pos") + F.col("_before"))
+    rows = df.withColumn("_ri_key", shuffle_key(seed, repeat, ident)).withColumn("_ri_bucket", F.substring("_ri_key", 1, 3))
+    sizes = rows.groupBy(*parts, "_ri_bucket").agg(F.count("*").alias("_ri_n"))
+    shifts = _shift(sizes, parts, "_ri_bucket", "_ri_n").drop("_ri_n")
+    inside = Window.partitionBy(*parts, "_ri_bucket").orderBy("_ri_key", ident)
+    rows = rows.withColumn("_ri_pos", F.row_number().over(inside) - 1)
+    out = _rejoin(rows, shifts, [*parts, "_ri_bucket"])
+    out = out.withColumn(name, F.col("_ri_pos") + F.col("_ri_before"))
     if count:
-        out = out.withColumn(count, F.col("_all"))
-    return out.drop("_key", "_bucket", "_pos", "_before", "_all")
+        out = out.withColumn(count, F.col("_ri_all"))
+    return out.drop("_ri_key", "_ri_bucket", "_ri_pos", "_ri_before", "_ri_all")
 
 
 def order_statistics(df: DataFrame, groups: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:

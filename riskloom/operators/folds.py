@@ -422,6 +422,49 @@ def with_train_side(test_side: DataFrame, split_ids: Sequence[int]) -> DataFrame
     return rows.select(ID, "split_id", (~F.array_contains(F.col("_own").cast("array<long>"), F.col("split_id"))).alias("is_train"))
 
 
+def attach_splits(rows: DataFrame, test_side: DataFrame) -> DataFrame:
+    """Rows with ``test_in``, the splits that test them; every other split trains on them.
+
+    Each row is kept once, however many splits there are.
+    """
+    own = test_side.groupBy(ID).agg(F.collect_set(F.col("split_id").cast("int")).alias("test_in"))
+    nothing = F.lit(None).cast("array<int>")
+    return rows.join(own, ID, "left").withColumn("train_in", nothing)
+
+
+def attach_sides(rows: DataFrame, folds: DataFrame) -> DataFrame:
+    """Rows with ``test_in`` and ``train_in`` from a long assignment that may leave rows out."""
+    split = F.col("split_id").cast("int")
+    own = folds.groupBy(ID).agg(
+        F.collect_set(F.when(~F.col("is_train"), split)).alias("test_in"),
+        F.collect_set(F.when(F.col("is_train"), split)).alias("train_in"),
+    )
+    return rows.join(own, ID)
+
+
+def is_train_in(split_id: int | Column) -> Column:
+    """True on the train side of a split, false on its test side, null when unused."""
+    tested = F.coalesce(F.array_contains("test_in", split_id), F.lit(False))
+    trains = F.col("train_in").isNull() | F.array_contains("train_in", split_id)
+    return F.when(tested, False).when(trains, True)
+
+
+def sides(rows: DataFrame, split_id: int) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows of one split, without the split columns."""
+    plain = rows.withColumn("_side", is_train_in(split_id)).drop("test_in", "train_in")
+    return plain.where("_side").drop("_side"), plain.where("not _side").drop("_side")
+
+
+def side_sizes(rows: DataFrame, split_ids: Sequence[int]) -> dict[int, tuple[int, int]]:
+    """(train, test) row counts of every split in one pass."""
+    cells = []
+    for s in split_ids:
+        side = is_train_in(s)
+        cells += [F.sum(side.cast("long")).alias(f"a{s}"), F.sum((~side).cast("long")).alias(f"b{s}")]
+    row = rows.agg(*cells).first()
+    return {s: (row[f"a{s}"] or 0, row[f"b{s}"] or 0) for s in split_ids}
+
+
 def store_folds(folds: DataFrame, path: str, fold_key: str) -> None:
     """Write an assignment under its configuration key."""
     folds.withColumn("fold_key", F.lit(fold_key)).write.mode("append").partitionBy("fold_key").parquet(path)

@@ -65,11 +65,11 @@ def roc_auc(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
     ranges, so the table is never sorted in one task.
     """
     counts = df.groupBy(*by, F.col(p).alias("_p")).agg(
-        F.sum((F.col(y) == 1).cast("long")).alias("_pos"), F.sum((F.col(y) != 1).cast("long")).alias("_neg")
+        F.sum((F.col(y) == 1).cast("long")).alias("_hits"), F.sum((F.col(y) != 1).cast("long")).alias("_misses")
     )
-    ranked = with_running_sum(counts, ["_p"], "_neg", by, "_below")
-    wins = F.sum(F.col("_pos") * (F.col("_below") - F.col("_neg") / 2))
-    pairs = F.sum("_pos") * F.sum("_neg")
+    ranked = with_running_sum(counts, ["_p"], "_misses", by, "_below")
+    wins = F.sum(F.col("_hits") * (F.col("_below") - F.col("_misses") / 2))
+    pairs = F.sum("_hits") * F.sum("_misses")
     return ranked.groupBy(*by).agg(F.when(pairs > 0, wins / pairs).alias("auc"))
 
 

@@ -61,6 +61,21 @@ def with_constant(rows: DataFrame) -> DataFrame:
     return rows.withColumn("features", array_to_vector(longer))
 
 
+def mirrored(rows: DataFrame) -> DataFrame:
+    """Rows with the constant feature, every second one (by hash) turned around.
+
+    Turning ``(x, 1, y)`` into ``(-x, -1, 1-y)`` leaves a row's log loss as it is.  It is
+    needed because ``pyspark.ml`` gives a feature that never varies the weight 0.
+    """
+    turned = F.pmod(F.xxhash64("sample_id"), F.lit(2)) == 1
+    longer = F.concat(vector_to_array("features"), F.array(F.lit(1.0)))
+    return rows.select(
+        "sample_id",
+        array_to_vector(F.when(turned, F.transform(longer, lambda v: -v)).otherwise(longer)).alias("features"),
+        F.when(turned, 1.0 - F.col("label")).otherwise(F.col("label")).alias("label"),
+    )
+
+
 # -- M1..M3 -----------------------------------------------------------------------------
 
 
@@ -95,7 +110,7 @@ class LogisticSpec(Spec):
             tol=self.tol,
             family="binomial",
         )
-        model = solver.fit(with_constant(rows) if own_constant else rows)
+        model = solver.fit(mirrored(rows) if own_constant else rows)
         weights, intercept = model.coefficients.toArray(), model.intercept
         if own_constant:
             weights, intercept = weights[:-1], float(weights[-1])

@@ -1,8 +1,8 @@
 """Parameter search and validation curves.
 
-Rows of a search are ``(sample_id, features, label, split_id, is_train)``.  The driver only
-loops over candidates and splits; every fit and every score is a Spark job on the rows of
-its split, and a small thread pool keeps several of them going.
+Rows of a search are ``(sample_id, features, label, test_in, train_in)``: each row once, with
+the splits it belongs to.  The driver only loops over candidates and splits; every fit and
+every score is a Spark job, and a small thread pool keeps several of them going.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskloom.functions.rowindex import shuffle_key, with_row_index, with_running_sum, with_shuffled_index
 from riskloom.operators import metrics as M
+from riskloom.operators.folds import attach_sides, is_train_in, side_sizes, sides
 from riskloom.runtime import cut
 
 DEFAULT_METRICS: dict[str, M.Metric] = {"neg_log_loss": M.negative_log_loss}
@@ -72,15 +73,20 @@ def random_candidates(candidates: DataFrame, n: int, seed: int) -> DataFrame:
 # -- G2, G5, G6 -------------------------------------------------------------------------
 
 
-def _scores(fitted, rows: DataFrame, metrics: Mapping[str, M.Metric]) -> tuple[int, dict[str, float]]:
-    """Row count and every metric of a fitted model in one pass over the rows."""
-    scored = fitted.transform(rows)
+def scores_of(fitted, rows: DataFrame, metrics: Mapping[str, M.Metric], side: Column | None = None) -> dict:
+    """Every metric of a fitted model in one pass: ``{side: {metric: value}}``.
+
+    ``side`` splits the rows, for instance into train and test; without it there is one
+    entry, under None.
+    """
+    marked = rows.withColumn("_side", F.lit(None).cast("boolean") if side is None else side)
+    scored = fitted.transform(marked)
     cells = []
     for name, metric in metrics.items():
         by_class = metric in M.CLASS_METRICS.values() or "p1" not in scored.columns
         cells.append(metric(F.col("label"), F.col("prediction" if by_class else "p1")).alias(name))
-    row = scored.agg(F.count("*").alias("_n"), *cells).first()
-    return row["_n"], {name: row[name] for name in metrics}
+    found = scored.groupBy("_side").agg(*cells).collect()  # one row per side
+    return {r["_side"]: {name: r[name] for name in metrics} for r in found}
 
 
 def fit_and_score(
@@ -91,7 +97,7 @@ def fit_and_score(
     metrics: Mapping[str, M.Metric] | None = None,
     train_scores: bool = False,
     error_score: float | None = None,
-    parallelism: int = 4,
+    parallelism: int = 8,
     keep_models: dict | None = None,
 ) -> DataFrame:
     """Fit every candidate on every split and score it on the split's test rows.
@@ -100,40 +106,40 @@ def fit_and_score(
     """
     metrics = metrics or DEFAULT_METRICS
     spark = rows.sparkSession
-    log: list[tuple] = []
-    for split in split_ids:
-        part = rows.where(F.col("split_id") == split)
-        train = part.where("is_train").drop("split_id", "is_train").persist(StorageLevel.MEMORY_AND_DISK)
-        test = part.where("not is_train").drop("split_id", "is_train").persist(StorageLevel.MEMORY_AND_DISK)
-        n_train, n_test = train.count(), test.count()
-
-        def one(item: tuple[int, dict]) -> list[tuple]:
-            number, params = item
-            began = time.monotonic()
-            try:
-                fitted = spec.with_params(**params).fit(train, n_train)
-                fit_s = time.monotonic() - began
-                _, on_test = _scores(fitted, test, metrics)
-                on_train = _scores(fitted, train, metrics)[1] if train_scores else dict.fromkeys(metrics)
-                if keep_models is not None:
-                    keep_models[number, split] = fitted
-            except Exception:
-                if error_score is None:
-                    raise
-                fit_s = time.monotonic() - began
-                on_test = dict.fromkeys(metrics, float(error_score))
-                on_train = dict.fromkeys(metrics, float(error_score) if train_scores else None)
-            score_s = time.monotonic() - began - fit_s
-            shown = {k: str(v) for k, v in params.items()}
-            return [
-                (number, shown, split, n_test, m, on_test[m], on_train[m], fit_s, score_s) for m in metrics
-            ]
-
-        with ThreadPool(max(1, min(parallelism, len(candidates)))) as pool:
-            for lines in pool.map(inheritable_thread_target(spark)(one), list(enumerate(candidates))):
-                log += lines
-        train.unpersist()
-        test.unpersist()
+    split_ids = [int(s) for s in split_ids]
+    kept = rows.persist(StorageLevel.MEMORY_AND_DISK)  # each row once, whatever the number of splits
+    sizes = side_sizes(kept, split_ids)
+
+    def one(job: tuple[int, tuple[int, dict]]) -> list[tuple]:
+        split, (number, params) = job
+        n_train, n_test = sizes[split]
+        began = time.monotonic()
+        try:
+            train, test = sides(kept, split)
+            fitted = spec.with_params(**params).fit(train, n_train)
+            fit_s = time.monotonic() - began
+            if train_scores:
+                side = is_train_in(split)
+                found = scores_of(fitted, kept.where(side.isNotNull()), metrics, side)
+                on_test, on_train = found[False], found[True]
+            else:
+                on_test, on_train = scores_of(fitted, test, metrics)[None], dict.fromkeys(metrics)
+            if keep_models is not None:
+                keep_models[number, split] = fitted
+        except Exception:
+            if error_score is None:
+                raise
+            fit_s = time.monotonic() - began
+            on_test = dict.fromkeys(metrics, float(error_score))
+            on_train = dict.fromkeys(metrics, float(error_score) if train_scores else None)
+        score_s = time.monotonic() - began - fit_s
+        shown = {k: str(v) for k, v in params.items()}
+        return [(number, shown, split, n_test, m, on_test[m], on_train[m], fit_s, score_s) for m in metrics]
+
+    jobs = list(product(split_ids, enumerate(candidates)))
+    with ThreadPool(max(1, min(parallelism, len(jobs)))) as pool:
+        log = [line for lines in pool.map(inheritable_thread_target(spark)(one), jobs, chunksize=1) for line in lines]
+    kept.unpersist()
     return spark.createDataFrame(log, LOG_SCHEMA)
 
 
@@ -200,7 +206,7 @@ def best_candidate(summary: DataFrame) -> DataFrame:
 class GridSearch:
     """Search a grid on given splits, then fit the best candidate on all rows."""
 
-    def __init__(self, spec, grids, metrics=None, refit=None, iid=True, error_score=None, parallelism=4):
+    def __init__(self, spec, grids, metrics=None, refit=None, iid=True, error_score=None, parallelism=8):
         self.spec, self.grids, self.iid = spec, grids, iid
         self.metrics = metrics or DEFAULT_METRICS
         self.refit = check_refit(self.metrics, refit)
@@ -342,15 +348,15 @@ def check_partition(test_side: DataFrame, samples: DataFrame) -> DataFrame:
 
 def cross_val_predict(spec, rows: DataFrame, split_ids: Sequence[int]) -> DataFrame:
     """Out-of-fold class, probability, log probability and decision value of every sample."""
-    wanted = rows.where(F.col("split_id").isin(list(split_ids)))
-    samples = rows.select("sample_id").distinct()
-    if not check_partition(wanted.where("not is_train").select("sample_id"), samples).first()["exact"]:
+    split_ids = [int(s) for s in split_ids]
+    listed = F.array(*[F.lit(s) for s in split_ids])
+    tests = F.size(F.array_intersect("test_in", listed))
+    if rows.where(F.col("test_in").isNull() | (tests != 1)).limit(1).count():
         raise ValueError("every sample has to be tested exactly once")
     parts = []
     for split in split_ids:
-        part = rows.where(F.col("split_id") == split)
-        fitted = spec.fit(part.where("is_train").drop("split_id", "is_train"))
-        parts.append(predictions_of(fitted, part.where("not is_train").drop("is_train")))
+        train, test = sides(rows, split)
+        parts.append(predictions_of(spec.fit(train), test.withColumn("split_id", F.lit(split))))
     return cut(reduce(DataFrame.unionByName, parts), "predictions")
 
 
@@ -434,14 +440,16 @@ def learning_curve(
     spec, rows: DataFrame, split_ids: Sequence[int], sizes: Sequence[float | int], metric: M.Metric
 ) -> DataFrame:
     """Train and test score per training size and split."""
-    folds = rows.select("sample_id", "split_id", "is_train")
-    counts = folds.where("is_train").groupBy("split_id").agg(F.count("*").alias("n"))
-    listed = train_size_list(sizes, counts.agg(F.min("n")).first()[0])
+    split_ids = [int(s) for s in split_ids]
+    listed = train_size_list(sizes, min(n for n, _ in side_sizes(rows, split_ids).values()))
+    every = rows.select("sample_id", "test_in", "train_in").withColumn(
+        "split_id", F.explode(F.array(*[F.lit(s) for s in split_ids]))
+    )
+    folds = every.select("sample_id", "split_id", is_train_in(F.col("split_id")).alias("is_train")).where("is_train is not null")
     subsets = cut(train_subsets(folds, listed), "subsets")
     logs = []
     for size in listed:
-        chosen = subsets.where(F.col("train_size") == size).drop("train_size", "is_train")
-        part = rows.join(chosen, ["split_id", "sample_id"])
+        part = attach_sides(rows.drop("test_in", "train_in"), subsets.where(F.col("train_size") == size))
         log = fit_and_score(spec, [{}], part, split_ids, {"score": metric}, train_scores=True)
         logs.append(log.select(F.lit(size).alias("train_size"), "split_id", "train_score", "test_score"))
     return reduce(DataFrame.unionByName, logs)
@@ -455,10 +463,6 @@ def validation_curve(
     return log.select(F.col("params")[name].alias("value"), "split_id", "train_score", "test_score")
 
 
-def aggregate_scores(scores: DataFrame) -> DataFrame:
-    """Score rows ``(place, metric, score)`` gathered to one array per metric, in order.
-
-    Meant for score logs: one entry per fit, so an array is as long as the number of fits.
-    """
-    cells = scores.groupBy("metric").agg(F.array_sort(F.collect_list(F.struct("place", "score"))).alias("_c"))
-    return cells.select("metric", F.transform("_c", lambda c: c["score"]).alias("scores"))
+def aggregate_scores(scores: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """Score rows ``(place, metric, score)`` as one column per metric, a row per fit."""
+    return scores.groupBy("place").pivot("metric", list(metrics)).agg(F.first("score"))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskloom.operators import metrics as M
 from riskloom.operators.describe import participation, smooth
+from riskloom.operators.folds import sides
 from riskloom.operators.search import fit_and_score
 from riskloom.runtime import cut
 
@@ -76,7 +77,7 @@ def select_by_peeling(spec, rows: DataFrame, index: DataFrame, n_limit: int, pas
 
 
 def repeated_fits(
-    spec, rows: DataFrame, split_ids: Sequence[int], index: DataFrame, metrics=None, parallelism: int = 4
+    spec, rows: DataFrame, split_ids: Sequence[int], index: DataFrame, metrics=None, parallelism: int = 8
 ) -> DataFrame:
     """Weights and test metrics of one fit per split: ``(fit_id, kind, name, value)``."""
     models: dict = {}
@@ -193,6 +194,6 @@ def select_per_split(select, rows: DataFrame, split_ids: Sequence[int]) -> DataF
     """Run ``select(train_rows)`` on the train side of every split: ``(split_id, gene_id)``."""
     parts = []
     for split in split_ids:
-        train = rows.where((F.col("split_id") == split) & F.col("is_train")).drop("split_id", "is_train")
+        train, _ = sides(rows, split)
         parts.append(select(train).select(F.lit(int(split)).alias("split_id"), "gene_id"))
     return reduce(DataFrame.unionByName, parts)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskloom.functions.vectors import assemble, gene_index, with_vector
 from riskloom.operators import metrics as M
-from riskloom.operators.folds import stratified_k_fold, with_train_side
-from riskloom.operators.search import GridSearch, _scores
+from riskloom.operators.folds import attach_splits, sides, stratified_k_fold
+from riskloom.operators.search import GridSearch, scores_of
 from riskloom.operators.selection import select_by_model, slice_genes
 from riskloom.runtime import cut
 
@@ -26,9 +26,8 @@ def design(expr: DataFrame, labels: DataFrame, genes: DataFrame | None = None) -
 
 
 def inner_rows(train: DataFrame, n_splits: int, seed: int) -> DataFrame:
-    """Train rows with the inner stratified folds written out."""
-    sides = stratified_k_fold(train.select("sample_id", "label"), "label", n_splits, seed=seed)
-    return train.join(with_train_side(sides, range(n_splits)), "sample_id")
+    """Train rows with their inner stratified folds."""
+    return attach_splits(train, stratified_k_fold(train.select("sample_id", "label"), "label", n_splits, seed=seed))
 
 
 def nested_evaluation(
@@ -48,27 +47,26 @@ def nested_evaluation(
 ) -> tuple[DataFrame, DataFrame]:
     """Result rows and out-of-fold predictions of one model and selector.
 
-    ``select(train_rows, index)`` sees train rows only.  ``split_ids`` may be the splits
+    ``outer`` is the test side of the outer splits.  ``select(train_rows, index)`` sees train
+    rows only.  ``split_ids`` may be the splits
     that are still pending.
     """
     spark = expr.sparkSession
     whole, index = design(expr, labels)
-    whole = cut(whole, "design")
+    whole = cut(attach_splits(whole, outer), "design")
     lines, predictions = [], None
     for split in split_ids:
-        here = outer.where(F.col("split_id") == split).select("sample_id", "is_train")
-        rows = whole.join(here, "sample_id")
-        genes = cut(select(rows.where("is_train").drop("is_train"), index), "selected")
+        train, test = sides(whole, split)
+        genes = cut(select(train, index), "selected")
         chosen = sorted(r[0] for r in index.join(genes, "gene_id", "left_semi").select("gene_ix").collect())
         if not chosen:
             raise ValueError(f"no gene was selected in split {split}")
-        kept = cut(slice_genes(rows, chosen), "split")
-        train, test = (kept.where(c).drop("is_train") for c in ("is_train", "not is_train"))
+        train, test = cut(slice_genes(train, chosen), "train"), slice_genes(test, chosen)
         search = GridSearch(spec, grid, metrics, refit).fit(
             cut(inner_rows(train, inner_splits, seed), "inner"), range(inner_splits), train
         )
         scored = cut(search.best_model.transform(test), "scored")
-        _, values = _scores(_Scored(scored), scored, metrics)
+        values = scores_of(AlreadyScored(), scored, metrics)[None]
         lines += [(model, selector, split, "general", "fs_size", str(len(chosen)))]
         lines += [(model, selector, split, "general", "Class", type(spec).__name__)]
         lines += [(model, selector, split, "Test", "score", str(values[search.refit]))]
@@ -80,14 +78,11 @@ def nested_evaluation(
     return spark.createDataFrame(lines, RESULT_SCHEMA), predictions
 
 
-class _Scored:
-    """Rows that already carry predictions, in the shape of a fitted model."""
-
-    def __init__(self, rows: DataFrame):
-        self.rows = rows
+class AlreadyScored:
+    """Stands for a model whose predictions are in the rows."""
 
     def transform(self, rows: DataFrame) -> DataFrame:
-        return self.rows
+        return rows
 
 
 def l1_selector(spec) -> Callable[[DataFrame, DataFrame], DataFrame]:
