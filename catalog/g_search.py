@@ -15,7 +15,7 @@ from riskloom.operators.models import LogisticSpec
 from riskloom.operators.selection import slice_genes
 from riskloom.runtime import bounded_rows, cut
 
-SPEC = LogisticSpec(C=1.0, max_iter=200, tol=1e-12)
+SPEC = LogisticSpec(C=1.0, max_iter=300, tol=1e-15)
 STRENGTHS = [0.001, 0.01, 0.1]
 
 
@@ -74,13 +74,13 @@ WITH m AS (SELECT candidate_id, metric, sum(n_test * test_score) / sum(n_test) A
 s AS (SELECT l.candidate_id, l.metric, any_value(mean) AS mean, any_value(n_splits) AS n_splits,
   sqrt(sum(n_test * (test_score - mean) * (test_score - mean)) / sum(n_test)) AS std
   FROM score_log l JOIN m ON l.candidate_id = m.candidate_id AND l.metric = m.metric GROUP BY 1, 2)
-SELECT metric, candidate_id, round(mean, 9) + 0 AS mean_score, round(std, 6) + 0 AS std_score, n_splits,
+SELECT metric, candidate_id, round(mean, 9) + 0 AS mean_score, round(std, 7) + 0 AS std_score, n_splits,
   CAST(rank() OVER (PARTITION BY metric ORDER BY mean DESC) AS INTEGER) AS rank FROM s""", "score_log")
 def g03(t):
     """Means weighted by test size, deviation with the same weights, minimum rank."""
     s = G.search_summary(t.score_log)
     return s.select(
-        "metric", "candidate_id", rounded("mean_score", 9).alias("mean_score"), rounded("std_score").alias("std_score"), "n_splits", "rank"
+        "metric", "candidate_id", rounded("mean_score", 9).alias("mean_score"), rounded("std_score", 7).alias("std_score"), "n_splits", "rank"
     )
 
 
@@ -93,13 +93,13 @@ def g03s(t):
 
 @query("g03_train_score_summary", """
 WITH m AS (SELECT candidate_id, metric, avg(train_score) AS mean, stddev_pop(train_score) AS std, count(*) AS n_splits FROM score_log GROUP BY 1, 2)
-SELECT metric, candidate_id, round(mean, 9) + 0 AS mean_score, round(std, 6) + 0 AS std_score, n_splits,
+SELECT metric, candidate_id, round(mean, 9) + 0 AS mean_score, round(std, 7) + 0 AS std_score, n_splits,
   CAST(rank() OVER (PARTITION BY metric ORDER BY mean DESC) AS INTEGER) AS rank FROM m""", "score_log")
 def g03t(t):
     """Train scores, splits weighted alike."""
     s = G.search_summary(t.score_log, iid=False, score="train_score")
     return s.select(
-        "metric", "candidate_id", rounded("mean_score", 9).alias("mean_score"), rounded("std_score").alias("std_score"), "n_splits", "rank"
+        "metric", "candidate_id", rounded("mean_score", 9).alias("mean_score"), rounded("std_score", 7).alias("std_score"), "n_splits", "rank"
     )
 
 
@@ -246,13 +246,13 @@ def g11(t):
 
 @query("g12_out_of_fold_predictions", f"""WITH {SEARCHED}
 SELECT sample_id, CAST(split_id AS INTEGER) AS split_id, CAST(CASE WHEN decision > 0 THEN 1 ELSE 0 END AS INTEGER) AS prediction,
-  round(p1, 4) + 0 AS p1, round(decision, 4) + 0 AS decision, round(ln(p1), 4) + 0 AS log_p1 FROM scores WHERE NOT is_train AND candidate_id = 2""")
+  round(p1, 3) + 0 AS p1, round(decision, 3) + 0 AS decision, round(ln(p1), 3) + 0 AS log_p1 FROM scores WHERE NOT is_train AND candidate_id = 2""")
 def g12(t):
     """Class, probability, log probability and decision value, each sample once."""
     out = G.cross_val_predict(SPEC.with_params(C=0.1), one_gene_splits(t), range(4))
     return out.select(
         "sample_id", F.col("split_id").cast("int").alias("split_id"), "prediction",
-        *[rounded(c, 4).alias(c) for c in ("p1", "decision", "log_p1")],
+        *[rounded(c, 3).alias(c) for c in ("p1", "decision", "log_p1")],
     )
 
 
@@ -335,10 +335,10 @@ def g16(t):
 
 
 @query("g17_use_of_best_model", f"""WITH {ONE_GENE}, {newton('nw', 'one_gene', '10', '0')}
-SELECT sample_id, CAST(CASE WHEN u * a + v * b > 0 THEN 1 ELSE 0 END AS INTEGER) AS prediction, round(1 / (1 + exp(-(u * a + v * b))), 4) + 0 AS p1,
-  round(u * a + v * b, 4) + 0 AS decision, round(ln(1 - 1 / (1 + exp(-(u * a + v * b)))), 4) + 0 AS log_p0 FROM one_gene CROSS JOIN nw_fit""")
+SELECT sample_id, CAST(CASE WHEN u * a + v * b > 0 THEN 1 ELSE 0 END AS INTEGER) AS prediction, round(1 / (1 + exp(-(u * a + v * b))), 3) + 0 AS p1,
+  round(u * a + v * b, 3) + 0 AS decision, round(ln(1 - 1 / (1 + exp(-(u * a + v * b)))), 3) + 0 AS log_p0 FROM one_gene CROSS JOIN nw_fit""")
 def g17(t):
     """Class, probability, log probability and decision value of a fitted model."""
     rows = one_gene_rows(t)
     out = G.predictions_of(SPEC.with_params(C=0.1).fit(rows), rows)
-    return out.select("sample_id", "prediction", *[rounded(c, 4).alias(c) for c in ("p1", "decision", "log_p0")])
+    return out.select("sample_id", "prediction", *[rounded(c, 3).alias(c) for c in ("p1", "decision", "log_p0")])

@@ -268,9 +268,9 @@ def _cross_cohort(t):
 
 
 @query("c11_train_one_test_other", f"""WITH {SECOND}
-SELECT sample_id, CAST(y AS DOUBLE) AS label, round(1 / (1 + exp(-d)), 4) + 0 AS p1, CAST(CASE WHEN d > 0 THEN 1 ELSE 0 END AS INTEGER) AS prediction FROM pred""")
+SELECT sample_id, CAST(y AS DOUBLE) AS label, round(1 / (1 + exp(-d)), 3) + 0 AS p1, CAST(CASE WHEN d > 0 THEN 1 ELSE 0 END AS INTEGER) AS prediction FROM pred""")
 def c11(t):
-    return _cross_cohort(t).select("sample_id", "label", rounded("p1", 4).alias("p1"), "prediction")
+    return _cross_cohort(t).select("sample_id", "label", rounded("p1", 3).alias("p1"), "prediction")
 
 
 @query("c11_scores_on_other", f"""WITH {SECOND}
