@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.registry import query, rounded
 from riskloom.functions import scalar
 from riskloom.operators import cohort as C
+from riskloom.runtime import cut
 
 
 def _part(t, flag):
@@ -94,7 +95,7 @@ assigned AS (SELECT * FROM settled UNION ALL SELECT * FROM copied)"""
 
 
 def _symbols(t):
-    return C.map_symbols(t.probes.select("gene_id").distinct(), t.gene_map)
+    return cut(C.map_symbols(t.probes.select("gene_id").distinct(), t.gene_map), "symbols")
 
 
 @query("c06_symbol_lookup", f"WITH {SYMBOLS} SELECT gene_id, gene_symbol FROM symbols", "probes gene_map")

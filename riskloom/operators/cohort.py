@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskloom.functions.rowindex import order_statistics, with_running_sum
 from riskloom.functions.scalar import inverse_normal, normal_probe
+from riskloom.runtime import cut
 
 NORMAL_EDGE = 1e-7  # ranks are kept this far from 0 and 1 before the normal map
 
@@ -24,8 +25,11 @@ def common_genes(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def restrict_to_common(first: DataFrame, second: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both measurement tables cut to the genes they share."""
-    genes = common_genes(first, second)
+    """Both measurement tables cut to the genes they share.
+
+    The gene list is written first, so that neither table is read once more per side.
+    """
+    genes = cut(common_genes(first, second), "common")
     return first.join(genes, "gene_id", "left_semi"), second.join(genes, "gene_id", "left_semi")
 
 
@@ -115,13 +119,13 @@ def symbol_assignment(symbols: DataFrame, iqr: DataFrame) -> DataFrame:
     single = per_symbol.where("_probes = 1 and _symbols = 1").select("gene_id", "gene_symbol")
     shared = per_symbol.where("_probes > 1").select("gene_id", "gene_symbol")
     won = widest_probe(shared, iqr).select("gene_id", "gene_symbol")
-    settled = single.unionByName(won)
+    settled = cut(single.unionByName(won), "settled")
     return settled.unionByName(copied_symbols(symbols, settled).select("gene_id", "gene_symbol"))
 
 
 def update_genes(expr: DataFrame, gene_map: DataFrame) -> DataFrame:
     """Measurement table under current gene symbols."""
-    symbols = map_symbols(expr.select("gene_id").distinct(), gene_map)
+    symbols = cut(map_symbols(expr.select("gene_id").distinct(), gene_map), "symbols")
     chosen = symbol_assignment(symbols, inter_quartile_range(expr))
     return expr.join(chosen, "gene_id").select("sample_id", F.col("gene_symbol").alias("gene_id"), "value")
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskloom.functions.rowindex import with_row_index
 from riskloom.functions.scalar import above
@@ -87,15 +88,26 @@ def confidence_band(mean: Column, variance: Column) -> tuple[Column, Column]:
 
 # -- curves -----------------------------------------------------------------------------
 
+BLOCK = 65_536  # places per window partition
+
+
+def _in_blocks(series: DataFrame, back: int, ahead: int) -> DataFrame:
+    """Cut a series with places ``i`` into blocks that overlap by what a window can reach.
+
+    Adds ``block``; a row near an edge is also sent to the neighbour, where ``own`` is
+    false.  Windows over a block then give the same values as over the whole series, and
+    no task holds more than one block.
+    """
+    size = max(BLOCK, 4 * (back + ahead))
+    reach = F.sequence(F.floor((F.col("i") - ahead) / size), F.floor((F.col("i") + back) / size))
+    return series.withColumn("block", F.explode(reach)).withColumn("own", F.floor(F.col("i") / size) == F.col("block"))
+
 
 def moving_average(df: DataFrame, order: Sequence[str], value: str, w: int) -> DataFrame:
-    """Mean over positions ``[i-w, i+w)``, cut at both ends; adds ``i`` and ``average``."""
-    rows = with_row_index(df, order, name="i", count="n")
-    # position j counts for every i with i-w <= j < i+w, that is j-w < i <= j+w
-    places = F.sequence(F.greatest(F.col("i") - w + 1, F.lit(0)), F.least(F.col("i") + w, F.col("n") - 1))
-    sent = rows.select(F.explode(places).alias("i"), value)
-    means = sent.groupBy("i").agg(F.avg(value).alias("average"))
-    return rows.join(means, "i").drop("n")
+    """Mean over places ``[i-w, i+w)``, cut at both ends; adds ``i`` and ``average``."""
+    rows = _in_blocks(with_row_index(df, order, name="i"), w, w - 1)
+    near = Window.partitionBy("block").orderBy("i").rowsBetween(-w, w - 1)
+    return rows.withColumn("average", F.avg(value).over(near)).where("own").drop("block", "own")
 
 
 def window_weights(size: int, shape: str) -> list[float]:
@@ -128,24 +140,24 @@ def smooth(df: DataFrame, order: Sequence[str], value: str, window: int = 11, sh
     if window < 3:
         return rows.withColumn("smoothed", F.col(value)).drop("n")
     half = window // 2
-    weights = window_weights(window, shape)
     last = F.col("n") - 1
-
-    def readers(d: int, weight: float) -> Column:
-        # The row read by place t at offset d is t+d, mirrored at both ends.  Turned
-        # around: row i is read by i-d and by the two mirror images of that place.
-        places = F.array_distinct(F.array(F.col("i") - d, -F.col("i") - d, 2 * last - F.col("i") - d))
-
-        def reads_this_row(t: Column) -> Column:
-            source = F.when(t + d < 0, -(t + d)).when(t + d > last, 2 * last - (t + d)).otherwise(t + d)
-            return (t >= 0) & (t <= last) & (source == F.col("i"))
-
-        def cell(t: Column) -> Column:
-            return F.struct(t.alias("i"), F.lit(weight).alias("w"))
-
-        return F.transform(F.filter(places, reads_this_row), cell)
-
-    hits = F.flatten(F.array(*[readers(d, weights[d + half]) for d in range(-half, half + 1)]))
-    sent = rows.select(value, F.explode(hits).alias("h"))
-    sums = sent.groupBy(F.col("h.i").alias("i")).agg(F.sum(F.col("h.w") * F.col(value)).alias("smoothed"))
-    return rows.join(sums, "i").drop("n")
+    # the mirror images of the first and last rows become places outside 0..n-1
+    image = F.filter(
+        F.array(
+            F.struct(F.col("i").alias("i"), F.lit(True).alias("real")),
+            F.struct(F.when(F.col("i").between(1, half), -F.col("i")).alias("i"), F.lit(False).alias("real")),
+            F.struct(
+                F.when(F.col("i").between(last - half, last - 1), 2 * last - F.col("i")).alias("i"),
+                F.lit(False).alias("real"),
+            ),
+        ),
+        lambda p: p["i"].isNotNull(),
+    )
+    longer = rows.withColumn("_p", F.explode(image)).withColumn("i", F.col("_p.i")).withColumn("_real", F.col("_p.real"))
+    near = Window.partitionBy("block").orderBy("i")
+    weighted = [
+        F.lit(v) * (F.lead(value, d).over(near) if d >= 0 else F.lag(value, -d).over(near))
+        for d, v in zip(range(-half, half + 1), window_weights(window, shape))
+    ]
+    out = _in_blocks(longer, half, half).withColumn("smoothed", reduce(lambda a, b: a + b, weighted))
+    return out.where("own AND _real").drop("block", "own", "_p", "_real", "n")

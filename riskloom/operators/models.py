@@ -362,7 +362,7 @@ def fit_components(train: DataFrame, k: int) -> Components:
     return Components(centre, pca)
 
 
-def fit_components_by_samples(expr: DataFrame, k: int, max_samples: int = 5_000) -> DataFrame:
+def fit_components_by_samples(expr: DataFrame, k: int, max_samples: int = 2_000) -> DataFrame:
     """Loadings ``(component, gene_id, loading)`` through the samples-by-samples matrix.
 
     For p >> n: each gene is one array over the (bounded) samples, the inner products are
@@ -387,10 +387,13 @@ def fit_components_by_samples(expr: DataFrame, k: int, max_samples: int = 5_000)
         yield pd.DataFrame({"row": np.arange(n), "values": list(total)})
 
     summed = genes.mapInPandas(partial_gram, "row int, values array<double>")
-    cells = summed.select("row", F.posexplode("values").alias("column", "v")).groupBy("row", "column").agg(F.sum("v").alias("v"))
-    gram = np.zeros((n, n))
-    for r in cells.toLocalIterator():
-        gram[r["row"], r["column"]] = r["v"]
+
+
+    def add_up(parts: pd.DataFrame) -> pd.DataFrame:  # one row of the matrix from every partition
+        return pd.DataFrame({"row": parts["row"][:1], "values": [np.sum(np.stack(parts["values"]), axis=0)]})
+
+    lines = summed.groupBy("row").applyInPandas(add_up, "row int, values array<double>").orderBy("row").toPandas()
+    gram = np.stack(lines["values"])  # n x n, n at most max_samples
     values, vectors = np.linalg.eigh(gram)
     top = np.argsort(values)[::-1][:k]
     left = vectors[:, top] / np.sqrt(np.maximum(values[top], 1e-300))
