@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.fits_sql import lasso_descent
+from catalog.fits_sql import ALL_GENES, LOSS, descent, split_genes
 from catalog.registry import query, rounded
 from catalog.tables import GENES
 from riskloom.functions.vectors import gene_index, with_vector
@@ -17,11 +17,49 @@ from riskloom.runtime import cut, scratch_path
 L1 = LogisticSpec(C=0.5, penalty="l1", fit_intercept=False, max_iter=300, tol=1e-10)
 QUICK = L1.with_params(tol=1e-6)
 L2 = LogisticSpec(C=1.0)
-ALL_GENES = """scaled AS (SELECT vec_id, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y,
-  list_transform(embedding, lambda e: 10 * CAST(e AS DOUBLE)) AS x FROM embeddings)"""
-
-
-def model_rows(t, spread: bool = False):
+# L1 weights of every train side, and how often each gene has one
+FITS4 = f"""{split_genes(4)}, {descent('cd', 'train_splits', GENES, l1=2.0, keys='split_id')},
+fits AS (SELECT split_id, CAST(i AS INTEGER) AS gene_id, w[i + 1] AS value FROM (SELECT split_id, w, unnest(range({GENES})) AS i FROM cd_fit)),
+freq AS (SELECT gene_id, avg(CASE WHEN abs(value) > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS frequency FROM fits GROUP BY gene_id)"""
+
+
+def curve_sql(grid: list[float]) -> str:
+    """CTE ``curve(place, threshold, loss, accuracy, split_id)`` of an L2 model on the genes above each threshold."""
+    listed = ", ".join(f"({k}, CAST({g!r} AS DOUBLE))" for k, g in enumerate(grid))
+    return f"""marks(place, threshold) AS (VALUES {listed}),
+masks AS (SELECT place, threshold, list(CASE WHEN frequency > threshold THEN CAST(1 AS DOUBLE) ELSE 0 END ORDER BY gene_id) AS keep,
+  max(frequency) > threshold AS passed FROM freq CROSS JOIN marks GROUP BY place, threshold),
+masked AS (SELECT place, threshold, split_id, is_train, y,
+  list_append(list_transform(range({GENES}), lambda k: x[k + 1] * keep[k + 1]), CAST(1 AS DOUBLE)) AS x FROM all_splits CROSS JOIN masks WHERE passed),
+masked_train AS (SELECT * FROM masked WHERE is_train),
+{descent('ls', 'masked_train', GENES + 1, l2=1.0, free=1, keys='place, split_id', sweeps=14)},
+scored_test AS (SELECT m.place, threshold, m.split_id, y, 1 / (1 + exp(-list_dot_product(w, x))) AS p1
+  FROM masked m JOIN ls_fit l ON m.place = l.place AND m.split_id = l.split_id WHERE NOT is_train),
+curve AS (SELECT place, threshold, split_id, {LOSS} AS loss,
+  avg(CASE WHEN (p1 > 0.5) = (y = 1) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS accuracy FROM scored_test GROUP BY 1, 2, 3)"""
+
+
+def peeled_sql(limit: int, rounds: int = 5) -> str:
+    """CTE ``st5(kept, active)``: repeated L1 fits on the genes not yet kept."""
+    parts = [ALL_GENES, f"st0 AS (SELECT list_transform(range({GENES}), lambda k: 0) AS kept, TRUE AS active)"]
+    for r in range(1, rounds + 1):
+        parts.append(
+            f"left{r} AS (SELECT y, list_transform(range({GENES}), lambda k: CASE WHEN kept[k + 1] > 0 THEN 0 ELSE x[k + 1] END) AS x "
+            f"FROM scaled CROSS JOIN st{r - 1} WHERE active)"
+        )
+        parts.append(descent(f"cd{r}", f"left{r}", GENES, l1=2.0))
+        parts.append(
+            f"b{r} AS (SELECT kept, list_transform(range({GENES}), lambda k: CASE WHEN w[k + 1] > 0 THEN 1 ELSE 0 END) AS batch FROM cd{r}_fit CROSS JOIN st{r - 1} WHERE active)"
+        )
+        parts.append(
+            f"st{r} AS (SELECT CASE WHEN ok THEN list_transform(range({GENES}), lambda k: kept[k + 1] + batch[k + 1]) ELSE kept END AS kept, ok AS active "
+            f"FROM (SELECT *, list_sum(batch) > 0 AND list_sum(batch) + list_sum(kept) <= {limit} AS ok FROM b{r}) "
+            f"UNION ALL SELECT kept, active FROM st{r - 1} WHERE NOT active)"
+        )
+    return ", ".join(parts)
+
+
+def model_rows(t):
     """``(sample_id, features VECTOR, label)`` of all genes, scaled by 10."""
     arrays = t.vectors.withColumn("features", F.transform("features", lambda v: v * 10.0)).drop("code")
     return with_vector(arrays)
@@ -39,17 +77,17 @@ def index_of(t):
 
 
 @query("f01_l1_positive_genes", f"""
-WITH {ALL_GENES}, {lasso_descent('cd', 'scaled', GENES, 2.0)}
+WITH {ALL_GENES}, {descent('cd', 'scaled', GENES, l1=2.0)}
 SELECT CAST(i AS INTEGER) AS gene_id FROM (SELECT w, unnest(range({GENES})) AS i FROM cd_fit) WHERE w[i + 1] > 0""")
 def f01(t):
     """Genes with a positive weight in an L1 model."""
     return S.select_by_model(L1, model_rows(t), index_of(t)).select("gene_id")
 
 
-@query("f02_peeled_genes")
+@query("f02_peeled_genes", f"WITH {peeled_sql(40)} SELECT CAST(i AS INTEGER) AS gene_id FROM (SELECT kept, unnest(range({GENES})) AS i FROM st5) WHERE kept[i + 1] > 0")
 def f02(t):
     """Repeated L1 fits on the genes not yet kept, up to 40 genes."""
-    return S.select_by_peeling(QUICK, cut(model_rows(t), "design"), index_of(t), 40)
+    return S.select_by_peeling(L1, cut(model_rows(t), "design"), index_of(t), 40).select("gene_id")
 
 
 @query("f03_participation", "SELECT gene_id, round(frequency, 8) + 0 AS frequency FROM frequency", "frequency")
@@ -59,7 +97,7 @@ def f03(t):
     return S.frequency_of(stats).withColumn("frequency", rounded("frequency", 8))
 
 
-@query("f03_participation_of_fits")
+@query("f03_participation_of_fits", f"WITH {FITS4} SELECT CAST(gene_id AS VARCHAR) AS gene_id, frequency FROM freq")
 def f03f(t):
     """The same from L1 fits on four folds."""
     stats = S.repeated_fits(QUICK, split_rows(t, 4), range(4), index_of(t))
@@ -75,7 +113,9 @@ def f04(t):
     return S.chosen_threshold(curve.selectExpr("split_id AS place", "split_id / 7D AS threshold", "loss"))
 
 
-@query("f04_participative_selection")
+@query("f04_participative_selection", f"""WITH {FITS4}, {curve_sql([0.1, 0.5, 0.9])},
+best AS (SELECT threshold FROM curve GROUP BY place, threshold ORDER BY avg(loss), place LIMIT 1)
+SELECT CAST(gene_id AS VARCHAR) AS gene_id FROM freq WHERE frequency > (SELECT threshold FROM best)""")
 def f04f(t):
     """Frequencies from L1 fits, threshold by the loss of an L2 model."""
     return S.select_by_participation(QUICK, L2, split_rows(t, 4), range(4), range(4), index_of(t), [0.1, 0.5, 0.9])
@@ -132,7 +172,9 @@ def f09(t):
     return S.read_selection(t.spark, path, "positive").selectExpr("split_id", "gene_id")
 
 
-@query("f09_selection_per_split")
+@query("f09_selection_per_split", f"""WITH {split_genes(3)}, {descent('cd', 'train_splits', GENES, l1=2.0, keys='split_id')}
+SELECT CAST(split_id AS INTEGER) AS split_id, CAST(i AS INTEGER) AS gene_id
+FROM (SELECT split_id, w, unnest(range({GENES})) AS i FROM cd_fit) WHERE w[i + 1] > 0""")
 def f09f(t):
     """An L1 selection on the train side of each split."""
     index = index_of(t)
@@ -182,10 +224,13 @@ def f10s(t):
     return fit_components_by_samples(sums.join(full, "gene_id", "left_semi"), 2)
 
 
-@query("f11_threshold_curve")
+@query("f11_threshold_curve", f"""WITH {FITS4}, {curve_sql([0.1, 0.4, 0.7])}
+SELECT CAST(place AS INTEGER) AS place, threshold, 'loss' AS metric, round(avg(loss), 3) + 0 AS mean, round(var_pop(loss), 4) + 0 AS variance FROM curve GROUP BY place, threshold
+UNION ALL SELECT CAST(place AS INTEGER), threshold, 'accuracy', round(avg(accuracy), 3) + 0, round(var_pop(accuracy), 4) + 0 FROM curve GROUP BY place, threshold""")
 def f11(t):
     """Mean and variance of two metrics per frequency threshold."""
     rows, index = split_rows(t, 4), index_of(t)
     frequency = cut(S.frequency_of(S.repeated_fits(QUICK, rows, range(4), index)), "frequency")
     metrics = {"loss": H.log_loss, "accuracy": H.accuracy}
-    return S.threshold_curve(L2, rows, range(4), frequency, index, [0.1, 0.4, 0.7], metrics)
+    out = S.threshold_curve(L2.with_params(tol=1e-9), rows, range(4), frequency, index, [0.1, 0.4, 0.7], metrics)
+    return out.select("place", "threshold", "metric", rounded("mean", 3).alias("mean"), rounded("variance", 4).alias("variance"))

@@ -28,21 +28,29 @@ FROM (SELECT {w_head}it, u, v,
 {name}_fit AS (SELECT {head}u, v FROM {name} WHERE it = {steps})"""
 
 
-def lasso_descent(name: str, data: str, width: int, strength: float, sweeps: int = 40) -> str:
-    """CTE ``name_fit(w)``: L1 logistic weights without intercept by coordinate descent.
+def descent(name: str, data: str, width: int, l1: float = 0.0, l2: float = 0.0, free: int = 0, keys: str = "", sweeps: int = 20) -> str:
+    """CTE ``name_fit(keys, w)``: logistic weights by cyclic coordinate descent.
 
-    ``data`` has y and the array x of ``width`` values; ``strength`` is one over C.
+    ``data`` has keys, y and the array x of ``width`` values.  ``l1`` and ``l2`` are the
+    penalties (one over C) on all but the last ``free`` places.
     """
+    ks = [k.strip() for k in keys.split(",") if k.strip()]
+    head = "".join(f"{k}, " for k in ks)
+    w_head = "".join(f"c.{k}, " for k in ks)
+    on = " AND ".join(f"d.{k} = c.{k}" for k in ks) or "TRUE"
+    j = f"(it % {width} + 1)"
     p = "(1 / (1 + exp(-list_dot_product(w, x))))"
-    lam = f"CAST({strength!r} AS DOUBLE)"
-    return f"""{name} AS (SELECT 0 AS it, list_transform(range({width}), lambda k: CAST(0 AS DOUBLE)) AS w
+    bound = f"CASE WHEN it % {width} < {width - free} THEN CAST({{v!r}} AS DOUBLE) ELSE 0 END"
+    a, b = bound.format(v=float(l1)), bound.format(v=float(l2))
+    start = f"SELECT {'DISTINCT ' if ks else ''}{head}0 AS it, list_transform(range({width}), lambda k: CAST(0 AS DOUBLE)) AS w"
+    return f"""{name} AS ({start}{f' FROM {data}' if ks else ''}
 UNION ALL
-SELECT it + 1, list_transform(range({width}), lambda k: CASE WHEN k = it % {width} THEN moved ELSE w[k + 1] END)
-FROM (SELECT it, w, sign(target) * greatest(abs(target) - {lam} / h, 0) AS moved FROM (
-  SELECT it, w, h, w[it % {width} + 1] - g / h AS target FROM (
-    SELECT it, w, sum(({p} - y) * x[it % {width} + 1]) AS g, sum({p} * (1 - {p}) * x[it % {width} + 1] * x[it % {width} + 1]) AS h
-    FROM {name} CROSS JOIN {data} WHERE it < {width * sweeps} GROUP BY it, w)))),
-{name}_fit AS (SELECT w FROM {name} WHERE it = {width * sweeps})"""
+SELECT {head}it + 1, list_transform(range({width}), lambda k: CASE WHEN k = it % {width} THEN moved ELSE w[k + 1] END)
+FROM (SELECT {head}it, w, CASE WHEN h > 0 THEN sign(target) * greatest(abs(target) - {a} / h, 0) ELSE 0 END AS moved FROM (
+  SELECT {head}it, w, h, w[{j}] - (g + {b} * w[{j}]) / h AS target FROM (
+    SELECT {w_head}it, w, sum(({p} - y) * x[{j}]) AS g, sum({p} * (1 - {p}) * x[{j}] * x[{j}]) + any_value({b}) AS h
+    FROM {name} c JOIN {data} d ON {on} WHERE it < {width * sweeps} GROUP BY {w_head}it, w)))),
+{name}_fit AS (SELECT {head}w FROM {name} WHERE it = {width * sweeps})"""
 
 
 # Models on the embeddings: gene 0 and gene 1 scaled up, class as label.
@@ -57,4 +65,17 @@ FOLD4 = """fold4 AS (SELECT sample_id, CASE WHEN i < (n % 4) * (n // 4 + 1) THEN
     count(*) OVER (PARTITION BY label >= 5) AS n FROM embeddings))"""
 SPLITS4 = """splits4 AS (SELECT o.*, s AS split_id, fold <> s AS is_train
   FROM one_gene o JOIN fold4 f ON o.sample_id = f.sample_id CROSS JOIN (SELECT unnest(range(4)) AS s) x)"""
+# All genes scaled up, and the same with a constant at the end; train rows of each fold split.
+ALL_GENES = """scaled AS (SELECT vec_id AS sample_id, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y,
+  list_transform(embedding, lambda e: 10 * CAST(e AS DOUBLE)) AS x FROM embeddings)"""
+
+
+def split_genes(k: int) -> str:
+    """CTEs ``foldk`` and ``all_splits``: all genes on the sides of k plain stratified folds."""
+    fold = FOLD4.replace("fold4", "foldk").replace("% 4", f"% {k}").replace("// 4", f"// {k}")
+    return f"""{ALL_GENES}, {fold}, all_splits AS (SELECT s.*, sp AS split_id, fold <> sp AS is_train
+  FROM scaled s JOIN foldk f ON s.sample_id = f.sample_id CROSS JOIN (SELECT unnest(range({k})) AS sp) t),
+train_splits AS (SELECT * FROM all_splits WHERE is_train)"""
+
+
 LOSS = "-avg(CASE WHEN y = 1 THEN ln(p1) ELSE ln(1 - p1) END)"

@@ -151,14 +151,27 @@ def g07(t):
     return G.merge_best(t.score_log.selectExpr("split_id AS step", "candidate_id AS name", "test_score AS value"))
 
 
-@query("g07_sequential_search")
+SEQUENCE = f"""{ONE_GENE}, {FOLD4}, {SPLITS4},
+cand AS (SELECT * FROM (VALUES (1, 0, '0.001', CAST(0.001 AS DOUBLE), FALSE), (1, 1, '0.01', CAST(0.01 AS DOUBLE), FALSE),
+  (1, 2, '0.1', CAST(0.1 AS DOUBLE), FALSE), (2, 0, 'False', CAST(1 AS DOUBLE), FALSE), (2, 1, 'True', CAST(1 AS DOUBLE), TRUE)) v(grid, candidate_id, shown, c, pen)),
+tr AS (SELECT grid, candidate_id, c, pen, split_id, y, a, b FROM splits4 CROSS JOIN cand WHERE is_train),
+{newton('nw', 'tr', '1 / c', 'CASE WHEN pen THEN 1 / c ELSE 0 END', 'grid, candidate_id, split_id')},
+sc AS (SELECT f.grid, f.candidate_id, s.split_id, count(*) AS n, avg(CASE WHEN y = 1 THEN -ln(1 + exp(-(u * a + v * b))) ELSE -ln(1 + exp(u * a + v * b)) END) AS s
+  FROM splits4 s JOIN nw_fit f ON f.split_id = s.split_id WHERE NOT is_train GROUP BY 1, 2, 3),
+mn AS (SELECT grid, candidate_id, sum(n * s) / sum(n) AS m FROM sc GROUP BY 1, 2),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grid ORDER BY m DESC, candidate_id) AS k FROM mn) WHERE k = 1)"""
+
+
+@query("g07_sequential_search", f"""WITH {SEQUENCE}
+SELECT CASE WHEN b.grid = 1 THEN 'C' ELSE 'penalise_intercept' END AS name, shown AS value,
+  (SELECT round(m, 4) + 0 FROM best WHERE grid = 2) AS best_score FROM best b JOIN cand c ON c.grid = b.grid AND c.candidate_id = b.candidate_id""")
 def g07f(t):
     """Strength first, then whether the intercept is penalised."""
     rows = one_gene_splits(t)
     merged, score, _ = G.sequential_search(
         SPEC, [{"C": STRENGTHS}, {"penalise_intercept": [False, True]}], rows, range(4), one_gene_rows(t)
     )
-    shown = [(k, str(v), float(score)) for k, v in merged.items()]
+    shown = [(k, str(v), round(float(score), 4)) for k, v in merged.items()]
     return t.spark.createDataFrame(shown, "name string, value string, best_score double")
 
 
@@ -281,13 +294,24 @@ def g13p(t):
     return G.permutation_p_value(scores, 0.2, ["grp"]).withColumn("p_value", rounded("p_value", 8))
 
 
-@query("g13_permutation_test")
+@query("g13_permutation_test", f"""WITH {ONE_GENE}, {FOLD4}, {SPLITS4},
+dealt AS (SELECT r, y, row_number() OVER (PARTITION BY r ORDER BY {draw('r')}) - 1 AS i FROM one_gene CROSS JOIN (SELECT unnest(range(3)) AS r) x),
+slot AS (SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS i FROM one_gene),
+labels AS (SELECT r, sample_id, y FROM slot JOIN dealt ON slot.i = dealt.i UNION ALL SELECT -1, sample_id, y FROM one_gene),
+rows_ AS (SELECT r, split_id, is_train, l.y, a, b FROM splits4 s JOIN labels l ON l.sample_id = s.sample_id),
+tr AS (SELECT * FROM rows_ WHERE is_train), {newton('nw', 'tr', '10', '0', 'r, split_id')},
+sc AS (SELECT o.r, o.split_id, avg(CASE WHEN y = 1 THEN -ln(1 + exp(-(u * a + v * b))) ELSE -ln(1 + exp(u * a + v * b)) END) AS s
+  FROM rows_ o JOIN nw_fit f ON f.r = o.r AND f.split_id = o.split_id WHERE NOT is_train GROUP BY 1, 2),
+m AS (SELECT r, avg(s) AS score FROM sc GROUP BY r)
+SELECT CAST(r AS INTEGER) AS permutation, round(score, 4) + 0 AS score,
+  (SELECT (count(*) FILTER (r >= 0 AND score >= (SELECT score FROM m WHERE r = -1)) + 1) / CAST(4 AS DOUBLE) FROM m) AS p_value FROM m""")
 def g13t(t):
     """A model's score against three deals of permuted labels."""
     rows = one_gene_splits(t)
     labels = t.classes.select("sample_id", "y")
     score, permuted, p = G.permutation_test(SPEC.with_params(C=0.1), rows, range(4), labels, H.negative_log_loss, 3, SEED)
-    return t.spark.createDataFrame([(score, permuted, p)], "score double, permuted array<double>, p_value double")
+    listed = [(k - 1, round(s, 4) + 0.0, p) for k, s in enumerate([score, *permuted])]  # -1: the true labels
+    return t.spark.createDataFrame(listed, "permutation int, score double, p_value double")
 
 
 @query("g14_learning_curve_subsets", f"""
@@ -306,10 +330,20 @@ def g14(t):
     return G.train_subsets(folds, G.train_size_list([0.1, 0.325, 0.55, 1.0], smallest))
 
 
-@query("g14_learning_curve")
+@query("g14_learning_curve", f"""WITH {ONE_GENE}, {FOLD4}, {SPLITS4},
+nmax AS (SELECT min(c) AS m FROM (SELECT split_id, count(*) AS c FROM splits4 WHERE is_train GROUP BY 1)),
+sizes AS (SELECT DISTINCT CAST(floor(q * m) AS INTEGER) AS train_size FROM nmax CROSS JOIN (SELECT unnest([CAST(0.2 AS DOUBLE), 1]) AS q) z),
+k AS (SELECT *, row_number() OVER (PARTITION BY split_id, is_train ORDER BY sample_id) - 1 AS k FROM splits4),
+part AS (SELECT train_size, split_id, is_train, y, a, b FROM k CROSS JOIN sizes WHERE NOT is_train OR k < train_size),
+tr AS (SELECT * FROM part WHERE is_train), {newton('nw', 'tr', '10', '0', 'train_size, split_id')},
+sc AS (SELECT o.train_size, o.split_id, is_train, avg(CASE WHEN y = 1 THEN ln(1 + exp(-(u * a + v * b))) ELSE ln(1 + exp(u * a + v * b)) END) AS loss
+  FROM part o JOIN nw_fit f ON f.train_size = o.train_size AND f.split_id = o.split_id GROUP BY 1, 2, 3)
+SELECT train_size, CAST(split_id AS INTEGER) AS split_id, round(max(loss) FILTER (is_train), 4) + 0 AS train_score, round(max(loss) FILTER (NOT is_train), 4) + 0 AS test_score
+FROM sc GROUP BY 1, 2""")
 def g14f(t):
     rows = one_gene_splits(t)
-    return G.learning_curve(SPEC.with_params(C=0.1), rows, range(4), [0.2, 1.0], H.log_loss)
+    out = G.learning_curve(SPEC.with_params(C=0.1), rows, range(4), [0.2, 1.0], H.log_loss)
+    return out.select("train_size", "split_id", rounded("train_score", 4).alias("train_score"), rounded("test_score", 4).alias("test_score"))
 
 
 @query("g15_validation_curve", f"""WITH {SEARCHED},

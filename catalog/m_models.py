@@ -6,14 +6,16 @@ import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from catalog.f_selection import L1, PCA2, QUICK, index_of, model_rows, split_rows
-from catalog.fits_sql import ONE_GENE, TWO_GENES, lasso_descent, newton
+from catalog.e_folds import draw, fold_sql
+from catalog.f_selection import FITS4, L1, PCA2, QUICK, index_of, model_rows, split_rows
+from catalog.fits_sql import ALL_GENES, LOSS, ONE_GENE, TWO_GENES, descent, newton
 from catalog.g_search import SPEC, one_gene_rows
 from catalog.registry import query, rounded
+from catalog.tables import GENES
 from riskloom.functions.vectors import with_vector
 from riskloom.operators import metrics as H
 from riskloom.operators import models as M
-from riskloom.operators.folds import repeated_stratified_k_fold
+from riskloom.operators.folds import repeated_stratified_k_fold, stratified_k_fold
 from riskloom.operators.metrics import roc_auc
 from riskloom.operators.runs import compare_models
 from riskloom.operators.selection import repeated_fits, slice_genes, weight_table
@@ -46,14 +48,18 @@ def m01b(t):
     return _weights(t, SPEC.with_params(fit_intercept=False).fit(slice_genes(model_rows(t), [0, 1])))
 
 
-@query("m01_logistic_l2_all_genes")
+@query("m01_logistic_l2_all_genes", f"""WITH {ALL_GENES},
+longer AS (SELECT y, list_append(x, CAST(1 AS DOUBLE)) AS x FROM scaled), {descent('cd', 'longer', GENES + 1, l2=10.0, free=1)}
+SELECT CAST(i AS INTEGER) AS gene_id, round(w[i + 1], 3) + 0 AS value FROM (SELECT w, unnest(range({GENES})) AS i FROM cd_fit)""")
 def m01c(t):
-    return weight_table(M.LogisticSpec(C=0.1).fit(model_rows(t)), index_of(t))
+    """All genes with a free intercept: equal to coordinate descent."""
+    weights = weight_table(SPEC.with_params(C=0.1).fit(model_rows(t)), index_of(t))
+    return weights.select("gene_id", rounded("value", 3).alias("value"))
 
 
 @query("m02_logistic_l1", f"""
 WITH scaled AS (SELECT CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y, list_transform(embedding[1:12], lambda e: 10 * CAST(e AS DOUBLE)) AS x FROM embeddings),
-{lasso_descent('cd', 'scaled', 12, 4.0)}
+{descent('cd', 'scaled', 12, l1=4.0, sweeps=40)}
 SELECT CAST(i AS INTEGER) AS gene_ix, round(w[i + 1], 4) + 0 AS weight, CAST(0 AS DOUBLE) AS intercept FROM (SELECT w, unnest(range(12)) AS i FROM cd_fit)""")
 def m02(t):
     """Twelve genes, strength 0.25: equal to coordinate descent."""
@@ -110,15 +116,28 @@ _kernel_query(
     "1 / (1 + list_sum(list_transform(range(64), lambda k: abs(x[k + 1] - c[k + 1]))))",
 )
 
-RBF = M.KernelLogisticSpec(C=10.0, kind="rbf", gamma=2.0)
+RBF = M.KernelLogisticSpec(C=0.1, kind="rbf", gamma=2.0, max_iter=300, tol=1e-15)
 
 
-@query("m05_kernel_logistic")
+def kernel_fit_sql(value: str, l2: float) -> str:
+    """CTE ``kp(sample_id, y, d)``: decision values of a logistic fit on the kernel with the class means."""
+    return f"""{CENTRES}, lab AS (SELECT vec_id AS sample_id, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y FROM embeddings),
+kv AS (SELECT s.sample_id, y, list_append(list({value} ORDER BY landmark_ix), CAST(1 AS DOUBLE)) AS x
+  FROM smp s JOIN lab ON lab.sample_id = s.sample_id CROSS JOIN centres GROUP BY s.sample_id, y),
+{descent('kd', 'kv', 11, l2=l2, free=1, sweeps=400)},
+kp AS (SELECT sample_id, y, list_dot_product(w, x) AS d FROM kv CROSS JOIN kd_fit)"""
+
+
+SQUARED = "(list_dot_product(s.x, s.x) + list_dot_product(c, c) - 2 * list_dot_product(s.x, c))"
+
+
+@query("m05_kernel_logistic", f"""WITH {kernel_fit_sql(f'exp(-2 * {SQUARED})', 10.0)}
+SELECT sample_id, CAST(y AS DOUBLE) AS label, round(1 / (1 + exp(-d)), 3) + 0 AS p1 FROM kp""")
 def m05(t):
     """Fit on the kernel with the class means; probabilities of all samples."""
     rows = with_vector(t.vectors.drop("code"))
     spec = RBF.with_params(landmarks=centres(t))
-    return spec.fit(rows).transform(rows).select("sample_id", "label", "p1", "decision", "prediction")
+    return spec.fit(rows).transform(rows).select("sample_id", "label", rounded("p1", 3).alias("p1"))
 
 
 @query("m06_kernel_probability", f"""WITH {CENTRES},
@@ -132,11 +151,12 @@ def m06(t):
     return out.select("sample_id", rounded("decision").alias("decision"), rounded("p1").alias("p1"), "prediction")
 
 
-@query("m07_kernel_class")
+@query("m07_kernel_class", f"""WITH {kernel_fit_sql('pow(list_dot_product(s.x, c) + 1, 2)', 20.0)}
+SELECT sample_id, CAST(y AS DOUBLE) AS label, CAST(CASE WHEN d > 0 THEN 1 ELSE 0 END AS INTEGER) AS prediction FROM kp""")
 def m07(t):
     """Class by the sign of the decision value, polynomial kernel."""
     rows = with_vector(t.vectors.drop("code"))
-    spec = M.KernelLogisticSpec(C=1.0, kind="poly", gamma=1.0, degree=2, landmarks=centres(t))
+    spec = RBF.with_params(C=0.05, kind="poly", gamma=1.0, degree=2, landmarks=centres(t))
     return spec.fit(rows).transform(rows).select("sample_id", "label", "prediction")
 
 
@@ -191,10 +211,15 @@ def m10l(t):
     return _weights(t, M.RegressionSpec("lasso", alpha=0.05).fit(_months(t)))
 
 
-@query("m11_repeated_fits")
+@query("m11_repeated_fits", f"""WITH {FITS4},
+tested AS (SELECT a.split_id, y, 1 / (1 + exp(-list_dot_product(w, x))) AS p1 FROM all_splits a JOIN cd_fit c ON a.split_id = c.split_id WHERE NOT is_train)
+SELECT CAST(split_id AS INTEGER) AS fit_id, 'weight' AS kind, CAST(gene_id AS VARCHAR) AS name, round(value, 3) + 0 AS value FROM fits
+UNION ALL SELECT CAST(split_id AS INTEGER), 'metrics', 'loss', round({LOSS}, 3) + 0 FROM tested GROUP BY split_id
+UNION ALL SELECT CAST(split_id AS INTEGER), 'metrics', 'accuracy', round(avg(CASE WHEN (p1 > 0.5) = (y = 1) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 3) + 0 FROM tested GROUP BY split_id""")
 def m11(t):
     """Weights and metrics of one fit per fold."""
-    return repeated_fits(QUICK, split_rows(t, 4), range(4), index_of(t), {"loss": H.log_loss, "accuracy": H.accuracy})
+    stats = repeated_fits(L1, split_rows(t, 4), range(4), index_of(t), {"loss": H.log_loss, "accuracy": H.accuracy})
+    return stats.withColumn("value", rounded("value", 3))
 
 
 @query("m12_component_mesh", f"""
@@ -239,20 +264,73 @@ def _nested(t, split_ids):
     )
 
 
-@query("r01_nested_evaluation")
+@query("r01_nested_evaluation_l1")
 def r01(t):
     """Select, search and score inside each outer split: mean and variance of the results."""
     results, _ = _nested(t, range(2))
     return compare_models(results)
 
 
-@query("r02_out_of_fold_predictions")
+@query("r02_out_of_fold_predictions_l1")
 def r02(t):
     """Outer-fold probabilities of every sample."""
     _, predictions = _nested(t, range(2))
     return predictions
 
 
+# One gene, two outer and two inner folds, two strengths: all steps by Newton's method.
+NESTED = f"""{ONE_GENE},
+oix AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY sample_id) - 1 AS i, count(*) OVER (PARTITION BY y) AS n FROM one_gene),
+outer_f AS (SELECT sample_id, y, a, b, {fold_sql('i', 'n', 2)} AS fold FROM oix),
+otr AS (SELECT o, sample_id, y, a, b FROM outer_f CROSS JOIN (SELECT unnest(range(2)) AS o) t WHERE fold <> o),
+iix AS (SELECT *, row_number() OVER (PARTITION BY o, y ORDER BY {draw('0', seed=0)}) - 1 AS i, count(*) OVER (PARTITION BY o, y) AS n FROM otr),
+inner_f AS (SELECT o, y, a, b, s, {fold_sql('i', 'n', 2)} <> s AS is_train FROM iix CROSS JOIN (SELECT unnest(range(2)) AS s) t),
+cand AS (SELECT * FROM (VALUES (0, '0.01', CAST(0.01 AS DOUBLE)), (1, '0.1', CAST(0.1 AS DOUBLE))) v(k, shown, c)),
+itr AS (SELECT o, s, k, c, y, a, b FROM inner_f CROSS JOIN cand WHERE is_train),
+{newton('inw', 'itr', '1 / c', '0', 'o, s, k')},
+isc AS (SELECT i.o, i.s, f.k, count(*) AS n, avg(CASE WHEN y = 1 THEN -ln(1 + exp(-(u * a + v * b))) ELSE -ln(1 + exp(u * a + v * b)) END) AS score
+  FROM inner_f i JOIN inw_fit f ON f.o = i.o AND f.s = i.s WHERE NOT is_train GROUP BY 1, 2, 3),
+means AS (SELECT o, k, sum(n * score) / sum(n) AS m FROM isc GROUP BY 1, 2),
+best AS (SELECT o, k, m FROM (SELECT *, row_number() OVER (PARTITION BY o ORDER BY m DESC, k) AS r FROM means) WHERE r = 1),
+rtr AS (SELECT t.o, y, a, b, c FROM otr t JOIN best ON best.o = t.o JOIN cand ON cand.k = best.k),
+{newton('rnw', 'rtr', '1 / c', '0', 'o')},
+tested AS (SELECT fold AS o, sample_id, y, u * a + v * b AS d FROM outer_f JOIN rnw_fit ON rnw_fit.o = fold)"""
+
+
+def _nested_one_gene(t):
+    labels = t.classes.select("sample_id", "y")
+    expr = t.expr.where("gene_id = 0").withColumn("value", F.col("value") * 10)
+    metrics = {"log_loss": H.negative_log_loss, "accuracy": H.accuracy}
+    return nested_evaluation(
+        expr, labels, stratified_k_fold(labels, "y", 2), range(2), "logistic", SPEC, {"C": [0.01, 0.1]},
+        "all", all_genes, metrics, 2, "log_loss",
+    )
+
+
+@query("r01_nested_evaluation", f"""WITH {NESTED},
+lines AS (SELECT o, -avg(ln(1 + exp(CASE WHEN y = 1 THEN -d ELSE d END))) AS loss,
+  avg(CASE WHEN (d > 0) = (y = 1) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS acc FROM tested GROUP BY o)
+SELECT CAST(o AS INTEGER) AS split_id, 'general' AS section, 'fs_size' AS name, CAST(1 AS DOUBLE) AS value FROM lines
+UNION ALL SELECT CAST(o AS INTEGER), 'Test', 'score', round(loss, 4) + 0 FROM lines
+UNION ALL SELECT CAST(o AS INTEGER), 'Test', 'log_loss', round(loss, 4) + 0 FROM lines
+UNION ALL SELECT CAST(o AS INTEGER), 'Test', 'accuracy', round(acc, 4) + 0 FROM lines
+UNION ALL SELECT CAST(o AS INTEGER), 'Validation', 'score', round(m, 4) + 0 FROM best
+UNION ALL SELECT CAST(o AS INTEGER), 'Validation', 'C', c FROM best JOIN cand ON cand.k = best.k""")
+def r01n(t):
+    """One result row per outer split and field: size, test scores, validation score, best parameter."""
+    results, _ = _nested_one_gene(t)
+    numbers = results.where("name <> 'Class'")
+    return numbers.select("split_id", "section", "name", rounded(F.col("value").cast("double"), 4).alias("value"))
+
+
+@query("r02_out_of_fold_predictions", f"""WITH {NESTED}
+SELECT CAST(o AS INTEGER) AS split_id, sample_id, CAST(y AS DOUBLE) AS label, round(1 / (1 + exp(-d)), 3) + 0 AS p1 FROM tested""")
+def r02n(t):
+    """Probability of every sample from the outer split that tests it."""
+    _, predictions = _nested_one_gene(t)
+    return predictions.select("split_id", "sample_id", "label", rounded("p1", 3).alias("p1"))
+
+
 SECOND = f"""first_c AS (SELECT CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y, 10 * CAST(embedding[2] AS DOUBLE) AS a, CAST(1 AS DOUBLE) AS b FROM embeddings WHERE vec_id % 2 = 0),
 {newton('nw', 'first_c', 'CAST(1 AS DOUBLE)', '0')},
 pred AS (SELECT vec_id AS sample_id, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y, u * 10 * CAST(embedding[2] AS DOUBLE) + v AS d FROM embeddings CROSS JOIN nw_fit WHERE vec_id % 2 = 1)"""

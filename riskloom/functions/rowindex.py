@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from riskloom.runtime import cut
+from riskloom.runtime import broadcast_if_small, cut
 
 _ROW_BITS = (1 << 33) - 1  # low bits of monotonically_increasing_id: position in its partition
 
@@ -63,8 +63,10 @@ def with_row_index(
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     rows = _placed(df, groups, order)
     sizes = rows.groupBy("_ri_part", *groups).agg(F.min("_ri_pos").alias("_ri_first"), F.count("*").alias("_ri_n"))
-    shifts = _shift(sizes, groups, "_ri_part", "_ri_n")
-    out = _rejoin(rows, shifts.drop("_ri_n"), ["_ri_part", *groups])
+    shifts = _shift(sizes, groups, "_ri_part", "_ri_n").drop("_ri_n")
+    # ungrouped: one row per range; grouped: at most ranges + groups, so that is counted
+    shifts = broadcast_if_small(shifts) if groups else F.broadcast(shifts)
+    out = _rejoin(rows, shifts, ["_ri_part", *groups])
     out = out.withColumn(name, F.col("_ri_pos") - F.col("_ri_first") + F.col("_ri_before"))
     if count:
         out = out.withColumn(count, F.col("_ri_all"))
