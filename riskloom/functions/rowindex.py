@@ -129,11 +129,14 @@ def with_shuffled_index(
     return out.drop("_ri_key", "_ri_bucket", "_ri_pos", "_ri_before", "_ri_all")
 
 
-def order_statistics(df: DataFrame, groups: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+def order_statistics(
+    df: DataFrame, groups: Sequence[str], value: str, shares: dict[str, float], count: str | None = None
+) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one column per entry of ``shares``.
 
     Equal values are counted before the sort, so a value that fills a third of the table
-    is one row here; the quantile is read off the running counts.
+    is one row here; the quantile is read off the running counts.  ``count`` names an
+    extra column with the number of values.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_c"))
     ranked = with_running_sum(counts, [value], "_c", groups, "_upto", "_n")
@@ -153,4 +156,4 @@ def order_statistics(df: DataFrame, groups: Sequence[str], value: str, shares: d
         place = (F.col("_n") - 1) * q
         part = place - F.floor(place)
         out.append((F.col(f"_lo_{k}") + part * (F.col(f"_hi_{k}") - F.col(f"_lo_{k}"))).alias(k))
-    return picked.select(*groups, *out)
+    return picked.select(*groups, *out, *([F.col("_n").alias(count)] if count else []))

@@ -7,9 +7,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from riskloom.functions.joins import join_by_key
 from riskloom.functions.rowindex import order_statistics, with_running_sum
 from riskloom.functions.scalar import inverse_normal, normal_probe
-from riskloom.runtime import cut
+from riskloom.runtime import broadcast_if_small, cut
 
 NORMAL_EDGE = 1e-7  # ranks are kept this far from 0 and 1 before the normal map
 
@@ -29,7 +30,7 @@ def restrict_to_common(first: DataFrame, second: DataFrame) -> tuple[DataFrame,
 
     The gene list is written first, so that neither table is read once more per side.
     """
-    genes = cut(common_genes(first, second), "common")
+    genes = broadcast_if_small(cut(common_genes(first, second), "common"))
     return first.join(genes, "gene_id", "left_semi"), second.join(genes, "gene_id", "left_semi")
 
 
@@ -43,15 +44,16 @@ def normal_ranks(expr: DataFrame) -> DataFrame:
     """Average rank of every value within its cohort and gene: adds ``avg_rank`` and ``n``.
 
     Equal values are counted first; ranks are worked out on distinct values only and
-    joined back, so neither a long gene nor a frequent value lands in one task.
+    joined back with frequent values split, so neither a long gene nor a value that many
+    samples share lands in one task.
     """
     keys = ["cohort", "gene_id"]
     counts = expr.groupBy(*keys, "value").agg(F.count("*").alias("_c"))
     ranked = with_running_sum(counts, ["value"], "_c", keys, "_upto", "n")
     ranked = ranked.select(
-        *keys, "value", (F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / 2).alias("avg_rank"), "n"
+        *keys, "value", (F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / 2).alias("avg_rank"), "n", "_c"
     )
-    return expr.join(ranked, [*keys, "value"])
+    return join_by_key(expr, ranked, [*keys, "value"], "_c")
 
 
 def quantile_normalise(expr: DataFrame) -> DataFrame:
@@ -80,9 +82,9 @@ def map_symbols(probes: DataFrame, gene_map: DataFrame) -> DataFrame:
 
 
 def inter_quartile_range(expr: DataFrame) -> DataFrame:
-    """``(gene_id, iqr)`` from exact quartiles."""
-    quartiles = order_statistics(expr, ["gene_id"], "value", {"q1": 0.25, "q3": 0.75})
-    return quartiles.select("gene_id", (F.col("q3") - F.col("q1")).alias("iqr"))
+    """``(gene_id, iqr, n)`` from exact quartiles; n counts the gene's values."""
+    quartiles = order_statistics(expr, ["gene_id"], "value", {"q1": 0.25, "q3": 0.75}, count="n")
+    return quartiles.select("gene_id", (F.col("q3") - F.col("q1")).alias("iqr"), "n")
 
 
 def widest_probe(symbols: DataFrame, iqr: DataFrame) -> DataFrame:
@@ -126,8 +128,9 @@ def symbol_assignment(symbols: DataFrame, iqr: DataFrame) -> DataFrame:
 def update_genes(expr: DataFrame, gene_map: DataFrame) -> DataFrame:
     """Measurement table under current gene symbols."""
     symbols = cut(map_symbols(expr.select("gene_id").distinct(), gene_map), "symbols")
-    chosen = symbol_assignment(symbols, inter_quartile_range(expr))
-    return expr.join(chosen, "gene_id").select("sample_id", F.col("gene_symbol").alias("gene_id"), "value")
+    spread = cut(inter_quartile_range(expr), "iqr")
+    chosen = symbol_assignment(symbols, spread).join(spread.select("gene_id", "n"), "gene_id")
+    return join_by_key(expr, chosen, ["gene_id"], "n").select("sample_id", F.col("gene_symbol").alias("gene_id"), "value")
 
 
 def annotate(genes: DataFrame, platform: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from riskloom.functions.joins import join_by_key
 from riskloom.functions.rowindex import shuffle_key, with_row_index, with_shuffled_index
 from riskloom.runtime import bounded_rows, broadcast_if_small
 
@@ -170,8 +171,10 @@ def group_k_fold(samples: DataFrame, group: str, n_splits: int) -> DataFrame:
         filled = _water_fill(np.stack(loads.to_numpy()), size.to_numpy(), rank.to_numpy())
         return pd.Series(filled[1])
 
-    folds = ranked.join(broadcast_if_small(table), "size").select(group, fold("loads", "size", "rank").alias("split_id"))
-    return samples.join(folds, group).select(*samples.columns, "split_id")
+    folds = ranked.join(broadcast_if_small(table), "size").select(
+        group, "size", fold("loads", "size", "rank").alias("split_id")
+    )
+    return join_by_key(samples, folds, [group], "size").select(*samples.columns, "split_id")
 
 
 # -- E6..E10 ----------------------------------------------------------------------------
@@ -250,7 +253,8 @@ def leave_p_out(
 
 
 def _group_index(samples: DataFrame, group: str) -> DataFrame:
-    return with_row_index(samples.select(group).distinct(), [group], name="_ix")
+    """``(group, _size, _ix)``: rows and dense place of every group."""
+    return with_row_index(samples.groupBy(group).agg(F.count("*").alias("_size")), [group], name="_ix")
 
 
 def leave_one_group_out(samples: DataFrame, group: str) -> DataFrame:
@@ -258,7 +262,9 @@ def leave_one_group_out(samples: DataFrame, group: str) -> DataFrame:
     index = _group_index(samples, group)
     if index.count() < 2:
         raise ValueError("at least 2 groups are needed")
-    return samples.join(index.withColumnRenamed("_ix", "split_id"), group).select(*samples.columns, "split_id")
+    return join_by_key(samples, index.withColumnRenamed("_ix", "split_id"), [group], "_size").select(
+        *samples.columns, "split_id"
+    )
 
 
 def leave_p_groups_out(
@@ -270,7 +276,9 @@ def leave_p_groups_out(
     if n <= p:
         raise ValueError(f"leaving out {p} groups needs more than {p} groups, there are {n}")
     wanted = _chosen_splits(samples.sparkSession, n, p, splits, limit)
-    return samples.join(index.join(wanted, "_ix").drop("_ix"), group).select(*samples.columns, "split_id")
+    return join_by_key(samples, index.join(wanted, "_ix").drop("_ix"), [group], "_size").select(
+        *samples.columns, "split_id"
+    )
 
 
 # -- E11..E13 ---------------------------------------------------------------------------
@@ -306,9 +314,9 @@ def group_shuffle_split(
     train_size: float | int | None = None,
 ) -> DataFrame:
     """A shuffle split of the groups, carried to their samples."""
-    groups = samples.select(group).distinct()
+    groups = samples.groupBy(group).agg(F.count("*").alias("_size"))
     drawn = shuffle_split(groups, n_splits, seed, test_size, train_size, ident=group, default_test=0.2)
-    return samples.join(drawn, group).select(*samples.columns, "split_id", "is_train")
+    return join_by_key(samples, drawn, [group], "_size").select(*samples.columns, "split_id", "is_train")
 
 
 def draw_quota(sizes: DataFrame, n_draws: int, by: Sequence[str], label: str, size: str, seed: int, name: str) -> DataFrame:
@@ -375,9 +383,8 @@ def stratified_shuffle_split(
 def predefined_split(samples: DataFrame, fold: str) -> DataFrame:
     """Given fold numbers; -1 never tests.  Split ids are dense in the order of the numbers."""
     tested = samples.where(F.col(fold) != -1)
-    return tested.join(_group_index(tested, fold).withColumnRenamed("_ix", "split_id"), fold).select(
-        *samples.columns, "split_id"
-    )
+    numbers = _group_index(tested, fold).withColumnRenamed("_ix", "split_id")
+    return join_by_key(tested, numbers, [fold], "_size").select(*samples.columns, "split_id")
 
 
 def given_split(pairs: DataFrame) -> DataFrame:

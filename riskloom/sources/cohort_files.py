@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from riskloom.functions.joins import join_by_key
 from riskloom.functions.rowindex import with_row_index
 from riskloom.runtime import bounded_rows
 
@@ -128,11 +129,13 @@ def one_hot(df: DataFrame, columns: Sequence[str], max_values: int = 1000) -> Da
 
 def standardise(expr: DataFrame) -> DataFrame:
     """Every gene to mean 0 and (population) variance 1; a constant gene becomes 0."""
-    stats = expr.groupBy("gene_id").agg(F.avg("value").alias("_mean"), F.stddev_pop("value").alias("_sd"))
+    stats = expr.groupBy("gene_id").agg(
+        F.avg("value").alias("_mean"), F.stddev_pop("value").alias("_sd"), F.count("*").alias("_n")
+    )
     scaled = F.when(F.col("_sd") > 0, (F.col("value") - F.col("_mean")) / F.col("_sd")).otherwise(
         F.col("value") - F.col("_mean")
     )
-    return expr.join(stats, "gene_id").select("sample_id", "gene_id", scaled.alias("value"))
+    return join_by_key(expr, stats, ["gene_id"], "_n").select("sample_id", "gene_id", scaled.alias("value"))
 
 
 # -- A8, A9 -----------------------------------------------------------------------------

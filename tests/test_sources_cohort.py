@@ -80,4 +80,4 @@ def test_normalised_ties_share_a_value(spark):
     rows = [("c", i, "g", v) for i, v in enumerate([1.0, 2.0, 2.0, 9.0])]
     df = spark.createDataFrame(rows, "cohort string, sample_id int, gene_id string, value double")
     got = {r["sample_id"]: r["value"] for r in C.quantile_normalise(df).collect()}
-    assert got[1] == got[2] == pytest.approx(0.0, abs=1e-9) and got[0] == -got[3]
+    assert got[1] == got[2] == pytest.approx(0.0, abs=1e-9) and got[0] == pytest.approx(-got[3])
