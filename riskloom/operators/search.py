@@ -405,7 +405,7 @@ def permutation_test(
     permuted = []
     for k in range(n_permutations):
         one = shuffled.where(F.col("permutation") == k).select("sample_id", F.col("y").cast("double").alias("label"))
-        permuted.append(mean_score(rows.drop("label").join(one, "sample_id")))
+        permuted.append(mean_score(cut(rows.drop("label").join(one, "sample_id"), "dealt")))
     p = (sum(s >= true_score for s in permuted) + 1) / (n_permutations + 1)
     return true_score, permuted, p
 
@@ -449,7 +449,7 @@ def learning_curve(
     subsets = cut(train_subsets(folds, listed), "subsets")
     logs = []
     for size in listed:
-        part = attach_sides(rows.drop("test_in", "train_in"), subsets.where(F.col("train_size") == size))
+        part = cut(attach_sides(rows.drop("test_in", "train_in"), subsets.where(F.col("train_size") == size)), "part")
         log = fit_and_score(spec, [{}], part, split_ids, {"score": metric}, train_scores=True)
         logs.append(log.select(F.lit(size).alias("train_size"), "split_id", "train_score", "test_score"))
     return reduce(DataFrame.unionByName, logs)

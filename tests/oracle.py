@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from collections import Counter
@@ -66,7 +67,7 @@ def main() -> int:
     from riskloom.runtime import local_session
 
     sf_dir, prefixes = sys.argv[1], sys.argv[2:]
-    spark = local_session()
+    spark = local_session(partitions=int(os.environ.get("CHECK_PARTITIONS", "8")))
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = duck(sf_dir), 0
     queries, oracles = entry.queries(), entry.oracle_sql()
