@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: Largest side that is broadcast on purpose; anything bigger is joined by shuffle.
 BROADCAST_ROWS = 200_000
 
+_LOCAL_FOLDERS: dict[str, str] = {}  # by application, for local sessions only
+
 
 def local_session(cpus: int | str = 8, partitions: int = 8, app: str = "riskloom") -> SparkSession:
     """Session for tests and benchmarks on one machine."""
@@ -40,9 +42,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="riskloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="riskloom-")
+    return _LOCAL_FOLDERS[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
