@@ -107,7 +107,8 @@ def fit_and_score(
     metrics = metrics or DEFAULT_METRICS
     spark = rows.sparkSession
     split_ids = [int(s) for s in split_ids]
-    kept = rows.persist(StorageLevel.MEMORY_AND_DISK)  # each row once, whatever the number of splits
+    mine = not (rows.storageLevel.useMemory or rows.storageLevel.useDisk)
+    kept = rows.persist(StorageLevel.MEMORY_AND_DISK) if mine else rows  # each row once, for all splits
     sizes = side_sizes(kept, split_ids)
 
     def one(job: tuple[int, tuple[int, dict]]) -> list[tuple]:
@@ -139,7 +140,8 @@ def fit_and_score(
     jobs = list(product(split_ids, enumerate(candidates)))
     with ThreadPool(max(1, min(parallelism, len(jobs)))) as pool:
         log = [line for lines in pool.map(inheritable_thread_target(spark)(one), jobs, chunksize=1) for line in lines]
-    kept.unpersist()
+    if mine:
+        kept.unpersist()
     return spark.createDataFrame(log, LOG_SCHEMA)
 
 
