@@ -150,9 +150,8 @@ class Kernel:
         """``(sample_id, block, values)``: kernel of every sample with each block of landmarks.
 
         ``landmarks`` holds ``(landmark_ix, features ARRAY)``, numbered from 0 without gaps.
-        Samples meet a block of
-        landmarks in groups of bounded size (block, salt), where one matrix product gives
-        all values; no pair of rows is ever a row of its own.
+        Samples meet a block of landmarks in groups of bounded size (block, salt), where one
+        matrix product gives all values; no pair of rows is ever a row of its own.
         """
         groups = max(1, ceil(rows.count() / ROWS_PER_GROUP))
         n_blocks = ceil(landmarks.count() / LANDMARK_BLOCK)
