@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from llm.common import Units, only, written
-from llm.exchange import KEYS_PER_UNIT, repeated_keys, with_repeats
+from llm.common import Units, discard, written
+from llm.exchange import KEYS_PER_UNIT, repeated_items, with_repeats
 
 _UNIT = pa.schema(
     [("unit", pa.int64()), ("n_keys", pa.int64()), ("keys", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("shas", pa.binary())]
@@ -26,7 +26,7 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def unit() -> pa.RecordBatch:
         joined = b"".join(shas)
-        keys = np.unique(np.frombuffer(joined, dtype="<u8")[::4])
+        keys = np.ascontiguousarray(np.frombuffer(joined, dtype="<u8")[::4])
         row = [[number()], [len(keys)], [keys.tobytes()], [ids], [joined]]
         return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, _UNIT)], schema=_UNIT)
 
@@ -47,10 +47,8 @@ def _judge(owners: int) -> Callable:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                keys, prints = np.frombuffer(r["keys"], dtype="<u8"), np.frombuffer(r["shas"], dtype="<u8")[::4]
-                place = np.searchsorted(keys, prints)
-                suspect = (repeated_keys(keys, r["answers"], owners) | (np.bincount(place, minlength=len(keys)) > 1))[place]
-                n = len(prints)
+                suspect = repeated_items(np.frombuffer(r["keys"], dtype="<u8"), r["answers"], owners)
+                n = len(suspect)
                 shas = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), n, [None, pa.py_buffer(r["shas"])])
                 columns = [np.arange(n) + (r["unit"] << 28), pa.array(r["doc_ids"], pa.int64()), shas.cast(pa.binary()), suspect]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, np.ndarray) else c for c, f in zip(columns, schema)], schema=schema)
@@ -75,6 +73,7 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str | Column
         _judge(owners), "row long, doc_id long, sha binary, suspect boolean"
     )
     rows = written(rows, "judged")
+    discard(units)
     suspects = rows.where("suspect").select("doc_id", "sha")
     # byte comparison: the suspects' texts meet by digest and text, summed up before the shuffle
     named = suspects.select(F.col("doc_id").alias("_id")).distinct()

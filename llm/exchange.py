@@ -1,6 +1,6 @@
 """Which 64-bit keys occur in more than one place: Golomb-coded key exchange with bitmap answers.
 
-A *unit* is what one task has gathered: a sorted array of distinct keys.  The key space is cut into
+A *unit* is what one task has gathered: one key per item, in the items' order.  The key space is cut into
 equal ranges, one per *owner*.  Every unit sends each owner its keys of that range, sorted and
 Golomb-coded.  The owner finds keys that several units sent and answers each unit with one bit per
 key.  Only codes and bitmaps travel; what belongs to a key stays with its unit.
@@ -68,7 +68,7 @@ def _send(owners: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for unit, keys in zip(batch.column("unit").to_pylist(), batch.column("keys")):
-                keys = np.frombuffer(keys.as_buffer(), dtype="<u8")
+                keys = np.unique(np.frombuffer(keys.as_buffer(), dtype="<u8"))
                 at = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
                 full = np.flatnonzero(np.diff(at))
                 first = [keys[at[o] : at[o + 1]] - (edges[o - 1] if o else np.uint64(0)) for o in full]
@@ -98,7 +98,7 @@ def _answer(part: pa.Table) -> pa.Table:
 
 def with_repeats(units: DataFrame) -> tuple[DataFrame, int]:
     """Add ``answers`` to a written table of units (``unit`` long, ``n_keys`` long, ``keys`` binary): an
-    array of (owner, bits), empty if no other unit has any of the unit's keys.  Also the number of owners.
+    array of (owner, bits), null if no other unit has any of the unit's keys.  Also the number of owners.
     """
     total = units.agg(F.sum("n_keys")).first()[0] or 0
     owners = max(LEAST_OWNERS, -(-total // KEYS_PER_OWNER))
@@ -108,11 +108,12 @@ def with_repeats(units: DataFrame) -> tuple[DataFrame, int]:
     return units.join(answers, "unit", "left"), owners
 
 
-def repeated_keys(keys: np.ndarray, answers: list, owners: int) -> np.ndarray:
-    """One boolean per key of a unit from the answers of :func:`with_repeats`."""
-    out = np.zeros(len(keys), dtype=bool)
+def repeated_items(item_keys: np.ndarray, answers: list | None, owners: int) -> np.ndarray:
+    """Which items of a unit have a key that another item has, in this unit or another one."""
+    keys, place, times = np.unique(item_keys, return_inverse=True, return_counts=True)
+    out = times > 1
     at = np.concatenate([[0], np.searchsorted(keys, owner_edges(owners)), [len(keys)]])
     for a in answers or []:
         lo, hi = at[a["owner"]], at[a["owner"] + 1]
-        out[lo:hi] = np.unpackbits(np.frombuffer(a["bits"], dtype=np.uint8), count=hi - lo).astype(bool)
-    return out
+        out[lo:hi] |= np.unpackbits(np.frombuffer(a["bits"], dtype=np.uint8), count=hi - lo).astype(bool)
+    return out[place]

@@ -21,9 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from llm.common import Units, only, written
+from llm.common import Units, discard, only, written
 from llm.components import components
-from llm.exchange import KEYS_PER_UNIT, repeated_keys, with_repeats
+from llm.exchange import KEYS_PER_UNIT, repeated_items, with_repeats
 from llm.textbuf import Texts, mixed, slices_by_bytes
 
 #: Sets of a group that are compared in one step with themselves or those of another block.
@@ -110,7 +110,7 @@ def _gather(width: int, limit: Threshold) -> Callable:
     where a smaller partner could have a coarser one, on that."""
     schema = pa.schema(
         [("unit", pa.int64()), ("n_keys", pa.int64()), ("keys", pa.binary()), ("doc_ids", pa.list_(pa.int64())),
-         ("sizes", pa.list_(pa.int64())), ("vertices", pa.list_(pa.int64())), ("sets", pa.binary()), ("segments", pa.binary())]
+         ("sizes", pa.list_(pa.int64())), ("vertices", pa.list_(pa.int64())), ("sets", pa.binary())]
     )
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,9 +123,8 @@ def _gather(width: int, limit: Threshold) -> Callable:
 
         def unit() -> pa.RecordBatch:
             joined = np.concatenate(segments) if segments else np.zeros(0, np.uint64)
-            keys = np.unique(joined)
             about = np.concatenate(sets) if sets else np.zeros((0, 3), np.int64)
-            row = [number(), len(keys), keys.tobytes(), ids, sizes, vertices, about.tobytes(), joined.tobytes()]
+            row = [number(), len(joined), joined.tobytes(), ids, sizes, vertices, about.tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
         for batch in batches:
@@ -163,10 +162,8 @@ def _shared(owners: int) -> Callable:
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                keys, joined = np.frombuffer(r["keys"], "<u8"), np.frombuffer(r["segments"], "<u8")
-                about = np.frombuffer(r["sets"], "<i8").reshape(-1, 3)
-                place = np.searchsorted(keys, joined)
-                hit = (repeated_keys(keys, r["answers"], owners) | (np.bincount(place, minlength=len(keys)) > 1))[place]
+                joined, about = np.frombuffer(r["keys"], "<u8"), np.frombuffer(r["sets"], "<i8").reshape(-1, 3)
+                hit = repeated_items(joined, r["answers"], owners)
                 of = np.repeat(np.arange(len(about)), about[:, 2])[hit]
                 for at in range(0, len(of), 100_000):
                     part = about[of[at : at + 100_000]]
@@ -266,14 +263,15 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, doc_id: str =
     """
     limit = Threshold(percent)
     texts = only(docs, doc_id=f"{doc_id} long", text=f"{text} string")
-    schema = "unit long, n_keys long, keys binary, doc_ids array<long>, sizes array<long>, vertices array<long>, sets binary, segments binary"
+    schema = "unit long, n_keys long, keys binary, doc_ids array<long>, sizes array<long>, vertices array<long>, sets binary"
     units = written(texts.mapInArrow(_gather(width, limit), schema), "segments")
     rows = units.select(F.inline(F.arrays_zip(F.col("doc_ids").alias("doc_id"), F.col("sizes").alias("n_shingles"), F.col("vertices").alias("vertex"))))
-    rows = rows.toDF("doc_id", "n_shingles", "vertex")
+    rows = written(rows.toDF("doc_id", "n_shingles", "vertex"), "rows")
 
     answered, owners = with_repeats(units)
-    shared = answered.select("keys", "answers", "sets", "segments").mapInArrow(_shared(owners), "vertex long, size long, fragments long, segment long")
+    shared = answered.select("keys", "answers", "sets").mapInArrow(_shared(owners), "vertex long, size long, fragments long, segment long")
     shared = written(shared.distinct(), "shared")
+    discard(units)
     often = shared.groupBy("segment").agg(F.count("*").alias("times")).where("times > 1").withColumnRenamed("segment", "_segment")
     held = shared.join(often, F.col("segment") == F.col("_segment")).drop("_segment")
     mine = Window.partitionBy("vertex", "fragments")

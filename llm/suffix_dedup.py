@@ -23,8 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from llm.common import Units, written
-from llm.exchange import KEYS_PER_UNIT, repeated_keys, with_repeats
+from llm.common import Units, discard, written
+from llm.exchange import KEYS_PER_UNIT, repeated_items, with_repeats
 from llm.grouping import suffix_array
 from llm.textbuf import RangeHash, Texts, slices_by_bytes
 
@@ -75,17 +75,16 @@ def contexts(t: Texts, width: int) -> dict[str, np.ndarray]:
 
 def _gather(width: int) -> Callable:
     schema = pa.schema([("unit", pa.int64()), ("n_keys", pa.int64()), ("keys", pa.binary()), ("ids", pa.list_(pa.int64())), ("prints", pa.list_(pa.int64())),
-                        ("anchors", pa.binary()), ("wholes", pa.binary()), ("places", pa.binary())])
+                        ("wholes", pa.binary()), ("places", pa.binary())])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, ids, prints, found = Units(), [], [], []
 
         def unit() -> pa.RecordBatch:
             anchors = np.concatenate([f["anchor"] for f in found])
-            keys = np.unique(anchors)
             places = np.stack([np.concatenate([f[c] for f in found]) for c in ("text", "first", "last")], axis=1).astype("<u4")
             wholes = np.concatenate([f["whole"] for f in found])
-            row = [number(), len(keys), keys.tobytes(), ids, prints, anchors.tobytes(), wholes.tobytes(), places.tobytes()]
+            row = [number(), len(anchors), anchors.tobytes(), ids, prints, wholes.tobytes(), places.tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
         held = 0
@@ -116,10 +115,9 @@ def _suspects(owners: int) -> Callable:
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                keys, anchors = np.frombuffer(r["keys"], "<u8"), np.frombuffer(r["anchors"], "<u8")
+                anchors = np.frombuffer(r["keys"], "<u8")
                 wholes, places = np.frombuffer(r["wholes"], "<i8"), np.frombuffer(r["places"], "<u4").reshape(-1, 3).astype(np.int64)
-                at = np.searchsorted(keys, anchors)
-                hit = np.flatnonzero((repeated_keys(keys, r["answers"], owners) | (np.bincount(at, minlength=len(keys)) > 1))[at])
+                hit = np.flatnonzero(repeated_items(anchors, r["answers"], owners))
                 ids, prints = pa.array(r["ids"], pa.int64()), pa.array(r["prints"], pa.int64())
                 for k in range(0, len(hit), 100_000):
                     h = hit[k : k + 100_000]
@@ -330,10 +328,11 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(texts: DataFrame, width: int) -> DataFrame:
     """doc_id, print, begin, finish of byte spans that cover all repeated windows of (doc_id, print, text binary)."""
-    schema = "unit long, n_keys long, keys binary, ids array<long>, prints array<long>, anchors binary, wholes binary, places binary"
+    schema = "unit long, n_keys long, keys binary, ids array<long>, prints array<long>, wholes binary, places binary"
     units = written(texts.mapInArrow(_gather(width), schema), "contexts")
     answered, owners = with_repeats(units)
     found = written(answered.drop("unit", "n_keys").mapInArrow(_suspects(owners), _CONTEXT), "suspects")
+    discard(units)
 
     place = F.struct("doc_id", "print", "first", "last")
     kinds = found.groupBy("anchor", "whole").agg(F.count("*").alias("times"), F.min(place).alias("one"))
