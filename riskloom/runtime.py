@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: Largest side that is broadcast on purpose; anything bigger is joined by shuffle.
 BROADCAST_ROWS = 200_000
 
-_LOCAL_FOLDERS: dict[str, str] = {}  # by application, for local sessions only
+_WRITTEN: dict[str, set[str]] = {}  # scratch folders of each application
 
 
 def local_session(cpus: int | str = 8, partitions: int = 8, app: str = "riskloom") -> SparkSession:
@@ -27,30 +27,25 @@ def local_session(cpus: int | str = 8, partitions: int = 8, app: str = "riskloom
         .config("spark.driver.memory", "16g")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="riskloom-"))
         .getOrCreate()
     )
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
+    """The folder the cluster names in ``spark.checkpoint.dir``, else one below the warehouse.
 
-    Only a local session without the setting gets a temporary folder: on a cluster a
-    machine-local folder would be lost together with its machine.
+    Both are shared by all executors; a machine-local folder would be lost with its machine.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="riskloom-")
-    return _LOCAL_FOLDERS[app]
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/scratch"
+    return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path of its own below the shared folder."""
-    return f"{shared_folder(spark)}/riskloom-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_folder(spark)}/riskloom-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, set()).add(folder)
+    return f"{folder}/{name}"
 
 
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -62,7 +57,28 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_folder = path.rpartition("/")[0]
+    return out
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of :func:`cut` that nothing will read again."""
+    for table in tables:
+        folder = table._scratch_folder
+        _WRITTEN[table.sparkSession.sparkContext.applicationId].discard(folder)
+        _remove(table.sparkSession, folder)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove every scratch folder of this application, at its end."""
+    for folder in _WRITTEN.pop(spark.sparkContext.applicationId, ()):
+        _remove(spark, folder)
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

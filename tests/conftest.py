@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from riskloom.runtime import local_session
+from riskloom.runtime import clear_scratch, local_session
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -12,4 +12,5 @@ def spark():
     session = local_session(partitions=4, app="tests")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_scratch(session)
     session.stop()
