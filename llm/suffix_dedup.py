@@ -7,8 +7,8 @@ Windows next to each other mostly share their anchor and form one *context*.
 1. Contexts whose anchor occurs nowhere else hold no repeated window (Golomb-coded exchange of anchor
    hashes).  Contexts that occur twice as a whole are repeated throughout.
 2. What is left are the ends of repeated passages: different contexts around one anchor.  Their bytes are
-   cut down to what lies around a repeated core and suffix-sorted by linear grouping; equal windows are
-   neighbours in that order.
+   cut down to what lies around a repeated core, the core itself is one symbol, and the rest is suffix-sorted
+   by linear grouping; equal windows are neighbours in that order.
 3. An anchor with very many different contexts is split further, window by window.
 
 Sorting and comparing is done on input bytes, so what is removed never hides another repetition.
@@ -35,8 +35,8 @@ STEP = 18
 SORTED_TOGETHER = 1000
 #: Contexts that one sorting task gets.
 CONTEXTS_PER_TASK = 4000
-#: Bytes in one suffix sort; more are sorted in several, anchors never apart.
-SORT_BYTES = 1 << 18
+#: Symbols in one suffix sort; more are sorted in several, strings with one core never apart.
+SORT_SYMBOLS = 1 << 18
 
 
 def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
@@ -59,10 +59,10 @@ def contexts(t: Texts, width: int) -> dict[str, np.ndarray]:
     at = np.arange(n - ANCHOR + 1)
     value = h.of(at, at + ANCHOR)
     least = sliding_minimum(value, width - ANCHOR + 1)
-    start = np.arange(n - width + 1)
-    owner = t.owner(start)
-    inside = start + width <= t.bounds[owner + 1]
-    start, owner, least = start[inside], owner[inside], least[inside]
+    count = np.maximum(np.diff(t.bounds) - width + 1, 0)  # windows of each text
+    owner = np.repeat(np.arange(t.n), count)
+    start = np.arange(len(owner)) + np.repeat(t.bounds[:-1] - (np.cumsum(count) - count), count)
+    least = least[start]
     # the anchor is the leftmost least one: it changes with its hash, or when the window has passed it
     new = np.ones(len(start), dtype=bool)
     new[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1]) | (value[start[:-1]] == least[:-1])
@@ -154,70 +154,113 @@ def _joined(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(bodies), dtype=np.uint8), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def cores(data: np.ndarray, bounds: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-    """(context, first, last window start) of the runs of windows whose core other contexts have too.
+class Ends:
+    """Parts of contexts around a repeated core.
 
-    ``STEP`` neighbouring windows, counted from the anchor, share the bytes between the last start and
-    the first end: windows without a repeated core are not repeated.
+    ``STEP`` neighbouring window starts, counted from the anchor, share the core: the ``width`` - ``STEP`` + 1
+    bytes that all their windows have.  Windows whose core no other context has are not repeated.  For the
+    others the core is one symbol, so a window of ``width`` bytes is a string of ``STEP`` symbols, and a part
+    has at most 2 * ``STEP`` - 1 of them.
     """
-    h = RangeHash(data)
-    n = len(bounds) - 1
-    length = np.diff(bounds)
-    # the anchor: least hash of ANCHOR bytes inside the first window of the context, as in contexts()
-    at = np.empty(n, dtype=np.int64)
-    for i in range(n):
-        begin = np.arange(bounds[i], bounds[i + 1] - ANCHOR + 1)
-        value = h.of(begin, begin + ANCHOR)[: width - ANCHOR + 1]
-        at[i] = int(np.argmin(value))
-    last = length - width
-    found, spans = [], []
-    for q in range(-(-(width - ANCHOR + 1) // STEP)):
-        hi = np.minimum(at - q * STEP, last)
-        lo = np.maximum(at - (q + 1) * STEP + 1, 0)
-        some = np.flatnonzero(lo <= hi)
-        core_from, core_to = (at - q * STEP)[some], (at - (q + 1) * STEP + 1)[some] + width
-        value = h.of(bounds[some] + core_from, bounds[some] + core_to) if len(some) else np.zeros(0, np.uint64)
-        _, place, times = np.unique(value, return_inverse=True, return_counts=True)
-        keep = some[times[place] > 1]
-        found.append(keep)
-        spans.append(np.stack([keep, lo[keep], hi[keep]], axis=1))
-    out: list[tuple[int, int, int]] = []
-    for i, lo, hi in sorted(map(tuple, np.concatenate(spans).tolist())):
-        if out and out[-1][0] == i and out[-1][2] + 1 == lo:
-            out[-1] = (i, out[-1][1], hi)
-        else:
-            out.append((i, lo, hi))
-    return out
-
 
-def repeated_windows(bodies: list[bytes], width: int) -> list[np.ndarray]:
-    """For every string the starts of the windows that another start, in any of them, has too."""
-    data, bounds = _joined(bodies)
-    n = len(data)
-    symbols = np.ones(n + len(bodies) + 1, dtype=np.int64)  # 1 parts strings, 0 ends them
-    shift = np.repeat(np.arange(len(bodies)), np.diff(bounds))
-    symbols[np.arange(n) + shift] = data.astype(np.int64) + 2
+    def __init__(self, bodies: list[bytes], width: int):
+        sizes = np.array([len(b) for b in bodies], dtype=np.int64)
+        data, bounds = np.frombuffer(b"".join(bodies), dtype=np.uint8), np.concatenate([[0], np.cumsum(sizes)])
+        h = RangeHash(data)
+        # the anchor: leftmost least hash of ANCHOR bytes inside the first window of the context, as in contexts()
+        at = np.empty(len(bodies), dtype=np.int64)
+        for i in range(len(bodies)):
+            begin = np.arange(bounds[i], bounds[i] + width - ANCHOR + 1)
+            at[i] = int(np.argmin(h.of(begin, begin + ANCHOR)))
+        last = sizes - width
+        parts = []
+        for q in range(-(-(width - ANCHOR + 1) // STEP)):
+            core_from, core_to = at - q * STEP, at - (q + 1) * STEP + 1 + width
+            lo, hi = np.maximum(core_to - width, 0), np.minimum(core_from, last)
+            some = np.flatnonzero(lo <= hi)
+            value = h.of(bounds[some] + core_from[some], bounds[some] + core_to[some])
+            _, place, times = np.unique(value, return_inverse=True, return_counts=True)
+            keep = some[times[place] > 1]
+            parts.append(np.stack([keep, lo[keep], hi[keep], core_from[keep], core_to[keep]], axis=1))
+        names: dict[bytes, int] = {}
+        strings: dict[tuple, int] = {}
+        self.parts: list[tuple[int, int, int, int]] = []  # context, first and last window start, string
+        self.core_of: list[int] = []  # per string
+        times = []
+        for i, lo, hi, f, t in np.concatenate(parts).tolist():
+            body = bodies[i]
+            core = names.setdefault(body[f:t], len(names))
+            key = (core, body[lo:f], body[t : hi + width])
+            k = strings.setdefault(key, len(strings))
+            if k == len(times):
+                times.append(0)
+                self.core_of.append(core)
+            times[k] += 1
+            self.parts.append((i, lo, hi, k))
+        self.strings, self.times = list(strings), times
+
+    def sorted_batches(self) -> Iterator[list[int]]:
+        """Strings to sort, those of one core together; a core with one string needs no sorting."""
+        by_core = np.argsort(np.array(self.core_of, dtype=np.int64), kind="stable").tolist()
+        batch: list[int] = []
+        size = at = 0
+        while at < len(by_core):
+            core, to = self.core_of[by_core[at]], at
+            while to < len(by_core) and self.core_of[by_core[to]] == core:
+                to += 1
+            if to - at > 1:
+                batch += by_core[at:to]
+                size += (to - at) * 2 * STEP
+            if size > SORT_SYMBOLS:
+                yield batch
+                batch, size = [], 0
+            at = to
+        if batch:
+            yield batch
+
+    def repeated(self) -> dict[int, np.ndarray]:
+        """Per sorted string: the places in it where a window starts that another start has too."""
+        out = {}
+        for batch in self.sorted_batches():
+            for k, places in zip(batch, repeated_windows([self._symbols(k) for k in batch], STEP)):
+                out[k] = places
+        return out
+
+    def _symbols(self, k: int) -> np.ndarray:
+        core, left, right = self.strings[k]
+        return np.concatenate([np.frombuffer(left, np.uint8), [256 + core], np.frombuffer(right, np.uint8)]).astype(np.int64)
+
+
+def repeated_windows(strings: list[np.ndarray], width: int) -> list[np.ndarray]:
+    """For every string of symbols the starts of the windows that another start, in any of them, has too."""
+    sizes = np.array([len(s) for s in strings], dtype=np.int64)
+    begin = np.concatenate([[0], np.cumsum(sizes + 1)])
+    symbols = np.ones(begin[-1] + 1, dtype=np.int64)  # 1 parts strings, 0 ends them
+    for at, s in zip(begin, strings):
+        symbols[at : at + len(s)] = s + 2
     symbols[-1] = 0
     order = np.array(suffix_array(symbols), dtype=np.int64)
-    begins = bounds + np.arange(len(bounds))
-    string = np.minimum(np.searchsorted(begins, order, side="right") - 1, len(bodies) - 1)
-    inside = (order - begins[string]) + width <= np.diff(bounds)[string]
-    order, string = order[inside], string[inside]
-    start = order - string  # in data
-    # equal windows are neighbours: compare hashes, then the bytes of those with equal hashes
-    h = RangeHash(data).of(start, start + width)
-    like = np.flatnonzero(h[1:] == h[:-1]) if len(h) > 1 else np.zeros(0, np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(data, width) if n >= width else None
-    same = np.zeros(max(len(start) - 1, 0), dtype=bool)
-    for k in range(0, len(like), 4096):
-        part = like[k : k + 4096]
-        same[part] = (views[start[part]] == views[start[part + 1]]).all(axis=1)
-    hit = np.zeros(len(start), dtype=bool)
-    hit[1:] |= same
-    hit[:-1] |= same
-    out = start[hit] - bounds[string[hit]]
+    string = np.minimum(np.searchsorted(begin, order, side="right") - 1, len(strings) - 1)
+    place = order - begin[string]
+    inside = place + width <= sizes[string]
+    order, string, place = order[inside], string[inside], place[inside]
+    # equal windows are neighbours in the order
+    windows = np.lib.stride_tricks.sliding_window_view(symbols, width)
+    hit = np.zeros(len(order), dtype=bool)
+    if len(order) > 1:
+        same = _equal_neighbours(windows, order)
+        hit[1:] |= same
+        hit[:-1] |= same
     by = np.argsort(string[hit], kind="stable")
-    return np.split(out[by], np.searchsorted(string[hit][by], np.arange(1, len(bodies))))
+    return np.split(place[hit][by], np.searchsorted(string[hit][by], np.arange(1, len(strings))))
+
+
+def _equal_neighbours(windows: np.ndarray, order: np.ndarray, step: int = 65536) -> np.ndarray:
+    out = np.empty(len(order) - 1, dtype=bool)
+    for k in range(0, len(out), step):
+        one, two = order[k : min(k + step, len(out))], order[k + 1 : min(k + step, len(out)) + 1]
+        out[k : k + step] = (windows[one] == windows[two]).all(axis=1)
+    return out
 
 
 def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -235,37 +278,16 @@ def _sort_task(width: int) -> Callable:
     """Repeated byte spans of the contexts of some anchors."""
 
     def run(part: pa.Table) -> pa.Table:
-        part = part.sort_by("anchor")
         columns = {c: part.column(c).to_pylist() for c in ("doc_id", "print", "first", "alone")}
-        bodies = [b.as_py() for b in part.column("bytes")]
-        data, bounds = _joined(bodies)
-        rows: list[tuple] = []
-        pieces = cores(data, bounds, width)
-        strings = [bodies[i][lo : hi + width] for i, lo, hi in pieces]
-        distinct = {s: k for k, s in enumerate(dict.fromkeys(strings))}
-        times = np.bincount([distinct[s] for s in strings], minlength=len(distinct))
-        hits: list[np.ndarray] = []
-        batch: list[bytes] = []
-        size, before = 0, None
-        anchors = part.column("anchor").to_pylist()
-        anchor_of = {distinct[s]: anchors[p[0]] for s, p in zip(strings, pieces)}
-        for s, k in distinct.items():
-            if size > SORT_BYTES and anchor_of[k] != before:
-                hits += repeated_windows(batch, width)
-                batch, size = [], 0
-            batch.append(s)
-            size += len(s)
-            before = anchor_of[k]
-        if batch:
-            hits += repeated_windows(batch, width)
-        for (i, lo, hi), s in zip(pieces, strings):
+        ends = Ends([b.as_py() for b in part.column("bytes")], width)
+        places, rows = ends.repeated(), []
+        for i, lo, hi, k in ends.parts:
             if columns["alone"][i]:
-                k = distinct[s]
                 base = columns["first"][i] + lo
-                if times[k] > 1:
-                    rows.append((columns["doc_id"][i], columns["print"][i], base, base + len(s)))
-                else:
-                    for a, b in zip(*_runs(hits[k])):
+                if ends.times[k] > 1:
+                    rows.append((columns["doc_id"][i], columns["print"][i], base, base + hi - lo + width))
+                elif k in places:
+                    for a, b in zip(*_runs(places[k])):
                         rows.append((columns["doc_id"][i], columns["print"][i], base + int(a), base + int(b) + width))
         names = [c.split()[0] for c in _SPAN.split(", ")]
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, zip(*rows) if rows else [[]] * 4)})

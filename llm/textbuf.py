@@ -69,8 +69,8 @@ class Texts:
         return self.data[self.bounds[i] : self.bounds[i + 1]].tobytes()
 
     def owner(self, positions: np.ndarray) -> np.ndarray:
-        """Number of the text that holds each byte position."""
-        return np.searchsorted(self.bounds, positions, side="right") - 1
+        """Number of the text that holds each of the ascending byte positions."""
+        return np.repeat(np.arange(self.n), np.diff(np.searchsorted(positions, self.bounds)))
 
     def counts(self, owners: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
         return np.bincount(owners, weights=weights, minlength=self.n).astype(np.int64)

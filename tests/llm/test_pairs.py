@@ -176,7 +176,7 @@ def test_remove_repeats(odd, empty, documents):
 def test_remove_repeats_with_many_ends(spark, monkeypatch, together):
     """One passage between different neighbours, periodic texts, and repetition inside a text."""
     monkeypatch.setattr("llm.suffix_dedup.SORTED_TOGETHER", together)
-    monkeypatch.setattr("llm.suffix_dedup.SORT_BYTES", 3000)
+    monkeypatch.setattr("llm.suffix_dedup.SORT_SYMBOLS", 300)
     draw = np.random.default_rng(3)
     noise = lambda n: "".join(draw.choice(list("abcdefgh "), n))
     passage, other = noise(500), noise(230)
