@@ -16,6 +16,8 @@ from llm.common import WORD, written
 from riskloom.functions.rowindex import with_running_sum
 
 MOST_EPOCHS = 3
+#: Rows of one source that meet one copy of its line.
+ROWS_PER_PART = 10_000
 
 
 def n_words(text: Column) -> Column:
@@ -52,8 +54,15 @@ def source_targets(sizes: DataFrame, share: float = 1.0, most: int = MOST_EPOCHS
     return rows.select("source", "source_size", "weight", target.alias("target"))
 
 
-def _same(a: str, b: str) -> Column:
-    return F.col(a).eqNullSafe(F.col(b))
+def _with_source(rows: DataFrame, per_source: DataFrame, parts: int) -> DataFrame:
+    """Rows with their source's line of ``per_source``.
+
+    A source may hold a third of all rows, so it is met by ``parts`` copies of its line; rows choose one
+    by their key.
+    """
+    line = per_source.select(F.col("source").alias("_source"), *[c for c in per_source.columns if c != "source"], F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
+    part = F.pmod(F.xxhash64("key", "doc_id"), F.lit(parts)).cast("int")
+    return rows.withColumn("_at", part).join(line, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_at") == F.col("_part"))).drop("_source", "_at", "_part")
 
 
 def draws(docs: DataFrame, weight: Column, seed: int, doc_id: str, size: Column, source: str) -> DataFrame:
@@ -65,6 +74,10 @@ def draws(docs: DataFrame, weight: Column, seed: int, doc_id: str, size: Column,
     )
 
 
+def _parts(drawn: DataFrame) -> int:
+    return 1 + drawn.count() // ROWS_PER_PART
+
+
 def cuts(drawn: DataFrame, share: float = 1.0, most: int = MOST_EPOCHS) -> DataFrame:
     """Per source: source_size, target, whole epochs, and the last (key, doc_id, size) of the sampled part.
 
@@ -76,12 +89,12 @@ def cuts(drawn: DataFrame, share: float = 1.0, most: int = MOST_EPOCHS) -> DataF
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     targets = targets.withColumn("epochs", epochs.cast("long"))
     targets = targets.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    parts = _parts(drawn)
     sums = with_running_sum(drawn.select("source", "key", "doc_id", "size"), ["key", "doc_id", "size"], "size", ["source"], "_upto")
-    wanted = targets.select(F.col("source").alias("_source"), "rest")
-    inside = sums.join(wanted, _same("source", "_source")).where((F.col("_upto") - F.col("size") / 2 <= F.col("rest")) & (F.col("rest") > 0))
+    inside = _with_source(sums, targets.select("source", "rest"), parts).where((F.col("_upto") - F.col("size") / 2 <= F.col("rest")) & (F.col("rest") > 0))
     last = inside.groupBy("source").agg(F.max(F.struct("key", "doc_id", "size")).alias("last"))
     last = last.withColumnRenamed("source", "_source")
-    return targets.join(last, _same("source", "_source"), "left").drop("_source", "rest")
+    return targets.join(last, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source", "rest")
 
 
 def _epochs_taken() -> Column:
@@ -100,8 +113,7 @@ def mix(
     """
     counted = n_words(F.col(f"`{text}`")) if size is None else F.col(f"`{size}`")
     drawn = written(draws(docs, F.lit(1.0) if weight is None else weight, seed, doc_id, counted, source), "draws")
-    per_source = cuts(drawn).withColumnRenamed("source", "_source")
-    out = drawn.join(per_source, _same("source", "_source")).withColumn("epochs_taken", _epochs_taken().cast("long"))
+    out = _with_source(drawn, cuts(drawn), _parts(drawn)).withColumn("epochs_taken", _epochs_taken().cast("long"))
     return out.select("doc_id", "source", "size", "source_size", "target", "epochs_taken", (F.col("epochs_taken") * F.col("size")).alias("taken"))
 
 
@@ -109,10 +121,14 @@ def mixed_documents(docs: DataFrame, weight: Column | None = None, seed: int = 7
     """The mix itself: every row of ``docs`` as often as it is taken, with all its columns."""
     weight = F.lit(1.0) if weight is None else weight
     drawn = written(draws(docs, weight, seed, doc_id, n_words(F.col(f"`{text}`")), source), "draws")
-    per_source = written(cuts(drawn), "cuts").select(F.col("source").alias("_source"), F.col("epochs").alias("_epochs"), F.col("last").alias("_last"))
     ident = F.col(f"d.`{doc_id}`").cast("long")
     key = -F.log(uniform(ident, seed)) / F.coalesce(weight.cast("double"), F.lit(1.0))
     mine = F.struct(key.alias("key"), ident.alias("doc_id"), n_words(F.col(f"d.`{text}`")).alias("size"))
-    joined = docs.alias("d").join(per_source.alias("s"), F.col(f"d.`{source}`").cast("string").eqNullSafe(F.col("s._source")))
+    parts = _parts(drawn)
+    line = written(cuts(drawn), "cuts").select(
+        F.col("source").alias("_source"), F.col("epochs").alias("_epochs"), F.col("last").alias("_last"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part")
+    )
+    at = F.pmod(F.xxhash64(key, ident), F.lit(parts)).cast("int")
+    joined = docs.alias("d").join(line.alias("s"), F.col(f"d.`{source}`").cast("string").eqNullSafe(F.col("s._source")) & (at == F.col("s._part")))
     times = F.col("s._epochs") + F.when(F.col("s._last").isNotNull() & (mine <= F.col("s._last")), 1).otherwise(0)
     return joined.where(times > 0).select("d.*", F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias("_time")).drop("_time")
