@@ -21,7 +21,7 @@ def _one_line(value: Column) -> Column:
 
 
 def to_records(pages: DataFrame, least_revisit: int = LEAST_REVISIT) -> DataFrame:
-    """Header and payload of one record per page: page_id, header, address (SHA-256), stored, payload.
+    """Header and payload of one record per page: page_id, header, address (SHA-256), payload.
 
     Of equal payloads of ``least_revisit`` bytes or more the page with the largest id is the response;
     pages with a null id are smallest, and rows that repeat the response's id are responses too.  A null
@@ -30,8 +30,10 @@ def to_records(pages: DataFrame, least_revisit: int = LEAST_REVISIT) -> DataFram
     plain = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"),
-    ).withColumn("address", F.sha2("payload", 256))
-    large = F.octet_length("payload") >= least_revisit
+    )
+    # everything a header says of the payload is worked out before the join, which then need not carry it
+    plain = plain.withColumns({"address": F.sha2("payload", 256), "_sha1": F.sha1("payload"), "_bytes": F.octet_length("payload")})
+    large = F.col("_bytes") >= least_revisit
     first = plain.where(large).groupBy("address").agg(F.max("page_id").alias("_owner"))
     first = first.withColumnRenamed("address", "_address")
     rows = plain.join(first, (F.col("address") == F.col("_address")) & large, "left")
@@ -44,19 +46,21 @@ def to_records(pages: DataFrame, least_revisit: int = LEAST_REVISIT) -> DataFram
         line("WARC-Record-ID", name(F.col("page_id"))),
         F.when(F.col("url").isNull(), "").otherwise(line("WARC-Target-URI", _one_line(F.col("url")))),
         F.when(response, "").otherwise(F.concat(line("WARC-Refers-To", name(F.col("_owner"))), line("WARC-Profile", F.lit(PROFILE)))),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.sha1("payload"))),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("_sha1"))),
         line("Content-Type", F.lit("text/html;charset=utf-8")),
-        line("Content-Length", F.when(response, F.octet_length("payload")).otherwise(0).cast("string")),
+        line("Content-Length", F.when(response, F.col("_bytes")).otherwise(0).cast("string")),
         F.lit("\r\n"),
     )
-    return rows.select("page_id", header.alias("header"), "address", response.alias("stored"), "payload")
+    return rows.select("page_id", header.alias("header"), "address", "payload")
 
 
 def write_archive(pages: DataFrame, path: str, least_revisit: int = LEAST_REVISIT) -> None:
-    """Write the two tables of the archive below ``path``; payload bytes travel only once per address."""
-    rows = to_records(pages, least_revisit)
-    rows.select("header", "address").write.parquet(f"{path}/records")
-    rows.where("stored").select("address", "payload").dropDuplicates(["address"]).write.parquet(f"{path}/payloads")
+    """Write the two tables of the archive below ``path``; tasks send each payload they have once."""
+    to_records(pages, least_revisit).select("header", "address").write.parquet(f"{path}/records")
+    payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
+    pages.select(payload.alias("payload")).select(F.sha2("payload", 256).alias("address"), "payload").dropDuplicates(["address"]).write.parquet(
+        f"{path}/payloads"
+    )
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
