@@ -84,6 +84,31 @@ def e05(t):
     return E.group_k_fold(t.orders_y.select("sample_id", "grp"), "grp", 4)
 
 
+NULLED = "nulled AS (SELECT sample_id, CASE WHEN grp % 5 <> 0 THEN grp END AS grp FROM orders_y)"
+
+
+def _nulled(t):
+    """A fifth of the customers has no group: together they are one."""
+    return t.orders_y.selectExpr("sample_id", "CASE WHEN grp % 5 <> 0 THEN grp END AS grp")
+
+
+@query("e05_null_group", f"""
+WITH RECURSIVE {NULLED}, sizes AS (SELECT grp, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, grp DESC NULLS LAST) AS k FROM nulled GROUP BY grp),
+walk AS (SELECT CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS fold, [CAST(0 AS BIGINT), 0, 0, 0] AS loads
+  UNION ALL
+  SELECT s.k, list_position(w.loads, list_min(w.loads)) - 1,
+    list_transform(range(4), lambda f: w.loads[f + 1] + CASE WHEN f = list_position(w.loads, list_min(w.loads)) - 1 THEN s.size ELSE 0 END)
+  FROM walk w JOIN sizes s ON s.k = w.k + 1)
+SELECT o.sample_id, o.grp, CAST(w.fold AS INTEGER) AS split_id FROM nulled o JOIN sizes s ON o.grp IS NOT DISTINCT FROM s.grp JOIN walk w ON w.k = s.k""", "orders_y")
+def e05_null(t):
+    return E.group_k_fold(_nulled(t), "grp", 4)
+
+
+@query("e09_null_group", f"WITH {NULLED} SELECT sample_id, grp, dense_rank() OVER (ORDER BY grp NULLS FIRST) - 1 AS split_id FROM nulled", "orders_y")
+def e09_null(t):
+    return E.leave_one_group_out(_nulled(t), "grp")
+
+
 def _time_sql(k: int, cap: int | None) -> str:
     low = f" AND i >= start - {cap}" if cap else ""
     return f"""
@@ -203,6 +228,17 @@ def e14(t):
     return E.predefined_split(rows, "fold")
 
 
+@query("e14_train_side", """
+SELECT sample_id, CAST(s AS BIGINT) AS split_id, sample_id % 6 = 0 OR sample_id % 6 - 1 <> s AS is_train
+FROM orders_y CROSS JOIN (SELECT unnest(range(5)) AS s) x""", "orders_y")
+def e14_train(t):
+    """Samples that never test train in every split."""
+    rows = t.orders_y.selectExpr(
+        "sample_id", "CASE WHEN sample_id % 6 = 0 THEN -1 ELSE CAST(sample_id % 6 - 1 AS INT) * 10 END AS fold"
+    )
+    return E.with_train_side(E.predefined_split(rows, "fold"), range(5), rows)
+
+
 @query("e15_given_pairs", """
 SELECT sample_id, CAST(s AS INTEGER) AS split_id, (sample_id + s) % 4 <> 0 AS is_train
 FROM orders_y CROSS JOIN (SELECT unnest(range(2)) AS s) x WHERE (sample_id + s) % 5 <> 0""", "orders_y")

@@ -9,24 +9,34 @@ from pyspark.sql import Column, DataFrame, functions as F
 from riskloom.runtime import cut
 
 ROWS_PER_COPY = 1_000_000  # rows of one key that may meet in one task
-MOST_HOT_KEYS = 10_000  # a key outside the largest 10,000 holds less than 1/10,000 of all rows
+
+
+def _with_parts(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``_parts`` of the row's key, 1 unless the key is listed; null keys match null keys."""
+    named = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_parts")
+    same = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
+    joined = df.join(named, same, "left").drop(*[f"_hot_{k}" for k in keys])
+    return joined.withColumn("_parts", F.coalesce("_parts", F.lit(1)))
 
 
 def join_by_key(
     rows: DataFrame, side: DataFrame, keys: Sequence[str], size: str, spread: Column | str = "sample_id"
 ) -> DataFrame:
-    """Inner join of ``rows`` with ``side``, whose ``size`` says how many rows a key has.
+    """Inner join of ``rows`` with ``side``, whose ``size`` says how many rows a key has; null is a key too.
 
     A key with more than ``ROWS_PER_COPY`` rows is split: its side rows are repeated once
-    per part, and its rows choose a part by the hash of ``spread``.  Only the list of such
-    keys is broadcast; it has at most ``MOST_HOT_KEYS`` entries.
+    per part, and its rows choose a part by the hash of ``spread``.  The list of such keys
+    is written once, so both sides see the same one; it has at most rows / ``ROWS_PER_COPY``
+    entries by construction, and Spark broadcasts it while its bytes allow.
     """
     spread = F.col(spread) if isinstance(spread, str) else spread
     side = cut(side.withColumn("_parts", F.ceil(F.col(size) / ROWS_PER_COPY).cast("int")), "side")
-    hot = side.where("_parts > 1").select(*keys, "_parts").distinct().orderBy(F.desc("_parts")).limit(MOST_HOT_KEYS)
-    marked = rows.join(F.broadcast(hot), list(keys), "left")
-    marked = marked.withColumn("_part", F.pmod(F.xxhash64(spread), F.coalesce("_parts", F.lit(1)))).drop("_parts")
-    listed = side.drop("_parts").join(F.broadcast(hot), list(keys), "left")
-    last = F.coalesce("_parts", F.lit(1)).cast("long") - 1
+    hot = cut(side.where("_parts > 1").select(*keys, "_parts").distinct(), "hot_keys")
+    marked = _with_parts(rows, hot, keys)
+    marked = marked.withColumn("_part", F.pmod(F.xxhash64(spread), F.col("_parts"))).drop("_parts")
+    listed = _with_parts(side.drop("_parts"), hot, keys)
+    last = F.col("_parts").cast("long") - 1
     listed = listed.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("_parts", size)
-    return marked.join(listed, [*keys, "_part"]).drop("_part")
+    renamed = listed.withColumnsRenamed({k: f"_side_{k}" for k in [*keys, "_part"]})
+    same = [F.col(k).eqNullSafe(F.col(f"_side_{k}")) for k in keys] + [F.col("_part") == F.col("_side__part")]
+    return marked.join(renamed, same).drop("_part", *[f"_side_{k}" for k in [*keys, "_part"]])

@@ -1,7 +1,7 @@
 """Global positions, ranks and running sums without a one-task window.
 
 A plain ``row_number()`` over the whole table, or over one large class, sends all of
-those rows to one task.  Here rows are first spread over ranges (or hash buckets) of
+those rows to one task.  Here rows are first spread over ranges of
 about equal size, numbered inside each, and shifted by the size of the ranges before.
 The shift table has one row per range and group, never one per row.
 """
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from riskloom.runtime import broadcast_if_small, cut
+from riskloom.runtime import cut
 
 _ROW_BITS = (1 << 33) - 1  # low bits of monotonically_increasing_id: position in its partition
 
@@ -64,8 +64,6 @@ def with_row_index(
     rows = _placed(df, groups, order)
     sizes = rows.groupBy("_ri_part", *groups).agg(F.min("_ri_pos").alias("_ri_first"), F.count("*").alias("_ri_n"))
     shifts = _shift(sizes, groups, "_ri_part", "_ri_n").drop("_ri_n")
-    # ungrouped: one row per range; grouped: at most ranges + groups, so that is counted
-    shifts = broadcast_if_small(shifts) if groups else F.broadcast(shifts)
     out = _rejoin(rows, shifts, ["_ri_part", *groups])
     out = out.withColumn(name, F.col("_ri_pos") - F.col("_ri_first") + F.col("_ri_before"))
     if count:
@@ -111,22 +109,9 @@ def with_shuffled_index(
     name: str = "row_ix",
     count: str | None = None,
 ) -> DataFrame:
-    """0-based position in hash order, per value of the ``repeat`` column (and group).
-
-    Hash prefixes cut every group, however large, into 4096 even buckets, so nothing has
-    to be sampled or written: one shuffle on (repeat, group, bucket).
-    """
-    parts = [repeat, *groups]
-    rows = df.withColumn("_ri_key", shuffle_key(seed, repeat, ident)).withColumn("_ri_bucket", F.substring("_ri_key", 1, 3))
-    sizes = rows.groupBy(*parts, "_ri_bucket").agg(F.count("*").alias("_ri_n"))
-    shifts = _shift(sizes, parts, "_ri_bucket", "_ri_n").drop("_ri_n")
-    inside = Window.partitionBy(*parts, "_ri_bucket").orderBy("_ri_key", ident)
-    rows = rows.withColumn("_ri_pos", F.row_number().over(inside) - 1)
-    out = _rejoin(rows, shifts, [*parts, "_ri_bucket"])
-    out = out.withColumn(name, F.col("_ri_pos") + F.col("_ri_before"))
-    if count:
-        out = out.withColumn(count, F.col("_ri_all"))
-    return out.drop("_ri_key", "_ri_bucket", "_ri_pos", "_ri_before", "_ri_all")
+    """0-based position in hash order, per value of the ``repeat`` column (and group)."""
+    rows = df.withColumn("_ri_key", shuffle_key(seed, repeat, ident))
+    return with_row_index(rows, ["_ri_key", ident], [repeat, *groups], name, count).drop("_ri_key")
 
 
 def order_statistics(

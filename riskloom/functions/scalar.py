@@ -65,7 +65,7 @@ def whole_months(text: Column) -> Column:
 def normal_probe(name: Column) -> Column:
     """Shared spelling of a probe name: ``HS.x`` to ``Hs.x``, else cut after the last point."""
     return (
-        F.when(name.contains("HS."), F.concat(F.lit("Hs"), F.substring(name, 3, 1_000_000)))
+        F.when(name.contains("HS."), F.concat(F.lit("Hs"), F.substr(name, F.lit(3))))
         .when(name.contains("."), F.regexp_replace(name, r"\.[^.]*$", ""))
         .otherwise(name)
     )

@@ -6,7 +6,6 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from riskloom.functions.rowindex import with_row_index
-from riskloom.runtime import broadcast_if_small
 
 
 def gene_index(genes: DataFrame) -> DataFrame:
@@ -21,7 +20,7 @@ def assemble(expr: DataFrame, index: DataFrame, fill_missing: bool = False) -> D
     missing gene is an error unless ``fill_missing`` sets it to 0.
     """
     width = index.count()
-    chosen = expr.join(broadcast_if_small(index), "gene_id")
+    chosen = expr.join(index, "gene_id")
     rows = chosen.groupBy("sample_id").agg(
         F.array_sort(F.collect_list(F.struct("gene_ix", "value"))).alias("_cells")
     )

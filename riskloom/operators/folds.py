@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from riskloom.functions.joins import join_by_key
 from riskloom.functions.rowindex import shuffle_key, with_row_index, with_shuffled_index
-from riskloom.runtime import bounded_rows, broadcast_if_small
+from riskloom.runtime import cut
 
 ID = "sample_id"
 
@@ -150,10 +150,8 @@ def group_k_fold(samples: DataFrame, group: str, n_splits: int) -> DataFrame:
     histogram of group sizes.  n rows have at most sqrt(2n) different sizes, which bounds
     what the driver holds; each group then works out its own fold from its rank.
     """
-    sizes = samples.groupBy(group).agg(F.count("*").alias("size"))
-    histogram = bounded_rows(
-        sizes.groupBy("size").agg(F.count("*").alias("m")).orderBy(F.desc("size")), 5_000_000, "group sizes"
-    )
+    sizes = cut(samples.groupBy(group).agg(F.count("*").alias("size")), "sizes")
+    histogram = sizes.groupBy("size").agg(F.count("*").alias("m")).orderBy(F.desc("size")).collect()
     if n_splits < 2 or sum(r["m"] for r in histogram) < n_splits:
         raise ValueError("the number of folds lies between 2 and the number of groups")
     loads, before = np.zeros((1, n_splits), dtype=np.int64), []
@@ -171,7 +169,7 @@ def group_k_fold(samples: DataFrame, group: str, n_splits: int) -> DataFrame:
         filled = _water_fill(np.stack(loads.to_numpy()), size.to_numpy(), rank.to_numpy())
         return pd.Series(filled[1])
 
-    folds = ranked.join(broadcast_if_small(table), "size").select(
+    folds = ranked.join(table, "size").select(
         group, "size", fold("loads", "size", "rank").alias("split_id")
     )
     return join_by_key(samples, folds, [group], "size").select(*samples.columns, "split_id")
@@ -368,7 +366,7 @@ def stratified_shuffle_split(
     quotas = stratified_quotas(samples, label, n_splits, seed, n_train, n_test)
     rows = samples.withColumn("split_id", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
     rows = with_shuffled_index(rows, ID, seed, "split_id", [label], name="_ix")
-    rows = rows.join(broadcast_if_small(quotas.drop("n_class")), ["split_id", label])
+    rows = rows.join(quotas.drop("n_class"), ["split_id", label])
     ix = F.col("_ix")
     return (
         rows.where(ix < F.col("train_quota") + F.col("test_quota"))
@@ -416,17 +414,21 @@ def train_test_split(
     return shuffle_split(samples, 1, seed, test_size, train_size, default_test=0.25).drop("split_id")
 
 
-def with_train_side(test_side: DataFrame, split_ids: Sequence[int]) -> DataFrame:
+def with_train_side(test_side: DataFrame, split_ids: Sequence[int], samples: DataFrame | None = None) -> DataFrame:
     """Long form ``(sample_id, split_id, is_train)`` of the named splits.
 
-    A sample trains in every named split that does not test it.  The test splits of one
-    sample are gathered first (a sample tests at most once per repeat), so the table is
-    spread out by ``explode`` and no join over all pairs takes place.
+    A sample trains in every named split that does not test it.  ``samples`` lists all of
+    them; without it they are those that some split tests.  The test splits of one sample
+    are gathered first (a sample tests at most once per repeat), so the table is spread out
+    by ``explode`` and no join over all pairs takes place.
     """
     own = test_side.groupBy(ID).agg(F.collect_set("split_id").alias("_own"))
+    if samples is not None:
+        own = samples.select(ID).join(own, ID, "left")
     listed = F.array(*[F.lit(int(s)).cast("long") for s in split_ids])
     rows = own.withColumn("split_id", F.explode(listed))
-    return rows.select(ID, "split_id", (~F.array_contains(F.col("_own").cast("array<long>"), F.col("split_id"))).alias("is_train"))
+    tested = F.coalesce(F.array_contains(F.col("_own").cast("array<long>"), F.col("split_id")), F.lit(False))
+    return rows.select(ID, "split_id", (~tested).alias("is_train"))
 
 
 def attach_splits(rows: DataFrame, test_side: DataFrame) -> DataFrame:

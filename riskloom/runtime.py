@@ -1,15 +1,13 @@
-"""Session-level helpers: scratch tables that cut lineage, and size-checked broadcasts."""
+"""Session-level helpers: scratch tables that cut lineage."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-#: Largest side that is broadcast on purpose; anything bigger is joined by shuffle.
-BROADCAST_ROWS = 200_000
+from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _WRITTEN: dict[str, set[str]] = {}  # scratch folders of each application
 
 
@@ -56,7 +54,12 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")  # the shuffles of this write are of no use after it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_folder = path.rpartition("/")[0]
     return out
@@ -81,15 +84,6 @@ def clear_scratch(spark: SparkSession) -> None:
         _remove(spark, folder)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after counting that it has at most ``rows`` rows.
-
-    Beyond the bound the frame comes back without a hint, and the join shuffles.
-    """
-    small = df.limit(rows + 1).count() <= rows
-    return F.broadcast(df) if small else df
-
-
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     """Bring a list of at most ``limit`` rows to the driver, or refuse."""
     rows = df.limit(limit + 1).collect()

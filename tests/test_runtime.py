@@ -25,10 +25,3 @@ def test_scratch_goes_when_it_is_not_needed(spark):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     there = {f.getPath().getName() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)}
     assert names[0] in there and names[1] not in there
-
-
-def test_broadcast_only_below_the_bound(spark):
-    small = runtime.broadcast_if_small(spark.range(5), 5)
-    large = runtime.broadcast_if_small(spark.range(6), 5)
-    assert "broadcast" in small._jdf.queryExecution().logical().toString()
-    assert "broadcast" not in large._jdf.queryExecution().logical().toString()
