@@ -86,6 +86,7 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str | Column
     best = groups.alias("g").join(stays.alias("s"), F.expr("g.sha = s.sha AND g.keep_id <=> s.doc_id"), "left").select(
         F.col("g.sha").alias("_sha"), "keep_id", "group_size", "_first"
     )
+    best = written(best, "groups")
     out = rows.join(best, rows.sha == best._sha, "left")
     alone = F.col("_sha").isNull()
     return out.select(
@@ -104,6 +105,7 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     twins = found.where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
     gone = gone.join(twins, F.expr("doc_id <=> _kept_id AND text_sha256 = _kept_sha"), "left")
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("_kept_sha").isNotNull().alias("_twin"))
+    gone = written(gone, "gone")
     sha = F.sha2(F.coalesce(F.col(f"d.`{text}`"), F.lit("")), 256)
     joined = docs.alias("d").join(gone.alias("g"), F.col(f"d.`{doc_id}`").eqNullSafe(F.col("g._id")) & (sha == F.col("g._sha")), "left")
     once = joined.where("g._twin").dropDuplicates(["_id", "_sha"]).select("d.*")

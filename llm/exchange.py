@@ -3,7 +3,8 @@
 A *unit* is what one task has gathered: one key per item, in the items' order.  The key space is cut into
 equal ranges, one per *owner*.  Every unit sends each owner its keys of that range, sorted and
 Golomb-coded.  The owner finds keys that several units sent and answers each unit with one bit per
-key.  Only codes and bitmaps travel; what belongs to a key stays with its unit.
+key, and one byte for the number of units of each key whose bit is set.  Only codes and answers travel;
+what belongs to a key stays with its unit.
 
 An owner gets a key at most once from a unit, so a key that fills a third of all rows reaches it once
 per unit.  The number of owners follows the number of keys.
@@ -81,39 +82,47 @@ def _send(owners: int):
 
 
 def _answer(part: pa.Table) -> pa.Table:
-    """One owner: a bit per received key, set when another unit sent it too."""
+    """One owner: a bit per received key, set when another unit sent it too, and how many did (255: or more)."""
     lists = [golomb_decode(c.as_py()) for c in part.column("code")]
-    sizes = [len(x) for x in lists]
     _, place, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-    repeated = np.split(times[place] > 1, np.cumsum(sizes)[:-1])
-    hit = pa.array([i for i, r in enumerate(repeated) if r.any()], pa.int64())
+    times = np.split(np.minimum(times[place], 255).astype(np.uint8), np.cumsum([len(x) for x in lists])[:-1])
+    hit = [i for i, t in enumerate(times) if (t > 1).any()]
+    take = pa.array(hit, pa.int64())
     return pa.table(
         {
-            "unit": part.column("unit").take(hit),
-            "owner": part.column("owner").take(hit),
-            "bits": pa.array([np.packbits(repeated[i]).tobytes() for i in hit.to_pylist()], pa.binary()),
+            "unit": part.column("unit").take(take),
+            "owner": part.column("owner").take(take),
+            "bits": pa.array([np.packbits(times[i] > 1).tobytes() for i in hit], pa.binary()),
+            "times": pa.array([times[i][times[i] > 1].tobytes() for i in hit], pa.binary()),
         }
     )
 
 
 def with_repeats(units: DataFrame) -> tuple[DataFrame, int]:
     """Add ``answers`` to a written table of units (``unit`` long, ``n_keys`` long, ``keys`` binary): an
-    array of (owner, bits), null if no other unit has any of the unit's keys.  Also the number of owners.
+    array of (owner, bits, times), null if no other unit has any of the unit's keys.  Also the number of owners.
     """
     total = units.agg(F.sum("n_keys")).first()[0] or 0
     owners = max(LEAST_OWNERS, -(-total // KEYS_PER_OWNER))
     sent = units.select("unit", "keys").mapInArrow(_send(owners), "owner long, unit long, code binary")
-    answers = sent.groupBy("owner").applyInArrow(_answer, "unit long, owner long, bits binary")
-    answers = written(answers, "answers").groupBy("unit").agg(F.collect_list(F.struct("owner", "bits")).alias("answers"))
+    answers = sent.groupBy("owner").applyInArrow(_answer, "unit long, owner long, bits binary, times binary")
+    answers = written(answers, "answers").groupBy("unit").agg(F.collect_list(F.struct("owner", "bits", "times")).alias("answers"))
     return units.join(answers, "unit", "left"), owners
 
 
-def repeated_items(item_keys: np.ndarray, answers: list | None, owners: int) -> np.ndarray:
-    """Which items of a unit have a key that another item has, in this unit or another one."""
-    keys, place, times = np.unique(item_keys, return_inverse=True, return_counts=True)
-    out = times > 1
+def occurrences(item_keys: np.ndarray, answers: list | None, owners: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per item of a unit: in how many units its key is (255: or more), and how often in this one."""
+    keys, place, here = np.unique(item_keys, return_inverse=True, return_counts=True)
+    units = np.ones(len(keys), dtype=np.int64)
     at = np.concatenate([[0], np.searchsorted(keys, owner_edges(owners)), [len(keys)]])
     for a in answers or []:
         lo, hi = at[a["owner"]], at[a["owner"] + 1]
-        out[lo:hi] |= np.unpackbits(np.frombuffer(a["bits"], dtype=np.uint8), count=hi - lo).astype(bool)
-    return out[place]
+        hit = np.flatnonzero(np.unpackbits(np.frombuffer(a["bits"], dtype=np.uint8), count=hi - lo))
+        units[lo + hit] = np.frombuffer(a["times"], dtype=np.uint8)
+    return units[place], here[place]
+
+
+def repeated_items(item_keys: np.ndarray, answers: list | None, owners: int) -> np.ndarray:
+    """Which items of a unit have a key that another item has, in this unit or another one."""
+    units, here = occurrences(item_keys, answers, owners)
+    return (units > 1) | (here > 1)

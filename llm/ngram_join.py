@@ -7,8 +7,10 @@ similar enough differ in at most ``d`` n-grams, so they have at least F - d of F
 1. Per fragment: segments travel as hashes, and only those that several sets have (Golomb-coded exchange).
 2. Over the fragments: with segments ordered from rare to frequent, linked sets share one among their first
    d + 1.  A set whose d + 1 rarest segments are its own is alone; this ends most sets.
-3. The rest is grouped by shared segments.  Inside a group (or a pair of its blocks) overlaps are counted
-   fragment by fragment, summed per pair, and compared with the threshold exactly.
+3. The rest does the same with single n-grams, from rare to frequent: linked sets share one of the first
+   few.  Shared ones tie sets to groups.
+4. Inside a group (or a pair of its blocks) overlaps are counted fragment by fragment, summed per pair, and
+   compared with the threshold exactly.
 
 Equal sets are one vertex from the start.  Links leave a group as a spanning forest and link counts.
 """
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from llm.common import Units, discard, only, written
 from llm.components import components
-from llm.exchange import KEYS_PER_UNIT, repeated_items, with_repeats
+from llm.exchange import KEYS_PER_UNIT, occurrences, repeated_items, with_repeats
 from llm.textbuf import Texts, mixed, slices_by_bytes
 
 #: Sets of a group that are compared in one step with themselves or those of another block.
@@ -174,14 +176,62 @@ def _shared(owners: int) -> Callable:
 
 
 def _sets_of(width: int) -> Callable:
-    """vertex, size and n-gram hashes of every text."""
+    """Units of the listed sets (text, vertex, copies): vertices, copies and sizes, n-gram hashes as keys."""
+    names = ["unit", "n_keys", "vertices", "copies", "sizes", "keys"]
+    types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, vertices, copies, sizes, grams, held = Units(), [], [], [], [], 0
+
+        def unit() -> pa.RecordBatch:
+            row = [number(), held, vertices, copies, sizes, np.concatenate(grams).tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=names)
+
         for batch in batches:
             for part in slices_by_bytes(batch, "text"):
                 s = Shingles(part.column("text"), width)
-                grams = [s.value[a:b].tobytes() for a, b in zip(s.bounds[:-1], s.bounds[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(s.vertex), pa.array(grams, pa.binary())], names=["vertex", "grams"])
+                asked = np.flatnonzero(s.vertex == part.column("vertex").to_numpy())  # an id may have other texts too
+                vertices += s.vertex[asked].tolist()
+                copies += part.column("copies").take(pa.array(asked)).to_pylist()
+                sizes += s.sizes[asked].tolist()
+                grams += [s.value[s.bounds[i] : s.bounds[i + 1]] for i in asked]
+                held += int(s.sizes[asked].sum())
+                if held >= KEYS_PER_UNIT:
+                    yield unit()
+                    vertices, copies, sizes, grams, held = [], [], [], [], 0
+        if vertices:
+            yield unit()
+
+    return run
+
+
+def _prefixes(limit: Threshold, owners: int) -> Callable:
+    """vertex, copies, n-grams and first shared n-grams of the sets that have any.
+
+    Order: number of units that have the n-gram; inside one unit, where all its sets are, their number; hash.
+    """
+    names = ["vertex", "copies", "grams", "first"]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                grams, sizes = np.frombuffer(r["keys"], "<u8"), np.array(r["sizes"], dtype=np.int64)
+                units, here = occurrences(grams, r["answers"], owners)
+                rank = np.where(units > 1, units << 32, here)
+                of = np.repeat(np.arange(len(sizes)), sizes)
+                order = np.lexsort((grams, rank, of))
+                begin = np.cumsum(sizes) - sizes
+                place = np.arange(len(order)) - begin[of]
+                some = (place < (sizes - limit.partner(sizes) + 1)[of]) & (rank[order] > 1)
+                shared, owner = grams[order[some]].view(np.int64), of[some]
+                at = np.searchsorted(owner, np.arange(len(sizes) + 1))
+                rows = [
+                    (r["vertices"][i], r["copies"][i], grams[begin[i] : begin[i] + sizes[i]].tobytes(), shared[at[i] : at[i + 1]].tolist())
+                    for i in np.flatnonzero(np.diff(at))
+                ]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     return run
 
@@ -280,26 +330,33 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, doc_id: str =
     place = F.row_number().over(mine.orderBy("times", "segment")) + F.col("fragments") - F.count("*").over(mine)
     prefix = written(held.withColumn("_place", place).where(F.col("_place") <= differing + 1).select("vertex", "segment"), "prefix")
 
-    first = prefix.groupBy("segment").agg(F.min("vertex").alias("b"), F.count("*").alias("n")).where("n > 1").withColumnRenamed("segment", "_segment")
-    star = prefix.join(first, F.col("segment") == F.col("_segment")).where("vertex != b").select(F.col("vertex").alias("a"), "b")
-    groups = components(star)
-    sizes = groups.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("label", "_label")
-    members = groups.join(sizes, F.col("label") == F.col("_label")).drop("_label")
+    several = prefix.groupBy("segment").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("segment", "_segment")
+    close = prefix.join(several, F.col("segment") == F.col("_segment"), "left_semi").select(F.col("vertex").alias("_vertex")).distinct()
     classes = written(rows.where("n_shingles > 0").groupBy("vertex").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
-    members = members.join(classes.withColumnRenamed("vertex", "_vertex"), F.col("vertex") == F.col("_vertex")).drop("_vertex")
-    members = written(members, "members")
+    asked = classes.join(close, F.col("vertex") == F.col("_vertex"), "left_semi").select(F.col("least").alias("_id"), "vertex", "copies")
+    bodies = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "vertex", "copies")
+    units = written(bodies.mapInArrow(_sets_of(width), "unit long, n_keys long, vertices array<long>, copies array<long>, sizes array<long>, keys binary"), "sets")
+    discard(shared, prefix)
+    answered, owners = with_repeats(units)
+    sets = answered.drop("unit", "n_keys").mapInArrow(_prefixes(limit, owners), "vertex long, copies long, grams binary, first array<long>")
+    sets = written(sets.dropDuplicates(["vertex"]), "prefixes")  # a row may be there twice
+    discard(units)
 
-    chosen = members.select(F.col("least").alias("_id")).distinct()
-    bodies = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    sets = bodies.mapInArrow(_sets_of(width), "vertex long, grams binary").dropDuplicates(["vertex"]).withColumnRenamed("vertex", "_vertex")
+    held = sets.select("vertex", F.explode("first").alias("gram"))
+    first = held.groupBy("gram").agg(F.min("vertex").alias("b"), F.count("*").alias("n")).where("n > 1").withColumnRenamed("gram", "_gram")
+    star = held.join(first, F.col("gram") == F.col("_gram")).where("vertex != b").select(F.col("vertex").alias("a"), "b")
+    groups = components(star)
+    sizes = groups.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("label", "_label")
+    members = written(groups.join(sizes, F.col("label") == F.col("_label")).select(F.col("vertex").alias("_vertex"), "label", "blocks"), "members")
     block = F.pmod(F.xxhash64("vertex", F.lit("block")), F.col("blocks").cast("long")).cast("int")
-    full = members.join(sets, F.col("vertex") == F.col("_vertex")).select("label", "blocks", block.alias("block"), "vertex", "copies", "grams")
+    full = sets.join(members, F.col("vertex") == F.col("_vertex")).select("label", "blocks", block.alias("block"), "vertex", "copies", "grams")
     pairs = full.select("label", "block", "vertex", "copies", "grams", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pairs = pairs.select(
         "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "vertex", "copies", "grams",
         F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
     )
     found = written(pairs.groupBy("label", "i", "j").applyInArrow(_compare(limit), "a long, b long, links long"), "links")
+    discard(sets)
 
     joined = components(found.where("b IS NOT NULL").select("a", "b"))
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("_a")).agg(F.sum("links").alias("links"))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from llm.common import only
+from llm.common import only, written
 from llm.encoding import encoder
 from llm.textbuf import slices_by_bytes
 
@@ -41,6 +41,7 @@ def length_histogram(lengths: DataFrame, by: tuple[str, ...] = (), n_tokens: str
     Rows with a null length are left out; an empty table gives an empty histogram.
     """
     hist = lengths.where(F.col(n_tokens).isNotNull()).groupBy(*by, F.col(n_tokens).alias("n_tokens")).agg(F.count("*").alias("n_docs"))
+    hist = written(hist, "histogram")  # one row per length: texts are encoded once
     hist = hist.withColumn("tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("_block", F.floor(F.col("n_tokens") / BLOCK))
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     later = whole.orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
