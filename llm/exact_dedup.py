@@ -75,9 +75,10 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str | Column
     rows = written(rows, "judged")
     discard(units)
     suspects = rows.where("suspect").select("doc_id", "sha")
-    # byte comparison: the suspects' texts meet by digest and text, summed up before the shuffle
+    # byte comparison: the suspects' texts meet by digest and text, summed up before the shuffle; the list of
+    # suspects grows with the corpus, so it is never broadcast
     named = suspects.select(F.col("doc_id").alias("_id")).distinct()
-    bodies = texts.join(named, texts.doc_id.eqNullSafe(named._id), "left_semi")
+    bodies = texts.join(named.hint("merge"), texts.doc_id.eqNullSafe(named._id), "left_semi")
     classes = bodies.groupBy(F.unhex(F.sha2("text", 256)).alias("sha"), "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
     groups = classes.groupBy("sha").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"), F.count("*").alias("texts"))
     # digests of different texts would have to be equal for this: better no answer than a wrong one
@@ -107,6 +108,6 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("_kept_sha").isNotNull().alias("_twin"))
     gone = written(gone, "gone")
     sha = F.sha2(F.coalesce(F.col(f"d.`{text}`"), F.lit("")), 256)
-    joined = docs.alias("d").join(gone.alias("g"), F.col(f"d.`{doc_id}`").eqNullSafe(F.col("g._id")) & (sha == F.col("g._sha")), "left")
+    joined = docs.alias("d").join(gone.hint("merge").alias("g"), F.col(f"d.`{doc_id}`").eqNullSafe(F.col("g._id")) & (sha == F.col("g._sha")), "left")
     once = joined.where("g._twin").dropDuplicates(["_id", "_sha"]).select("d.*")
     return joined.where("g._sha IS NULL").select("d.*").unionByName(once)

@@ -117,13 +117,16 @@ def mix(
     return out.select("doc_id", "source", "size", "source_size", "target", "epochs_taken", (F.col("epochs_taken") * F.col("size")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, weight: Column | None = None, seed: int = 7, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, weight: Column | None = None, seed: int = 7, doc_id: str = "doc_id", text: str = "text", source: str = "source", size: str | None = None
+) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, with all its columns."""
     weight = F.lit(1.0) if weight is None else weight
-    drawn = written(draws(docs, weight, seed, doc_id, n_words(F.col(f"`{text}`")), source), "draws")
+    counted = n_words(F.col(f"`{text}`")) if size is None else F.col(f"`{size}`")
+    drawn = written(draws(docs, weight, seed, doc_id, counted, source), "draws")
     ident = F.col(f"d.`{doc_id}`").cast("long")
     key = -F.log(uniform(ident, seed)) / F.coalesce(weight.cast("double"), F.lit(1.0))
-    mine = F.struct(key.alias("key"), ident.alias("doc_id"), n_words(F.col(f"d.`{text}`")).alias("size"))
+    mine = F.struct(key.alias("key"), ident.alias("doc_id"), counted.cast("long").alias("size"))
     parts = _parts(drawn)
     line = written(cuts(drawn), "cuts").select(
         F.col("source").alias("_source"), F.col("epochs").alias("_epochs"), F.col("last").alias("_last"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part")

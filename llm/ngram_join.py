@@ -334,7 +334,7 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, doc_id: str =
     close = prefix.join(several, F.col("segment") == F.col("_segment"), "left_semi").select(F.col("vertex").alias("_vertex")).distinct()
     classes = written(rows.where("n_shingles > 0").groupBy("vertex").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
     asked = classes.join(close, F.col("vertex") == F.col("_vertex"), "left_semi").select(F.col("least").alias("_id"), "vertex", "copies")
-    bodies = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "vertex", "copies")
+    bodies = texts.join(asked.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "vertex", "copies")
     units = written(bodies.mapInArrow(_sets_of(width), "unit long, n_keys long, vertices array<long>, copies array<long>, sizes array<long>, keys binary"), "sets")
     discard(shared, prefix)
     answered, owners = with_repeats(units)
@@ -378,4 +378,4 @@ def keep_one(docs: DataFrame, width: int = 3, percent: int = 90, doc_id: str = "
     """The rows of ``docs`` whose id is that of their component, with all their columns."""
     gone = ngram_join(docs, width, percent, doc_id, text).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
     gone = gone.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.alias("d").join(gone, F.col(f"d.`{doc_id}`").cast("long") == F.col("_gone"), "left_anti")
+    return docs.alias("d").join(gone.hint("merge"), F.col(f"d.`{doc_id}`").cast("long") == F.col("_gone"), "left_anti")

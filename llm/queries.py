@@ -40,7 +40,7 @@ def quality_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
     weight = F.lit(1.0)
     for value, w in QUALITY_WEIGHT.items():
         weight = F.when(F.col("_quality") == value, w).otherwise(weight)
-    return docs.join(known, F.col("doc_id") == F.col("_of"), "left").withColumn("_weight", weight).drop("_of", "_quality")
+    return docs.join(known.hint("merge"), F.col("doc_id") == F.col("_of"), "left").withColumn("_weight", weight).drop("_of", "_quality")
 
 
 @query

@@ -369,7 +369,7 @@ def repeated_spans(texts: DataFrame, width: int) -> DataFrame:
     listed = ends.groupBy(F.col("doc_id").alias("_id"), F.col("print").alias("_print")).agg(
         F.collect_list(F.struct("anchor", "first", "last", "alone", "many")).alias("listed")
     )
-    bodies = texts.join(listed, F.expr("print = _print AND doc_id <=> _id")).select("doc_id", "print", "text", "listed")
+    bodies = texts.join(listed.hint("merge"), F.expr("print = _print AND doc_id <=> _id")).select("doc_id", "print", "text", "listed")
     cut = written(bodies.mapInArrow(_cut_out(width), "anchor long, doc_id long, print long, first long, alone boolean, many boolean, bytes binary"), "ends")
     n = cut.where("NOT many").count()
     task = F.pmod(F.xxhash64("anchor"), F.lit(max(24, -(-n // CONTEXTS_PER_TASK))))
@@ -393,7 +393,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, doc_id: str = "doc_id", te
     texts = docs.select(ident.alias("doc_id"), F.xxhash64(ident, body).alias("print"), F.encode(body, "UTF-8").alias("text"))
     spans = written(repeated_spans(texts, width), "spans")
     listed = spans.groupBy(F.col("doc_id").alias("_id"), F.col("print").alias("_print")).agg(F.collect_set(F.struct("begin", "finish")).alias("spans"))
-    joined = texts.join(listed, F.expr("print = _print AND doc_id <=> _id"), "left")
+    joined = texts.join(listed.hint("merge"), F.expr("print = _print AND doc_id <=> _id"), "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(
         _apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_text binary, kept_sha256 string"
     )
