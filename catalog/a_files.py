@@ -94,23 +94,18 @@ def a04(t):
 
 
 @query("a05_cohort_in_one_call", """
-WITH complete AS (SELECT l_linenumber AS s FROM (
-    SELECT s AS l_linenumber, count(v.value) AS c FROM (SELECT DISTINCT l_partkey FROM lineitem) p
-    CROSS JOIN (SELECT unnest(range(1, 8)) AS s) x
-    LEFT JOIN (SELECT l_partkey, l_linenumber, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2) v
-      ON v.l_partkey = p.l_partkey AND v.l_linenumber = s GROUP BY s)
-  WHERE c = (SELECT count(DISTINCT l_partkey) FROM lineitem))
+WITH complete AS (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linenumber) = 7)
 SELECT 'clinical' AS part, (SELECT count(*) FROM complete) AS n, CAST(0 AS DOUBLE) AS total
 UNION ALL SELECT 'expression', count(*), coalesce(sum(value), 0)
   FROM (SELECT l_partkey, l_linenumber, sum(l_quantity) AS value FROM lineitem
-        WHERE l_linenumber IN (SELECT s FROM complete) GROUP BY 1, 2)
+        WHERE l_partkey IN (SELECT l_partkey FROM complete) GROUP BY 1, 2)
 UNION ALL SELECT 'platform', count(*), CAST(0 AS DOUBLE) FROM part WHERE p_type <> 'ECONOMY'""")
 def a05(t):
-    """All three tables cleaned together; the answer sums them up."""
-    clinical = t.raw("lineitem").selectExpr("CAST(l_linenumber AS STRING) AS id", "'x' AS histology").distinct()
+    """All three tables cleaned together, parts as samples; the answer sums them up."""
+    clinical = t.raw("lineitem").selectExpr("CAST(l_partkey AS STRING) AS id", "'x' AS histology").distinct()
     cohort = files.load_cohort(
         _expression_csv(t), clinical, _platform(t),
-        gene_column="probe", keep_clinical=["id", "histology"], rename_clinical={"id": "sample_id"},
+        gene_column="probe", samples_are="rows", keep_clinical=["id", "histology"], rename_clinical={"id": "sample_id"},
         not_null=["histology"], keep_platform=["ID"], rename_platform={"ID": "gene_id"}, remove_control=True,
     )
     zero = F.lit(0.0).alias("total")
@@ -133,7 +128,7 @@ SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 ) + " FROM patients", "patients")
 def a06(t):
     """Histology as 0/1 columns; a missing one is 0 everywhere."""
-    return files.one_hot(t.patients.select("sample_id", "months", "histology"), ["histology"])
+    return files.one_hot(t.patients.select("sample_id", "months", "histology"), {"histology": SEGMENTS})
 
 
 @query("a07_standardised", """

@@ -28,11 +28,14 @@ FROM (SELECT {w_head}it, u, v,
 {name}_fit AS (SELECT {head}u, v FROM {name} WHERE it = {steps})"""
 
 
-def descent(name: str, data: str, width: int, l1: float = 0.0, l2: float = 0.0, free: int = 0, keys: str = "", sweeps: int = 20) -> str:
+def descent(
+    name: str, data: str, width: int, l1: float = 0.0, l2: float | str = 0.0, free: int = 0, keys: str = "", sweeps: int = 20, last: str = "0"
+) -> str:
     """CTE ``name_fit(keys, w)``: logistic weights by cyclic coordinate descent.
 
     ``data`` has keys, y and the array x of ``width`` values.  ``l1`` and ``l2`` are the
-    penalties (one over C) on all but the last ``free`` places.
+    penalties (one over C) on all but the last ``free`` places, which have the ridge penalty ``last``.
+    ``l2`` and ``last`` may be SQL over the columns of ``data``.
     """
     ks = [k.strip() for k in keys.split(",") if k.strip()]
     head = "".join(f"{k}, " for k in ks)
@@ -40,22 +43,20 @@ def descent(name: str, data: str, width: int, l1: float = 0.0, l2: float = 0.0,
     on = " AND ".join(f"d.{k} = c.{k}" for k in ks) or "TRUE"
     j = f"(it % {width} + 1)"
     p = "(1 / (1 + exp(-list_dot_product(w, x))))"
-    bound = f"CASE WHEN it % {width} < {width - free} THEN CAST({{v!r}} AS DOUBLE) ELSE 0 END"
-    a, b = bound.format(v=float(l1)), bound.format(v=float(l2))
+    bound = f"CASE WHEN it % {width} < {width - free} THEN CAST({{v}} AS DOUBLE) ELSE {{e}} END"
+    a, b = bound.format(v=float(l1), e="0"), bound.format(v=l2, e=last)
     start = f"SELECT {'DISTINCT ' if ks else ''}{head}0 AS it, list_transform(range({width}), lambda k: CAST(0 AS DOUBLE)) AS w"
     return f"""{name} AS ({start}{f' FROM {data}' if ks else ''}
 UNION ALL
 SELECT {head}it + 1, list_transform(range({width}), lambda k: CASE WHEN k = it % {width} THEN moved ELSE w[k + 1] END)
 FROM (SELECT {head}it, w, CASE WHEN h > 0 THEN sign(target) * greatest(abs(target) - {a} / h, 0) ELSE 0 END AS moved FROM (
-  SELECT {head}it, w, h, w[{j}] - (g + {b} * w[{j}]) / h AS target FROM (
-    SELECT {w_head}it, w, sum(({p} - y) * x[{j}]) AS g, sum({p} * (1 - {p}) * x[{j}] * x[{j}]) + any_value({b}) AS h
+  SELECT {head}it, w, h, w[{j}] - (g + pen * w[{j}]) / h AS target FROM (
+    SELECT {w_head}it, w, any_value({b}) AS pen, sum(({p} - y) * x[{j}]) AS g, sum({p} * (1 - {p}) * x[{j}] * x[{j}]) + any_value({b}) AS h
     FROM {name} c JOIN {data} d ON {on} WHERE it < {width * sweeps} GROUP BY {w_head}it, w)))),
 {name}_fit AS (SELECT {head}w FROM {name} WHERE it = {width * sweeps})"""
 
 
-# Models on the embeddings: gene 0 and gene 1 scaled up, class as label.
-ONE_GENE = """one_gene AS (SELECT vec_id AS sample_id, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y,
-  10 * CAST(embedding[1] AS DOUBLE) AS a, CAST(1 AS DOUBLE) AS b FROM embeddings)"""
+# Gene 0 and gene 1 of the embeddings scaled up, class as label.
 TWO_GENES = """two_genes AS (SELECT vec_id AS sample_id, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y,
   10 * CAST(embedding[1] AS DOUBLE) AS a, 10 * CAST(embedding[2] AS DOUBLE) AS b FROM embeddings)"""
 # Plain stratified folds of the same samples, as in the fold queries.
@@ -63,8 +64,6 @@ FOLD4 = """fold4 AS (SELECT sample_id, CASE WHEN i < (n % 4) * (n // 4 + 1) THEN
   ELSE n % 4 + (i - (n % 4) * (n // 4 + 1)) // greatest(n // 4, 1) END AS fold
   FROM (SELECT vec_id AS sample_id, row_number() OVER (PARTITION BY label >= 5 ORDER BY vec_id) - 1 AS i,
     count(*) OVER (PARTITION BY label >= 5) AS n FROM embeddings))"""
-SPLITS4 = """splits4 AS (SELECT o.*, s AS split_id, fold <> s AS is_train
-  FROM one_gene o JOIN fold4 f ON o.sample_id = f.sample_id CROSS JOIN (SELECT unnest(range(4)) AS s) x)"""
 # All genes scaled up, and the same with a constant at the end; train rows of each fold split.
 ALL_GENES = """scaled AS (SELECT vec_id AS sample_id, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y,
   list_transform(embedding, lambda e: 10 * CAST(e AS DOUBLE)) AS x FROM embeddings)"""
@@ -78,4 +77,21 @@ def split_genes(k: int) -> str:
 train_splits AS (SELECT * FROM all_splits WHERE is_train)"""
 
 
+# The same with a constant at the end: all rows, and the rows of four splits.
+WHOLE = f"{ALL_GENES}, whole AS (SELECT sample_id, y, list_append(x, CAST(1 AS DOUBLE)) AS x FROM scaled)"
+SPLITS4 = f"""{split_genes(4)}, whole AS (SELECT sample_id, y, list_append(x, CAST(1 AS DOUBLE)) AS x FROM scaled),
+splits4 AS (SELECT sample_id, y, split_id, is_train, list_append(x, CAST(1 AS DOUBLE)) AS x FROM all_splits)"""
+
+
+def log_loss_of(d: str) -> str:
+    """Mean log loss from the label y and the decision value."""
+    return f"avg(ln(1 + exp(CASE WHEN y = 1 THEN -({d}) ELSE {d} END)))"
+
+
+def auc_of(source: str, keys: str) -> str:
+    """Query of ``(keys, auc)`` from y and decision values, ties counted half."""
+    return f"""SELECT {keys}, (sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / CAST(2 AS DOUBLE)) / (sum(y) * sum(1 - y)) AS auc
+  FROM (SELECT *, rank() OVER (PARTITION BY {keys} ORDER BY decision) + (count(*) OVER (PARTITION BY {keys}, decision) - 1) / CAST(2 AS DOUBLE) AS r FROM {source}) GROUP BY {keys}"""
+
+
 LOSS = "-avg(CASE WHEN y = 1 THEN ln(p1) ELSE ln(1 - p1) END)"

@@ -5,22 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.e_folds import SEED, draw, fold_sql
-from catalog.fits_sql import FOLD4, LOSS, ONE_GENE, SPLITS4, newton
-from catalog.f_selection import model_rows
+from catalog.fits_sql import LOSS, SPLITS4, WHOLE, auc_of, descent, log_loss_of
+from catalog.f_selection import model_rows, split_rows
 from catalog.registry import query, rounded
+from catalog.tables import GENES
 from riskloom.operators import folds as E
 from riskloom.operators import metrics as H
 from riskloom.operators import search as G
 from riskloom.operators.models import LogisticSpec
-from riskloom.operators.selection import slice_genes
-from riskloom.runtime import bounded_rows, cut
 
 SPEC = LogisticSpec(C=1.0, max_iter=300, tol=1e-15)
 STRENGTHS = [0.001, 0.01, 0.1]
 
 
-def _grid(t, column: str, table: str) -> list:
-    return sorted(r[0] for r in bounded_rows(t.raw(table).select(column).distinct(), 1000, column))
+def _grid(t, column: str, table: str):
+    return t.raw(table).select(column).distinct()
 
 
 @query("g01_candidates", """
@@ -38,34 +37,27 @@ def g01(t):
     return table.select("candidate_id", *[F.col("params")[k].alias(k) for k in ("brand", "priority", "size")])
 
 
-def one_gene_rows(t):
-    return slice_genes(model_rows(t), [0])
-
-
-def one_gene_splits(t):
-    """Model rows of gene 0 with four plain stratified folds."""
-    rows = one_gene_rows(t)
-    sides = E.stratified_k_fold(rows.select("sample_id", "label"), "label", 4)
-    return cut(E.attach_splits(rows, sides), "design")
+def four_splits(t):
+    return split_rows(t, 4)
 
 
 CANDIDATES = f"""cand AS (SELECT * FROM (VALUES (0, CAST(0.001 AS DOUBLE)), (1, CAST(0.01 AS DOUBLE)), (2, CAST(0.1 AS DOUBLE))) v(candidate_id, c)),
-train4 AS (SELECT candidate_id, c, split_id, y, a, b FROM splits4 CROSS JOIN cand WHERE is_train),
-{newton('nw', 'train4', '1 / c', '0', 'candidate_id, split_id')},
-scores AS (SELECT s.split_id, is_train, f.candidate_id, s.sample_id, y, 1 / (1 + exp(-(u * a + v * b))) AS p1, u * a + v * b AS decision
-  FROM splits4 s JOIN nw_fit f ON f.split_id = s.split_id)"""
-SEARCHED = f"{ONE_GENE}, {FOLD4}, {SPLITS4}, {CANDIDATES}"
+train4 AS (SELECT candidate_id, c, split_id, y, x FROM splits4 CROSS JOIN cand WHERE is_train),
+{descent('cd', 'train4', GENES + 1, l2='1 / d.c', free=1, keys='candidate_id, split_id')},
+scores AS (SELECT s.split_id, is_train, f.candidate_id, s.sample_id, y, 1 / (1 + exp(-list_dot_product(w, x))) AS p1, list_dot_product(w, x) AS decision
+  FROM splits4 s JOIN cd_fit f ON f.split_id = s.split_id)"""
+SEARCHED = f"{SPLITS4}, {CANDIDATES}"
 LOG = f"""slog AS (SELECT candidate_id, CAST(split_id AS INTEGER) AS split_id, count(*) AS n_test, -({LOSS}) AS neg_log_loss,
   avg(CASE WHEN (p1 > 0.5) = (y = 1) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS accuracy
   FROM scores WHERE NOT is_train GROUP BY 1, 2)"""
-METRICS = {"neg_log_loss": H.negative_log_loss, "accuracy": H.accuracy}
+METRICS = {"neg_log_loss": H.negative_log_loss, "accuracy": H.accuracy, "roc_auc": H.auc}
 
 
 @query("g02_fit_and_score", f"""WITH {SEARCHED}, {LOG}
 SELECT CAST(candidate_id AS INTEGER) AS candidate_id, split_id, n_test, round(neg_log_loss, 4) + 0 AS test_score FROM slog""")
 def g02(t):
     """Three strengths on four splits."""
-    log = G.fit_and_score(SPEC, [{"C": c} for c in STRENGTHS], one_gene_splits(t), range(4))
+    log = G.fit_and_score(SPEC, [{"C": c} for c in STRENGTHS], four_splits(t), range(4))
     return log.select("candidate_id", "split_id", "n_test", rounded("test_score", 4).alias("test_score"))
 
 
@@ -114,24 +106,27 @@ def g04(t):
 @query("g04_best_refit", f"""
 WITH {SEARCHED}, {LOG},
 best AS (SELECT candidate_id FROM slog GROUP BY 1 ORDER BY sum(n_test * neg_log_loss) / sum(n_test) DESC, candidate_id LIMIT 1),
-whole AS (SELECT y, a, b, c FROM one_gene CROSS JOIN cand WHERE candidate_id = (SELECT candidate_id FROM best)),
-{newton('final', 'whole', '1 / c', '0')}
-SELECT (SELECT c FROM cand JOIN best USING (candidate_id)) AS C, round(u, 4) + 0 AS weight, round(v, 4) + 0 AS intercept FROM final_fit""")
+chosen AS (SELECT y, x, c FROM whole CROSS JOIN cand WHERE candidate_id = (SELECT candidate_id FROM best)),
+{descent('final', 'chosen', GENES + 1, l2='1 / d.c', free=1)}
+SELECT (SELECT c FROM cand JOIN best USING (candidate_id)) AS C, CAST(i AS INTEGER) AS gene_ix, round(w[i + 1], 3) + 0 AS weight, round(w[{GENES + 1}], 3) + 0 AS intercept
+FROM (SELECT w, unnest(range({GENES})) AS i FROM final_fit)""")
 def g04r(t):
     """Search, then fit the best strength on all rows."""
-    rows = one_gene_splits(t)
-    found = G.GridSearch(SPEC, {"C": STRENGTHS}).fit(rows, range(4), one_gene_rows(t))
-    return t.spark.createDataFrame(
-        [(float(found.best_params["C"]), round(float(found.best_model.weights[0]), 4), round(float(found.best_model.intercept), 4))],
-        "C double, weight double, intercept double",
-    )
+    rows = four_splits(t)
+    found = G.GridSearch(SPEC, {"C": STRENGTHS}).fit(rows, range(4), model_rows(t))
+    best = (float(found.best_params["C"]), found.best_model.weights.tolist(), float(found.best_model.intercept))
+    one = t.spark.createDataFrame([best], "C double, w array<double>, intercept double")
+    weights = one.select("C", F.posexplode("w").alias("gene_ix", "weight"), rounded("intercept", 3).alias("intercept"))
+    return weights.withColumn("weight", rounded("weight", 3))
 
 
 @query("g05_several_metrics", f"""WITH {SEARCHED}, {LOG}
 SELECT CAST(candidate_id AS INTEGER) AS candidate_id, split_id, 'neg_log_loss' AS metric, round(neg_log_loss, 4) + 0 AS test_score FROM slog
-UNION ALL SELECT CAST(candidate_id AS INTEGER), split_id, 'accuracy', round(accuracy, 4) + 0 FROM slog""")
+UNION ALL SELECT CAST(candidate_id AS INTEGER), split_id, 'accuracy', round(accuracy, 4) + 0 FROM slog
+UNION ALL SELECT CAST(candidate_id AS INTEGER), CAST(split_id AS INTEGER), 'roc_auc', round(auc, 4) + 0
+  FROM ({auc_of('(SELECT * FROM scores WHERE NOT is_train)', 'candidate_id, split_id')})""")
 def g05(t):
-    log = G.fit_and_score(SPEC, [{"C": c} for c in STRENGTHS], one_gene_splits(t), range(4), METRICS)
+    log = G.fit_and_score(SPEC, [{"C": c} for c in STRENGTHS], four_splits(t), range(4), METRICS)
     return log.select("candidate_id", "split_id", "metric", rounded("test_score", 4).alias("test_score"))
 
 
@@ -140,7 +135,7 @@ SELECT CAST(0 AS INTEGER) AS candidate_id, split_id, CAST(-99 AS DOUBLE) AS test
 UNION ALL SELECT CAST(1 AS INTEGER), split_id, round(neg_log_loss, 4) + 0 FROM slog WHERE candidate_id = 1""")
 def g06(t):
     """A strength below 0 cannot be fitted; its score is recorded as -99."""
-    log = G.fit_and_score(SPEC, [{"C": -1.0}, {"C": 0.01}], one_gene_splits(t), range(4), error_score=-99.0)
+    log = G.fit_and_score(SPEC, [{"C": -1.0}, {"C": 0.01}], four_splits(t), range(4), error_score=-99.0)
     return log.select("candidate_id", "split_id", rounded("test_score", 4).alias("test_score"))
 
 
@@ -151,13 +146,13 @@ def g07(t):
     return G.merge_best(t.score_log.selectExpr("split_id AS step", "candidate_id AS name", "test_score AS value"))
 
 
-SEQUENCE = f"""{ONE_GENE}, {FOLD4}, {SPLITS4},
+SEQUENCE = f"""{SPLITS4},
 cand AS (SELECT * FROM (VALUES (1, 0, '0.001', CAST(0.001 AS DOUBLE), FALSE), (1, 1, '0.01', CAST(0.01 AS DOUBLE), FALSE),
   (1, 2, '0.1', CAST(0.1 AS DOUBLE), FALSE), (2, 0, 'False', CAST(1 AS DOUBLE), FALSE), (2, 1, 'True', CAST(1 AS DOUBLE), TRUE)) v(grid, candidate_id, shown, c, pen)),
-tr AS (SELECT grid, candidate_id, c, pen, split_id, y, a, b FROM splits4 CROSS JOIN cand WHERE is_train),
-{newton('nw', 'tr', '1 / c', 'CASE WHEN pen THEN 1 / c ELSE 0 END', 'grid, candidate_id, split_id')},
-sc AS (SELECT f.grid, f.candidate_id, s.split_id, count(*) AS n, avg(CASE WHEN y = 1 THEN -ln(1 + exp(-(u * a + v * b))) ELSE -ln(1 + exp(u * a + v * b)) END) AS s
-  FROM splits4 s JOIN nw_fit f ON f.split_id = s.split_id WHERE NOT is_train GROUP BY 1, 2, 3),
+tr AS (SELECT grid, candidate_id, c, pen, split_id, y, x FROM splits4 CROSS JOIN cand WHERE is_train),
+{descent('cd', 'tr', GENES + 1, l2='1 / d.c', free=1, keys='grid, candidate_id, split_id', last='CASE WHEN d.pen THEN 1 / d.c ELSE 0 END')},
+sc AS (SELECT f.grid, f.candidate_id, s.split_id, count(*) AS n, -{log_loss_of('list_dot_product(w, x)')} AS s
+  FROM splits4 s JOIN cd_fit f ON f.split_id = s.split_id WHERE NOT is_train GROUP BY 1, 2, 3),
 mn AS (SELECT grid, candidate_id, sum(n * s) / sum(n) AS m FROM sc GROUP BY 1, 2),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grid ORDER BY m DESC, candidate_id) AS k FROM mn) WHERE k = 1)"""
 
@@ -167,9 +162,9 @@ SELECT CASE WHEN b.grid = 1 THEN 'C' ELSE 'penalise_intercept' END AS name, show
   (SELECT round(m, 4) + 0 FROM best WHERE grid = 2) AS best_score FROM best b JOIN cand c ON c.grid = b.grid AND c.candidate_id = b.candidate_id""")
 def g07f(t):
     """Strength first, then whether the intercept is penalised."""
-    rows = one_gene_splits(t)
+    rows = four_splits(t)
     merged, score, _ = G.sequential_search(
-        SPEC, [{"C": STRENGTHS}, {"penalise_intercept": [False, True]}], rows, range(4), one_gene_rows(t)
+        SPEC, [{"C": STRENGTHS}, {"penalise_intercept": [False, True]}], rows, range(4), model_rows(t)
     )
     shown = [(k, str(v), round(float(score), 4)) for k, v in merged.items()]
     return t.spark.createDataFrame(shown, "name string, value string, best_score double")
@@ -214,7 +209,7 @@ def g08(t):
 @query("g08_adaptive_search")
 def g08f(t):
     """Three rounds over the strength: each split picks its best value, the range follows."""
-    rows = one_gene_splits(t)
+    rows = four_splits(t)
 
     def pick(grid):
         log = G.fit_and_score(SPEC, [{"C": c} for c in grid["C"]], rows, range(4))
@@ -245,7 +240,7 @@ SELECT CAST(split_id AS INTEGER) AS split_id, round(-max(loss) FILTER (NOT is_tr
   round(-max(loss) FILTER (is_train), 4) + 0 AS train_score FROM x GROUP BY 1""")
 def g10(t):
     spec = SPEC.with_params(C=0.01)
-    log = G.cross_validate(spec, one_gene_splits(t), range(4), train_scores=True)
+    log = G.cross_validate(spec, four_splits(t), range(4), train_scores=True)
     return log.select("split_id", rounded("test_score", 4).alias("test_score"), rounded("train_score", 4).alias("train_score"))
 
 
@@ -253,7 +248,7 @@ def g10(t):
 SELECT split_id, round(accuracy, 4) + 0 AS test_score FROM slog WHERE candidate_id = 2""")
 def g11(t):
     spec = SPEC.with_params(C=0.1)
-    scores = G.cross_val_score(spec, one_gene_splits(t), range(4), H.accuracy)
+    scores = G.cross_val_score(spec, four_splits(t), range(4), H.accuracy)
     return scores.select("split_id", rounded("test_score", 4).alias("test_score"))
 
 
@@ -262,7 +257,7 @@ SELECT sample_id, CAST(split_id AS INTEGER) AS split_id, CAST(CASE WHEN decision
   round(p1, 3) + 0 AS p1, round(decision, 3) + 0 AS decision, round(ln(p1), 3) + 0 AS log_p1 FROM scores WHERE NOT is_train AND candidate_id = 2""")
 def g12(t):
     """Class, probability, log probability and decision value, each sample once."""
-    out = G.cross_val_predict(SPEC.with_params(C=0.1), one_gene_splits(t), range(4))
+    out = G.cross_val_predict(SPEC.with_params(C=0.1), four_splits(t), range(4))
     return out.select(
         "sample_id", F.col("split_id").cast("int").alias("split_id"), "prediction",
         *[rounded(c, 3).alias(c) for c in ("p1", "decision", "log_p1")],
@@ -294,20 +289,20 @@ def g13p(t):
     return G.permutation_p_value(scores, 0.2, ["grp"]).withColumn("p_value", rounded("p_value", 8))
 
 
-@query("g13_permutation_test", f"""WITH {ONE_GENE}, {FOLD4}, {SPLITS4},
-dealt AS (SELECT r, y, row_number() OVER (PARTITION BY r ORDER BY {draw('r')}) - 1 AS i FROM one_gene CROSS JOIN (SELECT unnest(range(3)) AS r) x),
-slot AS (SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS i FROM one_gene),
-labels AS (SELECT r, sample_id, y FROM slot JOIN dealt ON slot.i = dealt.i UNION ALL SELECT -1, sample_id, y FROM one_gene),
-rows_ AS (SELECT r, split_id, is_train, l.y, a, b FROM splits4 s JOIN labels l ON l.sample_id = s.sample_id),
-tr AS (SELECT * FROM rows_ WHERE is_train), {newton('nw', 'tr', '10', '0', 'r, split_id')},
-sc AS (SELECT o.r, o.split_id, avg(CASE WHEN y = 1 THEN -ln(1 + exp(-(u * a + v * b))) ELSE -ln(1 + exp(u * a + v * b)) END) AS s
-  FROM rows_ o JOIN nw_fit f ON f.r = o.r AND f.split_id = o.split_id WHERE NOT is_train GROUP BY 1, 2),
+@query("g13_permutation_test", f"""WITH {SPLITS4},
+dealt AS (SELECT r, y, row_number() OVER (PARTITION BY r ORDER BY {draw('r')}) - 1 AS i FROM scaled CROSS JOIN (SELECT unnest(range(3)) AS r) x),
+slot AS (SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS i FROM scaled),
+labels AS (SELECT r, sample_id, y FROM slot JOIN dealt ON slot.i = dealt.i UNION ALL SELECT -1, sample_id, y FROM scaled),
+rows_ AS (SELECT r, split_id, is_train, l.y, x FROM splits4 s JOIN labels l ON l.sample_id = s.sample_id),
+tr AS (SELECT * FROM rows_ WHERE is_train), {descent('cd', 'tr', GENES + 1, l2=10.0, free=1, keys='r, split_id', sweeps=12)},
+sc AS (SELECT o.r, o.split_id, -{log_loss_of('list_dot_product(w, x)')} AS s
+  FROM rows_ o JOIN cd_fit f ON f.r = o.r AND f.split_id = o.split_id WHERE NOT is_train GROUP BY 1, 2),
 m AS (SELECT r, avg(s) AS score FROM sc GROUP BY r)
 SELECT CAST(r AS INTEGER) AS permutation, round(score, 4) + 0 AS score,
   (SELECT (count(*) FILTER (r >= 0 AND score >= (SELECT score FROM m WHERE r = -1)) + 1) / CAST(4 AS DOUBLE) FROM m) AS p_value FROM m""")
 def g13t(t):
     """A model's score against three deals of permuted labels."""
-    rows = one_gene_splits(t)
+    rows = four_splits(t)
     labels = t.classes.select("sample_id", "y")
     score, permuted, p = G.permutation_test(SPEC.with_params(C=0.1), rows, range(4), labels, H.negative_log_loss, 3, SEED)
     listed = [(k - 1, round(s, 4) + 0.0, p) for k, s in enumerate([score, *permuted])]  # -1: the true labels
@@ -330,18 +325,18 @@ def g14(t):
     return G.train_subsets(folds, G.train_size_list([0.1, 0.325, 0.55, 1.0], smallest))
 
 
-@query("g14_learning_curve", f"""WITH {ONE_GENE}, {FOLD4}, {SPLITS4},
+@query("g14_learning_curve", f"""WITH {SPLITS4},
 nmax AS (SELECT min(c) AS m FROM (SELECT split_id, count(*) AS c FROM splits4 WHERE is_train GROUP BY 1)),
 sizes AS (SELECT DISTINCT CAST(floor(q * m) AS INTEGER) AS train_size FROM nmax CROSS JOIN (SELECT unnest([CAST(0.2 AS DOUBLE), 1]) AS q) z),
 k AS (SELECT *, row_number() OVER (PARTITION BY split_id, is_train ORDER BY sample_id) - 1 AS k FROM splits4),
-part AS (SELECT train_size, split_id, is_train, y, a, b FROM k CROSS JOIN sizes WHERE NOT is_train OR k < train_size),
-tr AS (SELECT * FROM part WHERE is_train), {newton('nw', 'tr', '10', '0', 'train_size, split_id')},
-sc AS (SELECT o.train_size, o.split_id, is_train, avg(CASE WHEN y = 1 THEN ln(1 + exp(-(u * a + v * b))) ELSE ln(1 + exp(u * a + v * b)) END) AS loss
-  FROM part o JOIN nw_fit f ON f.train_size = o.train_size AND f.split_id = o.split_id GROUP BY 1, 2, 3)
+part AS (SELECT train_size, split_id, is_train, y, x FROM k CROSS JOIN sizes WHERE NOT is_train OR k < train_size),
+tr AS (SELECT * FROM part WHERE is_train), {descent('cd', 'tr', GENES + 1, l2=10.0, free=1, keys='train_size, split_id', sweeps=40)},
+sc AS (SELECT o.train_size, o.split_id, is_train, {log_loss_of('list_dot_product(w, x)')} AS loss
+  FROM part o JOIN cd_fit f ON f.train_size = o.train_size AND f.split_id = o.split_id GROUP BY 1, 2, 3)
 SELECT train_size, CAST(split_id AS INTEGER) AS split_id, round(max(loss) FILTER (is_train), 4) + 0 AS train_score, round(max(loss) FILTER (NOT is_train), 4) + 0 AS test_score
 FROM sc GROUP BY 1, 2""")
 def g14f(t):
-    rows = one_gene_splits(t)
+    rows = four_splits(t)
     out = G.learning_curve(SPEC.with_params(C=0.1), rows, range(4), [0.2, 1.0], H.log_loss)
     return out.select("train_size", "split_id", rounded("train_score", 4).alias("train_score"), rounded("test_score", 4).alias("test_score"))
 
@@ -352,7 +347,7 @@ SELECT CAST(c AS VARCHAR) AS value, CAST(split_id AS INTEGER) AS split_id, round
   round(max(loss) FILTER (NOT is_train), 4) + 0 AS test_score FROM x JOIN cand ON cand.candidate_id = x.candidate_id GROUP BY 1, 2""")
 def g15(t):
     """Train and test loss per strength."""
-    out = G.validation_curve(SPEC, "C", STRENGTHS, one_gene_splits(t), range(4), H.log_loss)
+    out = G.validation_curve(SPEC, "C", STRENGTHS, four_splits(t), range(4), H.log_loss)
     return out.select("value", "split_id", rounded("train_score", 4).alias("train_score"), rounded("test_score", 4).alias("test_score"))
 
 
@@ -368,11 +363,11 @@ def g16(t):
     return G.aggregate_scores(rows, ["a", "b"])
 
 
-@query("g17_use_of_best_model", f"""WITH {ONE_GENE}, {newton('nw', 'one_gene', '10', '0')}
-SELECT sample_id, CAST(CASE WHEN u * a + v * b > 0 THEN 1 ELSE 0 END AS INTEGER) AS prediction, round(1 / (1 + exp(-(u * a + v * b))), 3) + 0 AS p1,
-  round(u * a + v * b, 3) + 0 AS decision, round(ln(1 - 1 / (1 + exp(-(u * a + v * b)))), 3) + 0 AS log_p0 FROM one_gene CROSS JOIN nw_fit""")
+@query("g17_use_of_best_model", f"""WITH {WHOLE}, {descent('cd', 'whole', GENES + 1, l2=10.0, free=1)}, sc AS (SELECT sample_id, list_dot_product(w, x) AS d FROM whole CROSS JOIN cd_fit)
+SELECT sample_id, CAST(CASE WHEN d > 0 THEN 1 ELSE 0 END AS INTEGER) AS prediction, round(1 / (1 + exp(-d)), 3) + 0 AS p1,
+  round(d, 3) + 0 AS decision, round(ln(1 - 1 / (1 + exp(-d))), 3) + 0 AS log_p0 FROM sc""")
 def g17(t):
     """Class, probability, log probability and decision value of a fitted model."""
-    rows = one_gene_rows(t)
+    rows = model_rows(t)
     out = G.predictions_of(SPEC.with_params(C=0.1).fit(rows), rows)
     return out.select("sample_id", "prediction", *[rounded(c, 3).alias(c) for c in ("p1", "decision", "log_p0")])

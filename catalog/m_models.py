@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from catalog.e_folds import draw, fold_sql
 from catalog.f_selection import FITS4, L1, PCA2, QUICK, index_of, model_rows, split_rows
-from catalog.fits_sql import ALL_GENES, LOSS, ONE_GENE, TWO_GENES, descent, newton
-from catalog.g_search import SPEC, one_gene_rows
+from catalog.fits_sql import ALL_GENES, LOSS, TWO_GENES, WHOLE, auc_of, descent, log_loss_of, newton
+from catalog.g_search import SPEC
 from catalog.registry import query, rounded
 from catalog.tables import GENES
 from riskloom.functions.vectors import with_vector
@@ -24,19 +24,24 @@ from riskloom.plans.nested import all_genes, l1_selector, nested_evaluation
 
 
 def _weights(t, fitted):
-    cells = [(i, round(float(w), 4) + 0.0, round(float(fitted.intercept), 4) + 0.0) for i, w in enumerate(fitted.weights)]
-    return t.spark.createDataFrame(cells, "gene_ix int, weight double, intercept double")
+    one = t.spark.createDataFrame([(fitted.weights.tolist(), float(fitted.intercept))], "w array<double>, intercept double")
+    weights = one.select(F.posexplode("w").alias("gene_ix", "weight"), rounded("intercept", 4).alias("intercept"))
+    return weights.withColumn("weight", rounded("weight", 4))
+
+
+WEIGHTS = f"""SELECT CAST(i AS INTEGER) AS gene_ix, round(w[i + 1], 4) + 0 AS weight, round(w[{GENES + 1}], 4) + 0 AS intercept
+FROM (SELECT w, unnest(range({GENES})) AS i FROM cd_fit)"""
 
 
 # -- logistic ---------------------------------------------------------------------------
 
 
 @query("m01_logistic_l2", f"""
-WITH {ONE_GENE}, {newton('nw', 'one_gene', 'CAST(2 AS DOUBLE)', '0')}
-SELECT CAST(0 AS INTEGER) AS gene_ix, round(u, 4) + 0 AS weight, round(v, 4) + 0 AS intercept FROM nw_fit""")
+WITH {WHOLE}, {descent('cd', 'whole', GENES + 1, l2=2.0, free=1, sweeps=40)}
+{WEIGHTS}""")
 def m01(t):
-    """Strength 0.5, free intercept, one gene: equal to Newton's method."""
-    return _weights(t, SPEC.with_params(C=0.5).fit(one_gene_rows(t)))
+    """Strength 0.5, free intercept, all genes: equal to coordinate descent."""
+    return _weights(t, SPEC.with_params(C=0.5).fit(model_rows(t)))
 
 
 @query("m01_logistic_l2_two_genes", f"""
@@ -62,16 +67,16 @@ WITH scaled AS (SELECT CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y, list_transfo
 {descent('cd', 'scaled', 12, l1=4.0, sweeps=40)}
 SELECT CAST(i AS INTEGER) AS gene_ix, round(w[i + 1], 4) + 0 AS weight, CAST(0 AS DOUBLE) AS intercept FROM (SELECT w, unnest(range(12)) AS i FROM cd_fit)""")
 def m02(t):
-    """Twelve genes, strength 0.25: equal to coordinate descent."""
+    """Twelve genes, strength 0.25: equal to coordinate descent to four digits; f01 and m11 fit all genes."""
     return _weights(t, L1.with_params(C=0.25, tol=1e-12).fit(slice_genes(model_rows(t), list(range(12)))))
 
 
 @query("m03_penalised_intercept", f"""
-WITH {ONE_GENE}, {newton('nw', 'one_gene', 'CAST(50 AS DOUBLE)', 'CAST(50 AS DOUBLE)')}
-SELECT CAST(0 AS INTEGER) AS gene_ix, round(u, 4) + 0 AS weight, round(v, 4) + 0 AS intercept FROM nw_fit""")
+WITH {WHOLE}, {descent('cd', 'whole', GENES + 1, l2=50.0)}
+{WEIGHTS}""")
 def m03(t):
     """The intercept as the weight of a constant feature."""
-    return _weights(t, SPEC.with_params(C=0.02, penalise_intercept=True).fit(one_gene_rows(t)))
+    return _weights(t, SPEC.with_params(C=0.02, penalise_intercept=True).fit(model_rows(t)))
 
 
 # -- kernels ----------------------------------------------------------------------------
@@ -107,8 +112,8 @@ _kernel_query("m04_kernel_rbf", M.Kernel("rbf"), "exp(-{d2} / 64)")
 _kernel_query("m04_kernel_sigmoid", M.Kernel("sigmoid", gamma=0.3, coef0=0.1), "tanh(0.3 * {xy} + 0.1)")
 
 
-def _inverse_distance(a: np.ndarray, b: np.ndarray) -> float:
-    return float(1.0 / (1.0 + np.abs(a - b).sum()))
+def _inverse_distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.stack([1.0 / (1.0 + np.abs(x - mark).sum(axis=1)) for mark in y], axis=1)
 
 
 _kernel_query(
@@ -116,7 +121,7 @@ _kernel_query(
     "1 / (1 + list_sum(list_transform(range(64), lambda k: abs(x[k + 1] - c[k + 1]))))",
 )
 
-RBF = M.KernelLogisticSpec(C=0.1, kind="rbf", gamma=2.0, max_iter=300, tol=1e-15)
+RBF = {"C": 0.1, "kind": "rbf", "gamma": 2.0, "max_iter": 300, "tol": 1e-15}
 
 
 def kernel_fit_sql(value: str, l2: float) -> str:
@@ -136,7 +141,7 @@ SELECT sample_id, CAST(y AS DOUBLE) AS label, round(1 / (1 + exp(-d)), 3) + 0 AS
 def m05(t):
     """Fit on the kernel with the class means; probabilities of all samples."""
     rows = with_vector(t.vectors.drop("code"))
-    spec = RBF.with_params(landmarks=centres(t))
+    spec = M.KernelLogisticSpec(centres(t), **RBF)
     return spec.fit(rows).transform(rows).select("sample_id", "label", rounded("p1", 3).alias("p1"))
 
 
@@ -156,7 +161,7 @@ SELECT sample_id, CAST(y AS DOUBLE) AS label, CAST(CASE WHEN d > 0 THEN 1 ELSE 0
 def m07(t):
     """Class by the sign of the decision value, polynomial kernel."""
     rows = with_vector(t.vectors.drop("code"))
-    spec = RBF.with_params(C=0.05, kind="poly", gamma=1.0, degree=2, landmarks=centres(t))
+    spec = M.KernelLogisticSpec(centres(t), **{**RBF, "C": 0.05, "kind": "poly", "gamma": 1.0, "degree": 2})
     return spec.fit(rows).transform(rows).select("sample_id", "label", "prediction")
 
 
@@ -166,7 +171,7 @@ def m07(t):
 @query("m08_random_forest")
 def m08(t):
     rows = model_rows(t)
-    return M.ForestSpec(n_trees=10, max_features="sqrt").fit(rows).transform(rows).select("sample_id", "label", "p1", "prediction")
+    return M.ForestSpec(5, n_trees=10, max_features="sqrt").fit(rows).transform(rows).select("sample_id", "label", "p1", "prediction")
 
 
 @query("m09_boosted_trees")
@@ -278,29 +283,29 @@ def r02(t):
     return predictions
 
 
-# One gene, two outer and two inner folds, two strengths: all steps by Newton's method.
-NESTED = f"""{ONE_GENE},
-oix AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY sample_id) - 1 AS i, count(*) OVER (PARTITION BY y) AS n FROM one_gene),
-outer_f AS (SELECT sample_id, y, a, b, {fold_sql('i', 'n', 2)} AS fold FROM oix),
-otr AS (SELECT o, sample_id, y, a, b FROM outer_f CROSS JOIN (SELECT unnest(range(2)) AS o) t WHERE fold <> o),
+# All genes, two outer and two inner folds, two strengths: all steps by coordinate descent.
+NESTED = f"""{WHOLE},
+oix AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY sample_id) - 1 AS i, count(*) OVER (PARTITION BY y) AS n FROM whole),
+outer_f AS (SELECT sample_id, y, x, {fold_sql('i', 'n', 2)} AS fold FROM oix),
+otr AS (SELECT o, sample_id, y, x FROM outer_f CROSS JOIN (SELECT unnest(range(2)) AS o) t WHERE fold <> o),
 iix AS (SELECT *, row_number() OVER (PARTITION BY o, y ORDER BY {draw('0', seed=0)}) - 1 AS i, count(*) OVER (PARTITION BY o, y) AS n FROM otr),
-inner_f AS (SELECT o, y, a, b, s, {fold_sql('i', 'n', 2)} <> s AS is_train FROM iix CROSS JOIN (SELECT unnest(range(2)) AS s) t),
+inner_f AS (SELECT o, y, x, s, {fold_sql('i', 'n', 2)} <> s AS is_train FROM iix CROSS JOIN (SELECT unnest(range(2)) AS s) t),
 cand AS (SELECT * FROM (VALUES (0, '0.01', CAST(0.01 AS DOUBLE)), (1, '0.1', CAST(0.1 AS DOUBLE))) v(k, shown, c)),
-itr AS (SELECT o, s, k, c, y, a, b FROM inner_f CROSS JOIN cand WHERE is_train),
-{newton('inw', 'itr', '1 / c', '0', 'o, s, k')},
-isc AS (SELECT i.o, i.s, f.k, count(*) AS n, avg(CASE WHEN y = 1 THEN -ln(1 + exp(-(u * a + v * b))) ELSE -ln(1 + exp(u * a + v * b)) END) AS score
+itr AS (SELECT o, s, k, c, y, x FROM inner_f CROSS JOIN cand WHERE is_train),
+{descent('inw', 'itr', GENES + 1, l2='1 / d.c', free=1, keys='o, s, k')},
+isc AS (SELECT i.o, i.s, f.k, count(*) AS n, -{log_loss_of('list_dot_product(w, x)')} AS score
   FROM inner_f i JOIN inw_fit f ON f.o = i.o AND f.s = i.s WHERE NOT is_train GROUP BY 1, 2, 3),
 means AS (SELECT o, k, sum(n * score) / sum(n) AS m FROM isc GROUP BY 1, 2),
 best AS (SELECT o, k, m FROM (SELECT *, row_number() OVER (PARTITION BY o ORDER BY m DESC, k) AS r FROM means) WHERE r = 1),
-rtr AS (SELECT t.o, y, a, b, c FROM otr t JOIN best ON best.o = t.o JOIN cand ON cand.k = best.k),
-{newton('rnw', 'rtr', '1 / c', '0', 'o')},
-tested AS (SELECT fold AS o, sample_id, y, u * a + v * b AS d FROM outer_f JOIN rnw_fit ON rnw_fit.o = fold)"""
+rtr AS (SELECT t.o, y, x, c FROM otr t JOIN best ON best.o = t.o JOIN cand ON cand.k = best.k),
+{descent('rnw', 'rtr', GENES + 1, l2='1 / d.c', free=1, keys='o')},
+tested AS (SELECT fold AS o, sample_id, y, list_dot_product(w, x) AS d FROM outer_f JOIN rnw_fit ON rnw_fit.o = fold)"""
 
 
-def _nested_one_gene(t):
+def _nested_all_genes(t):
     labels = t.classes.select("sample_id", "y")
-    expr = t.expr.where("gene_id = 0").withColumn("value", F.col("value") * 10)
-    metrics = {"log_loss": H.negative_log_loss, "accuracy": H.accuracy}
+    expr = t.expr.withColumn("value", F.col("value") * 10)
+    metrics = {"log_loss": H.negative_log_loss, "accuracy": H.accuracy, "roc_auc": H.auc}
     return nested_evaluation(
         expr, labels, stratified_k_fold(labels, "y", 2), range(2), "logistic", SPEC, {"C": [0.01, 0.1]},
         "all", all_genes, metrics, 2, "log_loss",
@@ -310,15 +315,16 @@ def _nested_one_gene(t):
 @query("r01_nested_evaluation", f"""WITH {NESTED},
 lines AS (SELECT o, -avg(ln(1 + exp(CASE WHEN y = 1 THEN -d ELSE d END))) AS loss,
   avg(CASE WHEN (d > 0) = (y = 1) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS acc FROM tested GROUP BY o)
-SELECT CAST(o AS INTEGER) AS split_id, 'general' AS section, 'fs_size' AS name, CAST(1 AS DOUBLE) AS value FROM lines
+SELECT CAST(o AS INTEGER) AS split_id, 'general' AS section, 'fs_size' AS name, CAST({GENES} AS DOUBLE) AS value FROM lines
 UNION ALL SELECT CAST(o AS INTEGER), 'Test', 'score', round(loss, 4) + 0 FROM lines
 UNION ALL SELECT CAST(o AS INTEGER), 'Test', 'log_loss', round(loss, 4) + 0 FROM lines
 UNION ALL SELECT CAST(o AS INTEGER), 'Test', 'accuracy', round(acc, 4) + 0 FROM lines
+UNION ALL SELECT CAST(o AS INTEGER), 'Test', 'roc_auc', round(auc, 4) + 0 FROM ({auc_of('(SELECT o, y, d AS decision FROM tested)', 'o')})
 UNION ALL SELECT CAST(o AS INTEGER), 'Validation', 'score', round(m, 4) + 0 FROM best
 UNION ALL SELECT CAST(o AS INTEGER), 'Validation', 'C', c FROM best JOIN cand ON cand.k = best.k""")
 def r01n(t):
     """One result row per outer split and field: size, test scores, validation score, best parameter."""
-    results, _ = _nested_one_gene(t)
+    results, _ = _nested_all_genes(t)
     numbers = results.where("name <> 'Class'")
     return numbers.select("split_id", "section", "name", rounded(F.col("value").cast("double"), 4).alias("value"))
 
@@ -327,21 +333,21 @@ def r01n(t):
 SELECT CAST(o AS INTEGER) AS split_id, sample_id, CAST(y AS DOUBLE) AS label, round(1 / (1 + exp(-d)), 3) + 0 AS p1 FROM tested""")
 def r02n(t):
     """Probability of every sample from the outer split that tests it."""
-    _, predictions = _nested_one_gene(t)
+    _, predictions = _nested_all_genes(t)
     return predictions.select("split_id", "sample_id", "label", rounded("p1", 3).alias("p1"))
 
 
-SECOND = f"""first_c AS (SELECT CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y, 10 * CAST(embedding[2] AS DOUBLE) AS a, CAST(1 AS DOUBLE) AS b FROM embeddings WHERE vec_id % 2 = 0),
-{newton('nw', 'first_c', 'CAST(1 AS DOUBLE)', '0')},
-pred AS (SELECT vec_id AS sample_id, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y, u * 10 * CAST(embedding[2] AS DOUBLE) + v AS d FROM embeddings CROSS JOIN nw_fit WHERE vec_id % 2 = 1)"""
+SECOND = f"""{ALL_GENES}, both_c AS (SELECT sample_id, y, list_append(x[17:48], CAST(1 AS DOUBLE)) AS x FROM scaled),
+first_c AS (SELECT * FROM both_c WHERE sample_id % 2 = 0), {descent('cd', 'first_c', 33, l2=1.0, free=1, sweeps=60)},
+pred AS (SELECT sample_id, y, list_dot_product(w, x) AS d FROM both_c CROSS JOIN cd_fit WHERE sample_id % 2 = 1)"""
 
 
 def _cross_cohort(t):
-    """Cohorts by odd and even ids; the first lacks genes above 1, the second gene 0."""
+    """Cohorts by odd and even ids; the first lacks the last 16 genes, the second the first 16."""
     expr = t.expr.withColumn("value", F.col("value") * 10)
     labels = t.classes.select("sample_id", "y")
-    first = expr.where("sample_id % 2 = 0 AND gene_id <= 1"), labels.where("sample_id % 2 = 0")
-    second = expr.where("sample_id % 2 = 1 AND gene_id >= 1 AND gene_id <= 5"), labels.where("sample_id % 2 = 1")
+    first = expr.where("sample_id % 2 = 0 AND gene_id <= 47"), labels.where("sample_id % 2 = 0")
+    second = expr.where("sample_id % 2 = 1 AND gene_id >= 16"), labels.where("sample_id % 2 = 1")
     return train_on_first_test_on_second(first, second, all_genes, SPEC)
 
 

@@ -87,20 +87,3 @@ def clipped(p: Column, eps: float = 1e-15) -> Column:
 def dot(x: Column, y: Column) -> Column:
     """Inner product of two arrays of doubles."""
     return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-
-
-def kernel_value(
-    kind: str, xy: Column, xx: Column, yy: Column, width: Column,
-    gamma: float | None = None, degree: float = 3, coef0: float = 1.0,
-) -> Column:
-    """Kernel from inner products; an empty gamma means one over the number of variables."""
-    g = F.lit(gamma) if gamma is not None else 1.0 / width
-    if kind == "linear":
-        return xy
-    if kind == "poly":
-        return F.pow(g * xy + coef0, F.lit(float(degree)))
-    if kind == "rbf":
-        return F.exp(-g * F.greatest(xx + yy - 2.0 * xy, F.lit(0.0)))
-    if kind == "sigmoid":
-        return F.tanh(g * xy + coef0)
-    raise ValueError(f"unknown kernel {kind!r}")

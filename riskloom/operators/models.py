@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -24,7 +23,6 @@ from riskloom.runtime import bounded_rows, cut
 
 LANDMARK_BLOCK = 256  # landmarks multiplied at once
 ROWS_PER_GROUP = 20_000  # samples multiplied with one block in one task
-MAX_LANDMARKS = 65_535
 
 
 class Spec:
@@ -94,7 +92,9 @@ class LogisticSpec(Spec):
     tol: float = 1e-6
 
     def fit(self, rows: DataFrame, n: int | None = None) -> FittedClassifier:
-        for name in ("C", "max_iter", "tol"):
+        if self.C <= 0:
+            raise ValueError("C must be positive")
+        for name in ("max_iter", "tol"):
             if getattr(self, name) < 0:
                 raise ValueError(f"{name} must not be negative")
         if self.penalty not in ("l1", "l2"):
@@ -102,7 +102,7 @@ class LogisticSpec(Spec):
         n = rows.count() if n is None else n
         own_constant = self.fit_intercept and self.penalise_intercept
         solver = LogisticRegression(
-            regParam=1.0 / (self.C * n) if self.C else 1e9,
+            regParam=1.0 / (self.C * n),
             elasticNetParam=1.0 if self.penalty == "l1" else 0.0,
             standardization=False,
             fitIntercept=self.fit_intercept and not self.penalise_intercept,
@@ -122,7 +122,7 @@ class LogisticSpec(Spec):
 
 def _kernel_matrix(kind, x: np.ndarray, y: np.ndarray, gamma, degree, coef0) -> np.ndarray:
     if callable(kind):
-        return np.array([[kind(a, b) for b in y] for a in x])
+        return np.asarray(kind(x, y), dtype=float)
     g = 1.0 / x.shape[1] if gamma is None else gamma
     xy = x @ y.T
     if kind == "linear":
@@ -139,7 +139,8 @@ def _kernel_matrix(kind, x: np.ndarray, y: np.ndarray, gamma, degree, coef0) ->
 
 @dataclass(frozen=True)
 class Kernel:
-    """linear, poly, rbf, sigmoid, or a function of two arrays.  Unused settings are ignored."""
+    """linear, poly, rbf, sigmoid, or a function of two matrices (rows as samples) that returns
+    the matrix of values.  Unused settings are ignored."""
 
     kind: object = "rbf"
     gamma: float | None = None
@@ -210,12 +211,12 @@ class FittedKernelClassifier:
 
 @dataclass(frozen=True)
 class KernelLogisticSpec(Spec):
-    """Logistic regression on the kernel with the landmarks; by default every training row.
+    """Logistic regression on the kernel with the named landmarks, a table as in :meth:`Kernel.blocks`.
 
-    With n training rows as landmarks the model has n weights, which ``pyspark.ml`` keeps
-    as one dense vector; beyond ``MAX_LANDMARKS`` rows the caller has to name landmarks.
+    The model has one weight per landmark, which ``pyspark.ml`` keeps as one dense vector.
     """
 
+    landmarks: DataFrame
     C: float = 1.0
     kind: object = "rbf"
     gamma: float | None = None
@@ -224,21 +225,15 @@ class KernelLogisticSpec(Spec):
     penalty: str = "l2"
     max_iter: int = 100
     tol: float = 1e-6
-    landmarks: DataFrame | None = None
 
     def fit(self, rows: DataFrame, n: int | None = None) -> FittedKernelClassifier:
         n = rows.count() if n is None else n
         plain = rows.withColumn("features", vector_to_array("features"))
-        marks = self.landmarks
-        if marks is None:
-            if n > MAX_LANDMARKS:
-                raise ValueError(f"{n} training rows: name at most {MAX_LANDMARKS} landmarks")
-            marks = cut(landmark_table(plain.select("sample_id", "features")), "landmarks")
         kernel = Kernel(self.kind, self.gamma, self.degree, self.coef0)
-        mapped = kernel.features(plain, marks).withColumn("features", array_to_vector("features"))
+        mapped = kernel.features(plain, self.landmarks).withColumn("features", array_to_vector("features"))
         train = cut(plain.select("sample_id", "label").join(mapped, "sample_id"), "gram")
         inner = LogisticSpec(self.C, self.penalty, max_iter=self.max_iter, tol=self.tol).fit(train, n)
-        return FittedKernelClassifier(kernel, marks, inner)
+        return FittedKernelClassifier(kernel, self.landmarks, inner)
 
 
 def kernel_probability(mapped: DataFrame, weights: list[float], intercept: float) -> DataFrame:
@@ -256,11 +251,14 @@ def kernel_probability(mapped: DataFrame, weights: list[float], intercept: float
 
 @dataclass(frozen=True)
 class ForestSpec(Spec):
-    """Random forest; ``max_features`` is 'sqrt', 'log2', 'auto' or a share."""
+    """Random forest; ``max_features`` is 'sqrt', 'log2', 'auto' or a share.
+
+    Spark grows trees to a depth of 30 at most, so the depth has to be said.
+    """
 
+    max_depth: int
     n_trees: int = 20
     max_features: str = "auto"
-    max_depth: int = 5
     seed: int = 0
 
     def fit(self, rows: DataFrame, n: int | None = None) -> FittedClassifier:
@@ -276,7 +274,7 @@ class BoostedSpec(Spec):
 
     max_depth: int = 3
     learning_rate: float = 0.1
-    n_rounds: int = 20
+    n_rounds: int = 100
     seed: int = 0
 
     def fit(self, rows: DataFrame, n: int | None = None) -> FittedClassifier:
@@ -306,7 +304,7 @@ class RegressionSpec(Spec):
     kind: str = "ridge"
     alpha: float = 1.0
     max_iter: int = 1000
-    tol: float = 1e-9
+    tol: float = 1e-12
 
     def fit(self, rows: DataFrame, n: int | None = None) -> FittedRegressor:
         if self.kind not in ("plain", "ridge", "lasso"):
@@ -315,13 +313,13 @@ class RegressionSpec(Spec):
         if self.kind == "lasso":
             strength = self.alpha
         elif self.kind == "ridge":  # Spark scales the label by its deviation first
-            n, spread = rows.agg(F.count("*"), F.stddev_pop("label")).first()
+            n, spread = rows.agg(F.count("*"), F.stddev_samp("label")).first()
             strength = self.alpha * spread / n
         model = LinearRegression(
             regParam=strength,
             elasticNetParam=1.0 if self.kind == "lasso" else 0.0,
             standardization=False,
-            solver="normal" if self.kind != "lasso" else "auto",
+            solver="l-bfgs",  # the others stop at 4,096 variables
             maxIter=self.max_iter,
             tol=self.tol,
         ).fit(rows)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import product
 from math import prod
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskloom.functions.rowindex import shuffle_key, with_row_index, with_running_sum, with_shuffled_index
 from riskloom.operators import metrics as M
-from riskloom.operators.folds import attach_sides, is_train_in, side_sizes, sides
+from riskloom.operators.folds import attach_sides, attach_splits, is_train_in, side_sizes, sides, stratified_k_fold
 from riskloom.runtime import cut
 
 DEFAULT_METRICS: dict[str, M.Metric] = {"neg_log_loss": M.negative_log_loss}
@@ -46,20 +47,27 @@ def candidate_table(spark: SparkSession, grids: Mapping | Sequence[Mapping]) ->
     """The same combinations as a table ``(candidate_id, params)``.
 
     A candidate's values follow from its number by division with remainder, so large grids
-    are made in parallel from a range and no tables are multiplied.
+    are made in parallel from a range and no tables are multiplied.  Values are a list, or a
+    table of one column, which is numbered in its order and joined by number.
     """
     grids = [grids] if isinstance(grids, Mapping) else grids
     parts, offset = [], 0
     for grid in grids:
         names = sorted(grid)
-        total = prod(len(grid[k]) for k in names)
-        stride, cells = total, []
-        for k in names:
-            stride //= len(grid[k])
-            values = F.array(*[F.lit(str(v)) for v in grid[k]])
-            place = (F.floor(F.col("id") / stride) % len(grid[k])).cast("int")
-            cells += [F.lit(k), F.element_at(values, place + 1)]
-        rows = spark.range(total)
+        tables = {k: v for k, v in grid.items() if isinstance(v, DataFrame)}
+        sizes = {k: tables[k].count() if k in tables else len(grid[k]) for k in names}
+        total = prod(sizes.values())
+        stride, cells, rows = total, [], spark.range(total)
+        for i, k in enumerate(names):
+            stride //= sizes[k]
+            place = F.floor(F.col("id") / stride) % sizes[k]
+            if k in tables:
+                numbered = with_row_index(tables[k], tables[k].columns, name=f"_n{i}")
+                numbered = numbered.select(f"_n{i}", F.col(tables[k].columns[0]).cast("string").alias(f"_v{i}"))
+                rows = rows.withColumn(f"_p{i}", place.cast("long")).join(numbered, F.col(f"_p{i}") == F.col(f"_n{i}"))
+                cells += [F.lit(k), F.col(f"_v{i}")]
+            else:
+                cells += [F.lit(k), F.element_at(F.array(*[F.lit(str(v)) for v in grid[k]]), place.cast("int") + 1)]
         parts.append(rows.select((F.col("id") + offset).alias("candidate_id"), F.create_map(*cells).alias("params")))
         offset += total
     return reduce(DataFrame.unionByName, parts)
@@ -79,14 +87,9 @@ def scores_of(fitted, rows: DataFrame, metrics: Mapping[str, M.Metric], side: Co
     ``side`` splits the rows, for instance into train and test; without it there is one
     entry, under None.
     """
-    marked = rows.withColumn("_side", F.lit(None).cast("boolean") if side is None else side)
-    scored = fitted.transform(marked)
-    cells = []
-    for name, metric in metrics.items():
-        by_class = metric in M.CLASS_METRICS.values() or "p1" not in scored.columns
-        cells.append(metric(F.col("label"), F.col("prediction" if by_class else "p1")).alias(name))
-    found = scored.groupBy("_side").agg(*cells).collect()  # one row per side
-    return {r["_side"]: {name: r[name] for name in metrics} for r in found}
+    if side is None:
+        return M.model_scores(fitted.transform(rows), metrics)
+    return M.model_scores(fitted.transform(rows.withColumn("_side", side)), metrics, "_side")
 
 
 def fit_and_score(
@@ -228,6 +231,30 @@ class GridSearch:
         return self
 
 
+@dataclass(frozen=True)
+class TunedSpec:
+    """A spec whose fit is a search over stratified folds of the rows it is given.
+
+    It stands wherever a spec does, so tuned models select genes and count participation.
+    """
+
+    spec: object
+    grids: object
+    n_splits: int = 5
+    seed: int = 0
+    metrics: object = None
+    refit: str | None = None
+
+    def with_params(self, **params) -> TunedSpec:
+        return replace(self, spec=self.spec.with_params(**params))
+
+    def fit(self, rows: DataFrame, n: int | None = None):
+        plain = cut(rows.select("sample_id", "features", "label"), "tuned")
+        folds = stratified_k_fold(plain.select("sample_id", "label"), "label", self.n_splits, seed=self.seed)
+        inner = attach_splits(plain, folds)
+        return GridSearch(self.spec, self.grids, self.metrics, self.refit).fit(inner, range(self.n_splits), plain).best_model
+
+
 # -- G7, G8 -----------------------------------------------------------------------------
 
 
@@ -252,6 +279,21 @@ def sequential_search(
     return merged, found.best_score, spec.with_params(**merged).fit(all_rows)
 
 
+class SequentialSearch:
+    """:func:`sequential_search` in the form of :class:`GridSearch`; ``grids`` is the list of grids."""
+
+    def __init__(self, spec, grids, metrics=None, refit=None, carry_over: bool = False, **options):
+        self.spec, self.grids, self.carry_over = spec, grids, carry_over
+        self.metrics = metrics or DEFAULT_METRICS
+        self.refit, self.options = check_refit(self.metrics, refit), options
+
+    def fit(self, rows: DataFrame, split_ids: Sequence[int], all_rows: DataFrame) -> SequentialSearch:
+        self.best_params, self.best_score, self.best_model = sequential_search(
+            self.spec, self.grids, rows, split_ids, all_rows, self.carry_over, metrics=self.metrics, refit=self.refit, **self.options
+        )
+        return self
+
+
 def interval_step(chosen: DataFrame, intervals: DataFrame, p_aug: float = 0.3) -> DataFrame:
     """One round of interval updates.
 

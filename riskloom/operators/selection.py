@@ -21,8 +21,8 @@ from riskloom.runtime import cut
 
 def weight_table(fitted, index: DataFrame) -> DataFrame:
     """Weights of a fitted model by gene: ``(gene_id, value)``."""
-    cells = [(i, float(w)) for i, w in enumerate(fitted.weights)]
-    weights = index.sparkSession.createDataFrame(cells, "gene_ix long, value double")
+    one = index.sparkSession.createDataFrame([(fitted.weights.tolist(),)], "w array<double>")
+    weights = one.select(F.posexplode("w").alias("gene_ix", "value"))
     return index.join(weights, "gene_ix").select("gene_id", "value")
 
 
@@ -45,7 +45,7 @@ def chosen_by_sign(weights: DataFrame, sign: str = "positive", passthrough: bool
 
 
 def select_by_model(spec, rows: DataFrame, index: DataFrame, sign: str = "positive", passthrough: bool = False) -> DataFrame:
-    """Fit an L1 model (or the best of a search) and keep genes by the sign of their weight."""
+    """Fit an L1 model, or a ``TunedSpec`` of one, and keep genes by the sign of their weight."""
     if passthrough:
         return index.select("gene_id")
     return chosen_by_sign(weight_table(spec.fit(rows), index), sign)
@@ -83,8 +83,8 @@ def repeated_fits(
     models: dict = {}
     log = fit_and_score(spec, [{}], rows, split_ids, metrics, parallelism=parallelism, keep_models=models)
     found = log.select(F.col("split_id").alias("fit_id"), F.lit("metrics").alias("kind"), F.col("metric").alias("name"), F.col("test_score").alias("value"))
-    cells = [(split, i, float(w)) for (_, split), m in models.items() for i, w in enumerate(m.weights)]
-    weights = index.sparkSession.createDataFrame(cells, "fit_id int, gene_ix long, value double")
+    fits = index.sparkSession.createDataFrame([(split, m.weights.tolist()) for (_, split), m in models.items()], "fit_id int, w array<double>")
+    weights = fits.select("fit_id", F.posexplode("w").alias("gene_ix", "value"))  # genes unfold on the executors
     by_gene = weights.join(index, "gene_ix").select(
         "fit_id", F.lit("weight").alias("kind"), F.col("gene_id").cast("string").alias("name"), "value"
     )

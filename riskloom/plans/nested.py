@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskloom.functions.vectors import assemble, gene_index, with_vector
 from riskloom.operators import metrics as M
 from riskloom.operators.folds import attach_splits, sides, stratified_k_fold
 from riskloom.operators.search import GridSearch, scores_of
-from riskloom.operators.selection import select_by_model, slice_genes
+from riskloom.operators.selection import read_selection, select_by_model, slice_genes
 from riskloom.runtime import cut
 
 RESULT_SCHEMA = "model string, selector string, split_id int, section string, name string, value string"
@@ -39,17 +39,21 @@ def nested_evaluation(
     spec,
     grid: Mapping[str, Sequence],
     selector: str,
-    select: Callable[[DataFrame, DataFrame], DataFrame],
+    select: Callable[[int | None, DataFrame, DataFrame], DataFrame],
     metrics: Mapping[str, M.Metric],
     inner_splits: int = 5,
     refit: str | None = None,
     seed: int = 0,
+    search_type: type = GridSearch,
+    derive: Callable[[DataFrame], object] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Result rows and out-of-fold predictions of one model and selector.
 
-    ``outer`` is the test side of the outer splits.  ``select(train_rows, index)`` sees train
-    rows only.  ``split_ids`` may be the splits
-    that are still pending.
+    ``outer`` is the test side of the outer splits.  ``select(split, train_rows, index)`` sees train
+    rows only, or reads what is stored for the split.  ``derive(train_rows)`` fits new variables on the chosen
+    genes of the train side, such as components; its ``transform`` makes them on both sides.  ``search_type`` is
+    ``GridSearch``, ``SequentialSearch`` (``grid`` is then a list of grids) or a class like them.  ``split_ids``
+    may be the splits that are still pending.
     """
     spark = expr.sparkSession
     whole, index = design(expr, labels)
@@ -57,12 +61,15 @@ def nested_evaluation(
     lines, predictions = [], None
     for split in split_ids:
         train, test = sides(whole, split)
-        genes = cut(select(train, index), "selected")
+        genes = cut(select(int(split), train, index), "selected")
         chosen = sorted(r[0] for r in index.join(genes, "gene_id", "left_semi").select("gene_ix").collect())
         if not chosen:
             raise ValueError(f"no gene was selected in split {split}")
         train, test = cut(slice_genes(train, chosen), "train"), slice_genes(test, chosen)
-        search = GridSearch(spec, grid, metrics, refit).fit(
+        if derive is not None:
+            made = derive(train)
+            train, test = cut(made.transform(train), "derived"), made.transform(test)
+        search = search_type(spec, grid, metrics, refit).fit(
             cut(inner_rows(train, inner_splits, seed), "inner"), range(inner_splits), train
         )
         scored = cut(search.best_model.transform(test), "scored")
@@ -85,9 +92,15 @@ class AlreadyScored:
         return rows
 
 
-def l1_selector(spec) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    return lambda rows, index: select_by_model(spec, rows, index)
+def l1_selector(spec) -> Callable[[int | None, DataFrame, DataFrame], DataFrame]:
+    """Genes with a positive weight in ``spec``, which may be a ``TunedSpec``."""
+    return lambda split, rows, index: select_by_model(spec, rows, index)
 
 
-def all_genes(rows: DataFrame, index: DataFrame) -> DataFrame:
+def stored_selector(spark: SparkSession, path: str, selector_key: str) -> Callable[[int | None, DataFrame, DataFrame], DataFrame]:
+    """The selection stored for each split under the selector's key."""
+    return lambda split, rows, index: read_selection(spark, path, selector_key, split).select("gene_id")
+
+
+def all_genes(split: int | None, rows: DataFrame, index: DataFrame) -> DataFrame:
     return index.select("gene_id")

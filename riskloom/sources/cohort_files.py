@@ -10,7 +10,6 @@ from pyspark.sql.types import StructType
 
 from riskloom.functions.joins import join_by_key
 from riskloom.functions.rowindex import with_row_index
-from riskloom.runtime import bounded_rows
 
 
 @dataclass(frozen=True)
@@ -114,13 +113,13 @@ def load_cohort(
 # -- A6, A7 -----------------------------------------------------------------------------
 
 
-def one_hot(df: DataFrame, columns: Sequence[str], max_values: int = 1000) -> DataFrame:
-    """One 0/1 column ``col_value`` per category value; a missing value is 0 everywhere."""
+def one_hot(df: DataFrame, columns: Mapping[str, Sequence]) -> DataFrame:
+    """One 0/1 column ``col_value`` per named value of each column; a missing value is 0 everywhere.
+
+    The caller names the values, since each becomes a column.
+    """
     flags = []
-    for c in columns:
-        values = sorted(
-            r[0] for r in bounded_rows(df.select(c).where(F.col(c).isNotNull()).distinct(), max_values, c)
-        )
+    for c, values in columns.items():
         flags += [
             F.coalesce((F.col(c) == v).cast("int"), F.lit(0)).alias(f"{c}_{v}") for v in values
         ]

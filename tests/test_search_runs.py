@@ -7,8 +7,11 @@ from riskloom.operators import folds as E
 from riskloom.operators import metrics as H
 from riskloom.operators import runs as R
 from riskloom.operators import search as G
-from riskloom.operators.models import LogisticSpec
-from riskloom.plans.nested import all_genes, l1_selector, nested_evaluation
+from riskloom.functions.vectors import gene_index
+from riskloom.operators.models import LogisticSpec, fit_components
+from riskloom.operators.selection import select_by_model, store_selection
+from riskloom.plans.nested import all_genes, l1_selector, nested_evaluation, stored_selector
+from riskloom.runtime import scratch_path
 
 
 @pytest.fixture(scope="module")
@@ -152,6 +155,39 @@ def test_permutation_test(expr):
     assert score > max(permuted) and p == 0.25
 
 
+def test_nested_with_stored_selection_components_and_sequential_search(spark, expr):
+    long, labels, rows, index = expr
+    outer = E.stratified_k_fold(labels, "y", 2)
+    path = scratch_path(spark, "selected")
+    genes = sorted(r["gene_id"] for r in long.select("gene_id").distinct().collect())
+    chosen = [(s, g) for s in range(2) for g in genes[: 2 + s]]  # two genes in split 0, three in split 1
+    store_selection(spark.createDataFrame(chosen, long.select(F.lit(0).alias("split_id"), "gene_id").schema), path, "kept")
+    results, predictions = nested_evaluation(
+        long, labels, outer, range(2), "lr", LogisticSpec(), [{"C": [0.1, 1.0]}, {"penalise_intercept": [False, True]}], "stored",
+        stored_selector(spark, path, "kept"), {"auc": H.auc, "accuracy": H.accuracy}, 2, "auc",
+        search_type=G.SequentialSearch, derive=lambda train: fit_components(train, 1),
+    )
+    found = {(r["split_id"], r["section"], r["name"]): r["value"] for r in results.collect()}
+    assert [found[s, "general", "fs_size"] for s in range(2)] == ["2", "3"]
+    for s in range(2):
+        assert {"C", "penalise_intercept", "score"} == {n for split, section, n in found if split == s and section == "Validation"}
+        assert float(found[s, "Test", "score"]) == float(found[s, "Test", "auc"])
+    assert sorted(r["sample_id"] for r in predictions.collect()) == list(range(60))
+
+
+def test_tuned_model_selects_genes(spark, expr):
+    long, _, rows, _ = expr
+    index = gene_index(long)
+    spec = LogisticSpec(penalty="l1", tol=1e-9)
+    plain = rows.select("sample_id", "features", "label")
+    tuned = G.TunedSpec(spec, {"C": [0.05, 0.5]}, n_splits=3, seed=1)
+    search = G.GridSearch(spec, {"C": [0.05, 0.5]})
+    folds = E.stratified_k_fold(plain.select("sample_id", "label"), "label", 3, seed=1)
+    best = search.fit(E.attach_splits(plain, folds), range(3), plain).best_spec
+    got, want = (sorted(r[0] for r in select_by_model(s, plain, index, "nonzero").collect()) for s in (tuned, best))
+    assert got == want and got
+
+
 def test_nested_with_resume(spark, expr):
     long, labels, _, _ = expr
     outer = E.stratified_k_fold(labels, "y", 2)
@@ -180,7 +216,7 @@ def test_nested_with_resume(spark, expr):
 
 def test_passthrough_selector(expr):
     long, _, _, _ = expr
-    assert all_genes(None, long.select("gene_id").distinct()).count() == 3
+    assert all_genes(None, None, long.select("gene_id").distinct()).count() == 3
 
 
 def test_run_key_ignores_order(spark):

@@ -8,6 +8,7 @@ from riskloom.functions.vectors import assemble, gene_index
 from riskloom.operators import metrics as H
 from riskloom.operators import models as M
 from riskloom.operators import selection as S
+from riskloom.operators.search import scores_of
 
 
 def model_rows(spark, x, y):
@@ -54,7 +55,7 @@ def test_penalised_intercept(data):
 
 
 def test_negative_settings_are_refused(data):
-    for bad in ({"C": -1.0}, {"max_iter": -1}, {"tol": -1.0}, {"penalty": "l3"}):
+    for bad in ({"C": -1.0}, {"C": 0.0}, {"max_iter": -1}, {"tol": -1.0}, {"penalty": "l3"}):
         with pytest.raises(ValueError):
             M.LogisticSpec(**bad).fit(data[2])
 
@@ -71,7 +72,8 @@ def test_kernel_over_several_blocks(spark, data, kind, monkeypatch):
 
 def test_kernel_logistic_on_all_training_rows(data):
     x, y, rows = data
-    fitted = M.KernelLogisticSpec(C=1.0, kind="rbf", gamma=0.5, tol=1e-9).fit(rows)
+    marks = M.landmark_table(rows.select("sample_id", vector_to_array("features").alias("features")))
+    fitted = M.KernelLogisticSpec(marks, C=1.0, kind="rbf", gamma=0.5, tol=1e-9).fit(rows)
     out = fitted.transform(rows).toPandas()
     assert len(fitted.weights) == 120
     assert (out.prediction == (out.decision > 0)).all()
@@ -79,7 +81,7 @@ def test_kernel_logistic_on_all_training_rows(data):
 
 
 def test_trees(data):
-    for spec in (M.ForestSpec(n_trees=10), M.BoostedSpec(n_rounds=5)):
+    for spec in (M.ForestSpec(5, n_trees=10), M.BoostedSpec(n_rounds=5)):
         out = spec.fit(data[2]).transform(data[2]).toPandas()
         assert out.p1.between(0, 1).all() and (out.prediction == out.label).mean() > 0.7
 
@@ -100,6 +102,15 @@ def test_regressions(spark):
     assert np.abs(g[on] + 0.3 * np.sign(lasso.weights[on])).max() < 1e-4 and np.abs(g[~on]).max(initial=0) <= 0.3 + 1e-6
 
 
+def test_ridge_of_more_variables_than_a_normal_matrix_holds(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(30, 4_200))
+    y = rng.normal(size=30)
+    ridge = M.RegressionSpec("ridge", alpha=5.0).fit(model_rows(spark, x, y))
+    xc, yc = x - x.mean(0), y - y.mean()
+    assert np.allclose(ridge.weights, xc.T @ np.linalg.solve(xc @ xc.T + 5 * np.eye(30), yc), atol=1e-5)
+
+
 def test_components_two_ways(spark, data):
     x, _, rows = data
     parts = M.fit_components(rows, 2)
@@ -175,3 +186,23 @@ def test_metrics(spark):
     assert H.score(df, {"l": H.log_loss}, "y", "p").first()[0] == pytest.approx(want)
     assert H.roc_auc(df, "y", "p").first()[0] == pytest.approx(0.375)
     assert H.roc_auc(df.where("y = 1"), "y", "p").first()[0] is None
+
+
+def test_metrics_say_what_they_read(spark, data):
+    rows = data[2]
+    fitted = M.LogisticSpec().fit(rows)
+    metrics = {
+        "accuracy": H.accuracy, "wrapped": H.Metric("class", lambda y, p: H.accuracy(y, p)), "auc": H.auc, "log_loss": H.log_loss,
+    }
+    side = F.col("sample_id") % 3 == 0
+    whole, sides = scores_of(fitted, rows, metrics)[None], scores_of(fitted, rows, metrics, side)
+    scored = fitted.transform(rows).toPandas()
+    for got, part in ((whole, scored), (sides[True], scored[scored.sample_id % 3 == 0]), (sides[False], scored[scored.sample_id % 3 != 0])):
+        hits, misses = part.p1[part.label == 1].to_numpy(), part.p1[part.label == 0].to_numpy()
+        won = (hits[:, None] > misses).mean() + (hits[:, None] == misses).mean() / 2
+        assert got["accuracy"] == got["wrapped"] == pytest.approx((part.prediction == part.label).mean())
+        assert got["auc"] == pytest.approx(won)
+    with pytest.raises(TypeError):
+        scores_of(fitted, rows, {"plain": lambda y, p: H.accuracy(y, p)})
+    with pytest.raises(ValueError):
+        H.Metric("score", H.accuracy.column)

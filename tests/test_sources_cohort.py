@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.scalar import inverse_normal, normal_probe
 from riskloom.operators import cohort as C
 from riskloom.plans.prepare import load_task, prepare_task
-from riskloom.runtime import bounded_rows, scratch_path, shared_folder
+from riskloom.runtime import scratch_path, shared_folder
 from riskloom.sources import cohort_files as files
 
 
@@ -39,13 +39,14 @@ def test_constant_gene_becomes_zero(spark):
     assert {r["value"] for r in files.standardise(expr).collect()} == {0.0}
 
 
-def test_one_hot_refuses_many_values(spark):
-    with pytest.raises(ValueError):
-        files.one_hot(spark.range(10), ["id"], max_values=5)
+def test_one_hot_of_named_values(spark):
+    df = spark.createDataFrame([("a",), ("c",), (None,)], "kind string")
+    rows = files.one_hot(df, {"kind": ["a", "b", "c"]}).collect()
+    assert sorted(tuple(r) for r in rows) == [(0, 0, 0), (0, 0, 1), (1, 0, 0)]
 
 
-def test_bounded_rows(spark):
-    assert len(bounded_rows(spark.range(3), 3, "x")) == 3
+def test_one_hot_has_no_limit_of_values(spark):
+    assert len(files.one_hot(spark.range(3), {"id": range(1200)}).columns) == 1200
 
 
 def test_scratch_is_in_the_named_folder(spark):
