@@ -82,11 +82,3 @@ def clear_scratch(spark: SparkSession) -> None:
     """Remove every scratch folder of this application, at its end."""
     for folder in _WRITTEN.pop(spark.sparkContext.applicationId, ()):
         _remove(spark, folder)
-
-
-def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
-    """Bring a list of at most ``limit`` rows to the driver, or refuse."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{what}: more than {limit} rows")
-    return rows
