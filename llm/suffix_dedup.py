@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from llm.common import Units, discard, written
 from llm.exchange import KEYS_PER_UNIT, repeated_items, with_repeats
 from llm.grouping import suffix_array
-from llm.textbuf import RangeHash, Texts, slices_by_bytes
+from llm.textbuf import RangeHash, Texts, mixed, slices_by_bytes
 
 ANCHOR = 64
 #: Window starts that share one core when contexts are cut down.
@@ -81,7 +81,8 @@ def _gather(width: int) -> Callable:
         number, ids, prints, found = Units(), [], [], []
 
         def unit() -> pa.RecordBatch:
-            anchors = np.concatenate([f["anchor"] for f in found])
+            # an anchor is the least of many hashes: mixed again, so that owners of equal key ranges get equal shares
+            anchors = mixed(np.concatenate([f["anchor"] for f in found]))
             places = np.stack([np.concatenate([f[c] for f in found]) for c in ("text", "first", "last")], axis=1).astype("<u4")
             wholes = np.concatenate([f["whole"] for f in found])
             row = [number(), len(anchors), anchors.tobytes(), ids, prints, wholes.tobytes(), places.tobytes()]
