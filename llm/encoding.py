@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 from functools import lru_cache
 
 import numpy as np
@@ -10,19 +11,24 @@ import tiktoken
 
 
 @lru_cache(maxsize=4)
-def encoder(ranks: str, pattern: str) -> tiktoken.Encoding:
-    """The vocabulary of a rank file; strings of special tokens in a text are ordinary text."""
+def encoder(ranks: str, pattern: str, added: str) -> tiktoken.Encoding:
+    """The vocabulary of a rank file with the added tokens of the ``tokenizers`` file ``added``."""
     with open(ranks, "rb") as lines:
         merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
+    with open(added, encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
+        raise ValueError(f"{added}: added tokens that depend on what stands beside them")
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merges, special_tokens={t["content"]: t["id"] for t in tokens})
 
 
 def ids(enc: tiktoken.Encoding, text: str | None) -> np.ndarray:
-    return np.array(enc.encode_ordinary(text or ""), dtype="<u4")
+    """Ids of a text; an added token's string in it is that token, as for ``tokenizers``."""
+    return np.array(enc.encode(text or "", allowed_special="all"), dtype="<u4")
 
 
 def vocabulary() -> dict[str, str]:
-    """The rank file of the 50k byte-level vocabulary and its splitting pattern."""
+    """The rank file of the 50k byte-level vocabulary, its splitting pattern and the file that lists its added tokens."""
     import public_tokenizers
 
-    return {"ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+    return {"ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "added": public_tokenizers.path("byte_bpe_50k.json")}

@@ -113,7 +113,7 @@ class Packer:
             self.rows = []
 
 
-def pack(docs: DataFrame, ranks: str, pattern: str, limits: Limits = Limits(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, ranks: str, pattern: str, added: str, limits: Limits = Limits(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per placed piece: doc_id, start, length, ids (little-endian unsigned 32-bit), loss_tokens,
     doc_tokens, sequence_id, offset.
 
@@ -123,7 +123,7 @@ def pack(docs: DataFrame, ranks: str, pattern: str, limits: Limits = Limits(), d
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, context = encoder(ranks, pattern), TaskContext.get()
+        enc, context = encoder(ranks, pattern, added), TaskContext.get()
         packer = Packer(limits, (context.partitionId() if context else 0) << 36)
         for batch in batches:
             for part in slices_by_bytes(batch, "text"):

@@ -9,21 +9,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from llm.common import only, written
-from llm.encoding import encoder
+from llm.encoding import encoder, ids
 from llm.textbuf import slices_by_bytes
 
 #: Lengths that share one step of the suffix sums.
 BLOCK = 1024
 
 
-def token_lengths(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def token_lengths(docs: DataFrame, ranks: str, pattern: str, added: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens.  Null and empty texts have 0 tokens."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ranks, pattern)
+        enc = encoder(ranks, pattern, added)
         for batch in batches:
             for part in slices_by_bytes(batch, "text"):
-                sizes = np.array([len(enc.encode_ordinary(t or "")) for t in part.column("text").to_pylist()], dtype=np.int64)
+                sizes = np.array([len(ids(enc, t)) for t in part.column("text").to_pylist()], dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes)], names=["doc_id", "n_tokens"])
 
     return only(docs, doc_id=f"{doc_id} long", text=f"{text} string").mapInArrow(count, "doc_id long, n_tokens long")
