@@ -21,11 +21,19 @@ FEMALE = ("Mrs", "Miss", "Ms", "Frau", "Madame", "Mme", "Señora", "Sra", "Signo
 _ADDRESS = "|".join(sorted(MALE + FEMALE, key=len, reverse=True))
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 
+#: Values of secrets: quoted ones up to their quote, others up to white space without the punctuation that ends a
+#: clause; a quote that is never closed only opens.  Separators alone are no secret.
+_VALUE = (
+    r"\"(?![+/_\s-]*+\")(?:[^\"\\\r\n\x01\x02]|\\[^\r\n\x01\x02]){8,}+\"|'(?![+/_\s-]*+')(?:[^'\\\r\n\x01\x02]|\\[^\r\n\x01\x02]){8,}+'"
+    r"|(?![\"']?[+/_-]++[\"'.,;:!?)\]}>]*+(?:\s|$))"
+    r"(?:\"[^\s\"\x01\x02]{8,}|'[^\s'\x01\x02]{8,}|(?![\"'])[^\s\x01\x02]{7,}[^\s\x01\x02\"'.,;:!?)\]}>])"
+)
+
 #: What a mention looks like, by kind; tried in this order.
 FORMS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,}",  # a domain has at most 127 labels
     "cloud_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z])(?i:password|passwd|secret|token|api_key|apikey|access_key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,}[\"']?",
+    "secret": rf"(?<![A-Za-z])(?i:password|passwd|secret|token|api_key|apikey|access_key)[\"']?\s{{0,3}}[=:]\s{{0,3}}(?:{_VALUE})",
     "hex_key": r"[\"'](?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})[\"']",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\d-])",
@@ -37,6 +45,8 @@ FORMS = {
 ANY = "|".join(f"(?:{form})" for form in FORMS.values())
 _DIGITS = ("phone", "national_id", "card")  # compared and replaced by their digits, separators stay
 
+#: What stands for punctuation in a made-up secret, safe between quotes.
+SIGNS = "!#$%&*?@"
 #: Letters that made-up names are built of.
 LETTERS = {"latin": ("bdfgklmnprstvz", "aeiou", "a", "n"), "cyrillic": ("бвгдзклмнпрст", "аеиоу", "а", "н"), "greek": ("βγδζκλμνπρστ", "αειου", "α", "ς")}
 
@@ -124,18 +134,20 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
         place = (F.lit(i) if isinstance(i, int) else i) % 32
         return F.conv(F.substr(source, place * 4 + 1, F.lit(4)), 16, 10).cast("int")
 
-    def like(text: Column, first: int = 0, source: Column = digest) -> Column:
-        """Digits by digits, letters by letters; hexadecimal stays hexadecimal."""
+    def like(text: Column, first: int = 0, source: Column = digest, signs: bool = False) -> Column:
+        """Digits by digits, letters by letters; hexadecimal stays hexadecimal.  With ``signs`` all but separators changes."""
         letters = F.when(text.rlike("^[0-9a-f]+$"), 6).otherwise(26)
 
         def one(c: Column, i: Column) -> Column:
             n = draw(i + first, source)
-            return (
+            out = (
                 F.when(c.rlike("[0-9]"), (n % 10).cast("string"))
                 .when(c.rlike("[a-z]"), F.chr(n % letters + 97))
                 .when(c.rlike("[A-Z]"), F.chr(n % 26 + 65))
-                .otherwise(c)
             )
+            if signs:
+                out = out.when(c.rlike("[!-~&&[^+/_-]]"), F.substr(F.lit(SIGNS), n % len(SIGNS) + 1, F.lit(1))).when(~c.rlike(r"[+/_\s-]"), F.chr(n % 26 + 97))
+            return out.otherwise(c)
 
         return F.array_join(F.transform(_chars(text), one), "")
 
@@ -161,7 +173,7 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     out = out.when(kind == "cloud_key", F.concat(F.substr(norm, F.lit(1), F.lit(4)), like(F.substr(norm, F.lit(5)))))
     for script in LETTERS:
         out = out.when(kind.endswith(f"_{script}"), name(script))
-    return out.otherwise(like(norm))
+    return out.otherwise(like(norm, signs=True))
 
 
 def _refill(x: Column, characters: Column, kind: str) -> Column:
