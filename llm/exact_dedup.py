@@ -41,8 +41,8 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _judge(owners: int) -> Callable:
-    """Rows of a unit, each with a number of its own and whether its fingerprint is repeated anywhere."""
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("sha", pa.binary()), ("suspect", pa.bool_())])
+    """Rows of a unit, each with its unit and place in it, and whether its fingerprint is repeated anywhere."""
+    schema = pa.schema([("unit", pa.int64()), ("place", pa.int64()), ("doc_id", pa.int64()), ("sha", pa.binary()), ("suspect", pa.bool_())])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -50,7 +50,7 @@ def _judge(owners: int) -> Callable:
                 suspect = repeated_items(np.frombuffer(r["keys"], dtype="<u8"), r["answers"], owners)
                 n = len(suspect)
                 shas = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), n, [None, pa.py_buffer(r["shas"])])
-                columns = [np.arange(n) + (r["unit"] << 28), pa.array(r["doc_ids"], pa.int64()), shas.cast(pa.binary()), suspect]
+                columns = [np.full(n, r["unit"], np.int64), np.arange(n), pa.array(r["doc_ids"], pa.int64()), shas.cast(pa.binary()), suspect]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, np.ndarray) else c for c, f in zip(columns, schema)], schema=schema)
 
     return judge
@@ -70,9 +70,10 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str | Column
     units = written(texts.mapInArrow(_fingerprint, schema), "fingerprints")
     answered, owners = with_repeats(units)
     rows = answered.select("unit", "keys", "answers", "doc_ids", "shas").mapInArrow(
-        _judge(owners), "row long, doc_id long, sha binary, suspect boolean"
+        _judge(owners), "unit long, place long, doc_id long, sha binary, suspect boolean"
     )
     rows = written(rows, "judged")
+    row = F.struct("unit", "place")
     discard(units)
     suspects = rows.where("suspect").select("doc_id", "sha")
     # byte comparison: the suspects' texts meet by digest and text, summed up before the shuffle; the list of
@@ -83,7 +84,7 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str | Column
     groups = classes.groupBy("sha").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"), F.count("*").alias("texts"))
     # digests of different texts would have to be equal for this: better no answer than a wrong one
     groups = groups.where("group_size > 1").select("sha", "keep_id", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts with one SHA-256"))).alias("group_size"))
-    stays = rows.where("suspect").groupBy("sha", "doc_id").agg(F.min("row").alias("_first"))
+    stays = rows.where("suspect").groupBy("sha", "doc_id").agg(F.min(row).alias("_first"))
     best = groups.alias("g").join(stays.alias("s"), F.expr("g.sha = s.sha AND g.keep_id <=> s.doc_id"), "left").select(
         F.col("g.sha").alias("_sha"), "keep_id", "group_size", "_first"
     )
@@ -94,7 +95,7 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str | Column
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.when(alone, F.lit(1)).otherwise(F.col("group_size")).cast("long").alias("group_size"),
-        (alone | (F.col("row") == F.col("_first"))).alias("kept"),
+        (alone | (row == F.col("_first"))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
