@@ -17,6 +17,7 @@ Equal sets are one vertex from the start.  Links leave a group as a spanning for
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -111,7 +112,7 @@ def _gather(width: int, limit: Threshold) -> Callable:
     """Units: documents with size and vertex; of each distinct set in it the segments, on its own grid and,
     where a smaller partner could have a coarser one, on that."""
     schema = pa.schema(
-        [("unit", pa.int64()), ("n_keys", pa.int64()), ("keys", pa.binary()), ("doc_ids", pa.list_(pa.int64())),
+        [("unit", pa.int64()), ("n_keys", pa.int64()), ("keys", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("shas", pa.list_(pa.binary())),
          ("sizes", pa.list_(pa.int64())), ("vertices", pa.list_(pa.int64())), ("sets", pa.binary())]
     )
 
@@ -119,20 +120,21 @@ def _gather(width: int, limit: Threshold) -> Callable:
         number = Units()
 
         def fresh() -> tuple:
-            return [], [], [], [], [], set(), [0]
+            return [], [], [], [], [], [], set(), [0]
 
-        ids, sizes, vertices, sets, segments, seen, held = fresh()
+        ids, shas, sizes, vertices, sets, segments, seen, held = fresh()
 
         def unit() -> pa.RecordBatch:
             joined = np.concatenate(segments) if segments else np.zeros(0, np.uint64)
             about = np.concatenate(sets) if sets else np.zeros((0, 3), np.int64)
-            row = [number(), len(joined), joined.tobytes(), ids, sizes, vertices, about.tobytes()]
+            row = [number(), len(joined), joined.tobytes(), ids, shas, sizes, vertices, about.tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
         for batch in batches:
             for part in slices_by_bytes(batch, "text"):
                 s = Shingles(part.column("text"), width)
                 ids += part.column("doc_id").to_pylist()
+                shas += [hashlib.sha256(t.as_buffer() if t.is_valid else b"").digest() for t in part.column("text").cast(pa.large_binary())]
                 sizes += s.sizes.tolist()
                 vertices += s.vertex.tolist()
                 new = []
@@ -150,7 +152,7 @@ def _gather(width: int, limit: Threshold) -> Callable:
                         held[0] += int(grid.sum())
                 if held[0] >= KEYS_PER_UNIT or len(ids) >= KEYS_PER_UNIT:
                     yield unit()
-                    ids, sizes, vertices, sets, segments, seen, held = fresh()
+                    ids, shas, sizes, vertices, sets, segments, seen, held = fresh()
         if ids:
             yield unit()
 
@@ -311,12 +313,17 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, doc_id: str =
     Other columns are not read.  Sets are compared by 64-bit n-gram hashes; two different sets are one
     vertex only if their own 64-bit hashes are equal, expected for fewer than one in 10^9 documents.
     """
+    return _labelled(docs, width, percent, doc_id, text).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def _labelled(docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """:func:`ngram_join` with each row's SHA-256 of the text and the label of its component (null without n-grams)."""
     limit = Threshold(percent)
     texts = only(docs, doc_id=f"{doc_id} long", text=f"{text} string")
-    schema = "unit long, n_keys long, keys binary, doc_ids array<long>, sizes array<long>, vertices array<long>, sets binary"
+    schema = "unit long, n_keys long, keys binary, doc_ids array<long>, shas array<binary>, sizes array<long>, vertices array<long>, sets binary"
     units = written(texts.mapInArrow(_gather(width, limit), schema), "segments")
-    rows = units.select(F.inline(F.arrays_zip(F.col("doc_ids").alias("doc_id"), F.col("sizes").alias("n_shingles"), F.col("vertices").alias("vertex"))))
-    rows = written(rows.toDF("doc_id", "n_shingles", "vertex"), "rows")
+    rows = units.select(F.inline(F.arrays_zip(F.col("doc_ids").alias("doc_id"), F.col("shas").alias("sha"), F.col("sizes").alias("n_shingles"), F.col("vertices").alias("vertex"))))
+    rows = written(rows.toDF("doc_id", "sha", "n_shingles", "vertex"), "rows")
 
     answered, owners = with_repeats(units)
     shared = answered.select("keys", "answers", "sets").mapInArrow(_shared(owners), "vertex long, size long, fragments long, segment long")
@@ -364,18 +371,34 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, doc_id: str =
     labelled = labelled.join(counts, F.col("vertex") == F.col("_a"), "left").withColumn("label", F.coalesce("label", "vertex"))
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id")).withColumnRenamed("label", "_label")
     known = labelled.join(least, F.col("label") == F.col("_label")).select(
-        F.col("vertex").alias("_vertex"), "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+        F.col("vertex").alias("_vertex"), "label", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
     out = rows.join(known, (F.col("vertex") == F.col("_vertex")) & (F.col("n_shingles") > 0), "left")
     return out.select(
-        "doc_id", "n_shingles",
+        "doc_id", "sha", "n_shingles", "label",
         F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
 
 
 def keep_one(docs: DataFrame, width: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is that of their component, with all their columns."""
-    gone = ngram_join(docs, width, percent, doc_id, text).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = gone.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.alias("d").join(gone.hint("merge"), F.col(f"d.`{doc_id}`").cast("long") == F.col("_gone"), "left_anti")
+    """One row of ``docs`` of each component, with all its columns; rows without words all stay.
+
+    The row with the least id stays, null ids come last; of different texts with that id the one with the
+    least SHA-256, of repeated rows any one.
+    """
+    found = written(_labelled(docs, width, percent, doc_id, text).where("label IS NOT NULL").select("label", "doc_id", "sha"), "labelled")
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "sha")
+    several = found.groupBy(F.col("label").alias("_label")).agg(F.min(row).alias("_best"), F.count("*").alias("_n")).where("_n > 1")
+    listed = found.join(several, F.col("label") == F.col("_label")).withColumn("_stays", row == F.col("_best"))
+    # repeated rows cannot be told apart: where the row that stays has some, all are found and one is taken
+    gone = listed.groupBy(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha")).agg(F.max("_stays").alias("_twin"), F.count("*").alias("_copies"))
+    gone = written(gone.where("NOT _twin OR _copies > 1").select("_id", "_sha", "_twin"), "gone")
+    sha = F.unhex(F.sha2(F.coalesce(F.col(f"d.`{text}`").cast("string"), F.lit("")), 256))
+    same = F.col(f"d.`{doc_id}`").cast("long").eqNullSafe(F.col("g._id")) & (sha == F.col("g._sha"))
+    out = docs.alias("d").join(gone.hint("merge").alias("g"), same, "left_anti")
+    twins = gone.where("_twin")
+    if twins.isEmpty():
+        return out
+    once = docs.alias("d").join(twins.hint("merge").alias("g"), same).dropDuplicates(["_id", "_sha"]).select("d.*")
+    return out.unionByName(once)
