@@ -71,6 +71,27 @@ def m02(t):
     return _weights(t, L1.with_params(C=0.25, tol=1e-12).fit(slice_genes(model_rows(t), list(range(12)))))
 
 
+def _gene_values(t, fitted):
+    return weight_table(fitted, index_of(t)).select("gene_id", rounded("value", 3).alias("value"))
+
+
+GENE_VALUES = f"SELECT CAST(i AS INTEGER) AS gene_id, round(w[i + 1], 3) + 0 AS value FROM (SELECT w, unnest(range({GENES})) AS i FROM cd_fit)"
+
+
+@query("m01_logistic_l2_no_intercept", f"""WITH {ALL_GENES}, {descent('cd', 'scaled', GENES, l2=1.0, sweeps=40)}
+{GENE_VALUES}""")
+def m01d(t):
+    """All genes without intercept: equal to coordinate descent."""
+    return _gene_values(t, SPEC.with_params(fit_intercept=False).fit(model_rows(t)))
+
+
+@query("m02_logistic_l1_all_genes", f"""WITH {ALL_GENES}, {descent('cd', 'scaled', GENES, l1=4.0, sweeps=40)}
+{GENE_VALUES}""")
+def m02b(t):
+    """All genes, strength 0.25: equal to coordinate descent to three digits."""
+    return _gene_values(t, L1.with_params(C=0.25, tol=1e-12).fit(model_rows(t)))
+
+
 @query("m03_penalised_intercept", f"""
 WITH {WHOLE}, {descent('cd', 'whole', GENES + 1, l2=50.0)}
 {WEIGHTS}""")
@@ -241,7 +262,16 @@ SELECT point, round(p, 4) + 0 AS at_1, round(q, 4) + 0 AS at_2,
   round(1 / (1 + exp(-(u * (ma + p * l11 + q * l21) + v * (mb + p * l12 + q * l22)))), 3) + 0 AS p1 FROM pt CROSS JOIN ld CROSS JOIN nw_fit""")
 def m12(t):
     """Probability over a mesh of two components, taken back to the genes."""
-    rows = slice_genes(model_rows(t), [0, 1])
+    return _mesh(slice_genes(model_rows(t), [0, 1]))
+
+
+@query("m12_component_mesh_all_genes")
+def m12b(t):
+    """The same for two components of all genes."""
+    return _mesh(model_rows(t))
+
+
+def _mesh(rows):
     parts = M.fit_components(rows.where("sample_id % 4 <> 0"), 2)
     signs = np.sign(parts.loadings[np.abs(parts.loadings).argmax(axis=0), [0, 1]])
     scores = vector_to_array("features")
