@@ -44,7 +44,7 @@ class Shingles:
         t = Texts(column, lower=True)
         starts, ends, owner = t.words()
         words = t.counts(owner)
-        h = t.hashes().of(starts, ends)
+        h = t.hash_of(starts, ends)
         n = len(h)
         gram = h[: max(n - width + 1, 0)].copy()
         for k in range(1, width):

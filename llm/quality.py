@@ -45,7 +45,6 @@ def _grouped(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def base_counts(t: Texts) -> dict[str, np.ndarray]:
     """The base counts of every text of a batch."""
     starts, ends, owner = t.words()
-    hashes = t.hashes()
 
     def per_text(flags: np.ndarray) -> np.ndarray:
         running = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
@@ -63,12 +62,12 @@ def base_counts(t: Texts) -> dict[str, np.ndarray]:
     full = (word < len(starts)) & (np.append(starts, np.iinfo(np.int64).max)[word] < last)
     first, last = first[full], last[full]
     line_owner = t.owner(first)
-    _, same = _grouped(line_owner, hashes.of(first, last))
-    out["n_dup_lines"] = t.counts(line_owner[np.lexsort((hashes.of(first, last), line_owner))][same])
+    order, same = _grouped(line_owner, t.hash_of(first, last))
+    out["n_dup_lines"] = t.counts(line_owner[order][same])
 
     repeated = np.zeros(len(starts), dtype=bool)
     if len(starts) >= 3:
-        h = hashes.of(starts, ends)
+        h = t.hash_of(starts, ends)
         inside = np.flatnonzero(owner[2:] == owner[:-2])
         window = mixed(h[:-2] + mixed(h[1:-1] + mixed(h[2:])))[inside]
         order, same = _grouped(owner[inside], window)
