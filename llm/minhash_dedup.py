@@ -10,7 +10,8 @@ Only table keys that several sets have leave their task (Golomb-coded exchange).
 1. The set with the most company over its tables is the hub of a table.  Every set is compared with the hub that
    it meets most often; these links are a star per group, not its pairs.
 2. Tables whose sets are not all in one component by then are settled exactly: their sets meet on their rarest
-   n-grams (prefix and position filter), across components only, and are compared in full.
+   n-grams (prefix and position filter), across components only.  A parity map of 1,024 bits, in which each n-gram
+   turns one bit, bounds from below in how many n-grams two sets differ; pairs that it leaves are compared in full.
 
 Equal sets are one vertex from the start.
 """
@@ -31,6 +32,8 @@ from llm.textbuf import mixed, slices_by_bytes
 
 #: Keys of each small collection, and minhashes of each key.
 TABLES, ROWS = 12, 2
+#: Bits of a set's parity map, in words of 64.
+PARITY_WORDS = 16
 #: Pairs of one set that meet one copy of it.
 PAIRS_PER_COPY = 2000
 
@@ -158,13 +161,19 @@ def _units_of_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield unit()
 
 
+def parity(grams: np.ndarray) -> np.ndarray:
+    """Bit b of the map tells whether an odd number of n-grams fall on b: two maps differ in no more bits than their sets in n-grams."""
+    odd = np.bincount((mixed(grams) % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 def _prefixes(percent: int, owners: int) -> Callable:
-    """(gram, vertex, label, size, place) of the first n-grams of each set, from rare to frequent.
+    """(gram, vertex, label, size, place, parity words) of the first n-grams of each set, from rare to frequent.
 
     Linked sets have one of the first size - least overlap + 1 in common.  The order is that of the number of units
     that have the n-gram; inside one unit, where all its sets are, of their number; then of its hash.
     """
-    names = ["gram", "vertex", "label", "size", "place"]
+    names = ["gram", "vertex", "label", "size", "place", *[f"w{k}" for k in range(PARITY_WORDS)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,7 +186,8 @@ def _prefixes(percent: int, owners: int) -> Callable:
                 place = np.arange(len(order)) - (np.cumsum(sizes) - sizes)[of]
                 some = (place < (sizes + (-sizes * percent // 100) + 1)[of]) & (rank[order] > 1)
                 mine = of[some]
-                columns = [grams[order[some]].view(np.int64), np.array(r["vertices"])[mine], np.array(r["labels"])[mine], sizes[mine], place[some]]
+                maps = np.stack([parity(g) for g in np.split(grams, np.cumsum(sizes)[:-1])])
+                columns = [grams[order[some]].view(np.int64), np.array(r["vertices"])[mine], np.array(r["labels"])[mine], sizes[mine], place[some], *maps[mine].T]
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=names)
 
     return run
@@ -187,13 +197,19 @@ def _across(unsettled: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that can be linked, of sets (vertex, label, grams)."""
     units = written(unsettled.mapInArrow(_units_of_sets, "unit long, n_keys long, vertices array<long>, labels array<long>, sizes array<long>, keys binary"), "unsettled")
     answered, owners = with_repeats(units)
-    first = answered.select("vertices", "labels", "sizes", "keys", "answers").mapInArrow(_prefixes(percent, owners), "gram long, vertex long, label long, size long, place long")
+    words = [f"w{k}" for k in range(PARITY_WORDS)]
+    schema = ", ".join(f"{c} long" for c in ("gram", "vertex", "label", "size", "place", *words))
+    first = answered.select("vertices", "labels", "sizes", "keys", "answers").mapInArrow(_prefixes(percent, owners), schema)
     first = written(first, "first")
     discard(units)
     mixed_grams = first.groupBy(F.col("gram").alias("_gram")).agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo != _hi")
     held = first.join(mixed_grams, F.col("gram") == F.col("_gram"), "left_semi")
     most = "least(x.size - x.place, y.size - y.place)"  # of what two sets can share from their first common n-gram on
-    can = F.expr(f"x.gram = y.gram AND x.vertex < y.vertex AND x.label != y.label AND 100 * {most} >= {percent} * (x.size + y.size - {most})")
+    differ = " + ".join(f"bit_count(x.{w} ^ y.{w})" for w in words)
+    can = F.expr(
+        f"x.gram = y.gram AND x.vertex < y.vertex AND x.label != y.label AND 100 * {most} >= {percent} * (x.size + y.size - {most}) "
+        f"AND 100 * (x.size + y.size - ({differ})) >= {percent} * (x.size + y.size + ({differ}))"
+    )
     return held.alias("x").join(held.alias("y"), can).select(F.col("x.vertex").alias("a"), F.col("y.vertex").alias("b")).distinct()
 
 
