@@ -11,7 +11,8 @@ from riskloom.functions.vectors import gene_index, with_vector
 from riskloom.operators import metrics as H
 from riskloom.operators import selection as S
 from riskloom.operators.folds import attach_splits, stratified_k_fold
-from riskloom.operators.models import LogisticSpec, fit_components, fit_components_by_samples
+from riskloom.operators.components import fit_gene_components
+from riskloom.operators.models import LogisticSpec, fit_components
 from riskloom.runtime import cut, scratch_path
 
 L1 = LogisticSpec(C=0.5, penalty="l1", fit_intercept=False, max_iter=300, tol=1e-10)
@@ -237,9 +238,9 @@ c2 AS (SELECT i, list_transform(range({GENES}), lambda k: c[k + 1] - l * v[i + 1
 SELECT CAST(0 AS INTEGER) AS component, CAST(i AS INTEGER) AS gene_id, round(abs(v[i + 1]), 3) + 0 AS loading FROM (SELECT v, unnest(range({GENES})) AS i FROM p1_vec)
 UNION ALL SELECT CAST(1 AS INTEGER), CAST(i AS INTEGER), round(abs(v[i + 1]), 3) + 0 FROM (SELECT v, unnest(range({GENES})) AS i FROM p2_vec)""")
 def f10s(t):
-    """Loadings of all genes on two components by block power iteration; the sign is free."""
-    found = fit_components_by_samples(t.expr.withColumn("value", F.col("value") * 10), 2)
-    return found.withColumn("loading", rounded(F.abs("loading"), 3))
+    """Loadings of all genes on two components, from tiles of genes and samples; the sign is free."""
+    found = fit_gene_components(t.expr.withColumn("value", F.col("value") * 10), 2)
+    return found.loadings.withColumn("loading", rounded(F.abs("loading"), 3))
 
 
 @query("f11_threshold_curve", f"""WITH {FITS4}, {curve_sql([0.1, 0.4, 0.7])}

@@ -17,10 +17,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskloom.functions.joins import join_by_key
 from riskloom.functions.rowindex import with_row_index
 from riskloom.functions.scalar import dot, logistic
-from riskloom.runtime import cut, discard
+from riskloom.runtime import cut
 
 LANDMARK_BLOCK = 256  # landmarks multiplied at once
 ROWS_PER_GROUP = 20_000  # samples multiplied with one block in one task
@@ -354,49 +353,13 @@ def fit_components(train: DataFrame, k: int) -> Components:
     """Principal components of the training rows.
 
     ``pyspark.ml`` gathers a genes-by-genes matrix on the driver, so this is for selected
-    genes; with many genes use :func:`fit_components_by_samples`.
+    genes, a few thousand at most; with more use ``riskloom.operators.components``.
     """
     centre = StandardScaler(withMean=True, withStd=False, inputCol="features", outputCol="_centred").fit(train)
     pca = PCA(k=k, inputCol="_centred", outputCol="_pc").fit(centre.transform(train))
     return Components(centre, pca)
 
 
-def fit_components_by_samples(expr: DataFrame, k: int, extra: int = 8, max_rounds: int = 100, tol: float = 1e-9) -> DataFrame:
-    """Loadings ``(component, gene_id, loading)`` of the first ``k`` components, for any number of genes or samples.
-
-    Block power iteration: the factor is a table with one row of ``k + extra`` numbers per gene.  A round
-    multiplies it by the centred measurements and back, two joins with sums per sample and per gene; the driver
-    sees the (k + extra)-square matrix of inner products alone.  Ends when the variances move by less than ``tol``.
-    """
-    means = expr.groupBy("gene_id").agg(F.avg("value").alias("_mean"), F.count("*").alias("_n"))
-    centred = join_by_key(expr, means, ["gene_id"], "_n").select("sample_id", "gene_id", (F.col("value") - F.col("_mean")).alias("value"))
-    cells = cut(centred, "centred")
-    names = [f"v{c}" for c in range(k + extra)]
-    draws = [(F.xxhash64("gene_id", F.lit(c)) / 2.0**63).alias(v) for c, v in enumerate(names)]
-    factor, before, old = expr.select("gene_id").distinct().select("gene_id", *draws), None, None
-    for _ in range(max_rounds):
-        scores = cells.join(factor, "gene_id").groupBy("sample_id").agg(*[F.sum(F.col("value") * F.col(v)).alias(v) for v in names])
-        back = cells.join(scores, "sample_id").groupBy("gene_id").agg(*[F.sum(F.col("value") * F.col(v)).alias(v) for v in names])
-        back = cut(back, "factor")
-        inner = back.agg(*[F.sum(F.col(v) * F.col(w)) for i, v in enumerate(names) for w in names[: i + 1]]).first()
-        gram = np.zeros((len(names), len(names)))
-        gram[np.tril_indices(len(names))] = list(inner)
-        values, turn = np.linalg.eigh(gram, UPLO="L")
-        used = [i for i in np.argsort(values)[::-1] if values[i] > 1e-13 * values.max()]
-        turn, spread = turn[:, used] / np.sqrt(values[used]), np.sqrt(values[used])
-        turned = [sum((F.col(v) * float(x) for v, x in zip(names, column)), F.lit(0.0)) for column in turn.T]
-        names = names[: len(used)]
-        factor = back.select("gene_id", *[c.alias(v) for c, v in zip(turned, names)])
-        if old is not None:
-            discard(old)
-        old = back
-        if before is not None and len(before) == len(spread) and np.abs(before - spread)[:k].max() <= tol * spread[0]:
-            break
-        before = spread
-    out = factor.select("gene_id", F.posexplode(F.array(*names[:k])).alias("component", "loading"))
-    return out.select("component", "gene_id", "loading")
-
-
 def component_mesh(
     rows: DataFrame, i: int, j: int, n_components: int, step: float, fixed: float = 0.0, margin: float = 0.5
 ) -> DataFrame:
