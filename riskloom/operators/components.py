@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from riskloom.functions.blocks import SCHEMA, add_blocks, block_rows
 from riskloom.functions.joins import join_by_key
 from riskloom.functions.rowindex import with_row_index
 from riskloom.runtime import cut, discard, scratch_path
@@ -114,22 +115,13 @@ class _Tiles:
                         sums[block] = part
                         held += part.nbytes
                 if held > SUM_BYTES:
-                    yield _rows(sums)
+                    yield block_rows(sums)
                     sums, held = {}, 0
             if sums:
-                yield _rows(sums)
+                yield block_rows(sums)
 
-        partial = self.table.join(sent, F.col("tile") == F.col("_tile")).select("tile", "cells", "v").mapInArrow(multiply, "block long, v binary")
-        return partial.groupBy("block").applyInArrow(_add, "block long, v binary")
-
-
-def _rows(blocks: dict[int, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array([x.tobytes() for x in blocks.values()], pa.binary())], names=["block", "v"])
-
-
-def _add(part: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(v.as_buffer()) for v in part.column("v"))
-    return pa.table({"block": part.column("block").slice(0, 1), "v": pa.array([total.tobytes()], pa.binary())})
+        partial = self.table.join(sent, F.col("tile") == F.col("_tile")).select("tile", "cells", "v").mapInArrow(multiply, SCHEMA)
+        return partial.groupBy("block").applyInArrow(add_blocks, SCHEMA)
 
 
 def _by_block(table: DataFrame, change: Callable[..., list[np.ndarray]], names: list[str]) -> DataFrame:
@@ -153,9 +145,9 @@ def _total(table: DataFrame) -> np.ndarray:
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [np.frombuffer(v.as_buffer()) for batch in batches for v in batch.column("v")]
         if sums:
-            yield _rows({0: sum(sums)})
+            yield block_rows({0: sum(sums)})
 
-    whole = table.mapInArrow(inside, "block long, v binary").groupBy("block").applyInArrow(_add, "block long, v binary")
+    whole = table.mapInArrow(inside, SCHEMA).groupBy("block").applyInArrow(add_blocks, SCHEMA)
     return np.frombuffer(whole.first()["v"])
 
 

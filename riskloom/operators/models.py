@@ -53,6 +53,19 @@ class FittedClassifier:
         )
 
 
+@dataclass(frozen=True)
+class LinearClassifier:
+    """Weights and intercept as a classifier, for instance one of many that were fitted at once."""
+
+    weights: np.ndarray
+    intercept: float = 0.0
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        decision = dot(vector_to_array("features"), F.lit(self.weights.tolist())) + float(self.intercept)
+        scored = rows.withColumn("decision", decision).withColumn("p1", logistic(F.col("decision")))
+        return scored.select(*rows.columns, "p1", "decision", (F.col("decision") > 0).cast("int").alias("prediction"))
+
+
 def with_constant(rows: DataFrame) -> DataFrame:
     """Append a feature that is always 1."""
     longer = F.concat(vector_to_array("features"), F.array(F.lit(1.0)))
@@ -91,7 +104,7 @@ class LogisticSpec(Spec):
     max_iter: int = 100
     tol: float = 1e-6
 
-    def fit(self, rows: DataFrame, n: int | None = None) -> FittedClassifier:
+    def checked(self) -> LogisticSpec:
         if self.C <= 0:
             raise ValueError("C must be positive")
         for name in ("max_iter", "tol"):
@@ -99,6 +112,10 @@ class LogisticSpec(Spec):
                 raise ValueError(f"{name} must not be negative")
         if self.penalty not in ("l1", "l2"):
             raise ValueError("penalty is 'l1' or 'l2'")
+        return self
+
+    def fit(self, rows: DataFrame, n: int | None = None) -> FittedClassifier:
+        self.checked()
         n = rows.count() if n is None else n
         own_constant = self.fit_intercept and self.penalise_intercept
         solver = LogisticRegression(

@@ -19,8 +19,10 @@ from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskloom.functions.rowindex import shuffle_key, with_row_index, with_running_sum, with_shuffled_index
+from riskloom.operators import batch
 from riskloom.operators import metrics as M
 from riskloom.operators.folds import attach_sides, attach_splits, is_train_in, side_sizes, sides, stratified_k_fold
+from riskloom.operators.models import LinearClassifier, LogisticSpec
 from riskloom.runtime import cut
 
 DEFAULT_METRICS: dict[str, M.Metric] = {"neg_log_loss": M.negative_log_loss}
@@ -105,11 +107,15 @@ def fit_and_score(
 ) -> DataFrame:
     """Fit every candidate on every split and score it on the split's test rows.
 
-    A failed fit raises, or is recorded with ``error_score`` when one is given.
+    A failed fit raises, or is recorded with ``error_score`` when one is given.  Logistic models are all fitted at
+    once; each then shows an equal share of the time.
     """
     metrics = metrics or DEFAULT_METRICS
     spark = rows.sparkSession
     split_ids = [int(s) for s in split_ids]
+    if isinstance(spec, LogisticSpec):
+        log = _fit_at_once(spec, candidates, rows, split_ids, metrics, train_scores, error_score, keep_models)
+        return spark.createDataFrame(log, LOG_SCHEMA)
     mine = not (rows.storageLevel.useMemory or rows.storageLevel.useDisk)
     kept = rows.persist(StorageLevel.MEMORY_AND_DISK) if mine else rows  # each row once, for all splits
     sizes = side_sizes(kept, split_ids)
@@ -148,6 +154,45 @@ def fit_and_score(
     return spark.createDataFrame(log, LOG_SCHEMA)
 
 
+def _fit_at_once(spec, candidates, rows, split_ids, metrics, train_scores, error_score, keep_models) -> list[tuple]:
+    sizes = side_sizes(rows, split_ids)
+    began = time.monotonic()
+    jobs, bad = [], set()
+    for split, (number, params) in product(split_ids, enumerate(candidates)):
+        try:
+            if not sizes[split][0]:
+                raise ValueError(f"split {split} has no train rows")
+            jobs.append((split, number, batch.Fit(spec.with_params(**params).checked(), split)))
+        except Exception:
+            if error_score is None:
+                raise
+            bad.add((split, number))
+    fits = [f for _, _, f in jobs]
+    found: dict = {}
+    fit_s = score_s = 0.0
+    if fits:
+        design = batch.pack(rows, split_ids)
+        weights = batch.solve(design, fits)
+        fit_s = (time.monotonic() - began) / len(fits)
+        scored = batch.scores(design, fits, weights, metrics, train_scores)
+        score_s = (time.monotonic() - began) / len(fits) - fit_s
+        design.drop()
+        for (split, number, _), w, s in zip(jobs, weights, scored):
+            found[split, number] = s
+            if keep_models is not None:
+                keep_models[number, split] = LinearClassifier(w[:-1], float(w[-1]))
+    log = []
+    for split, (number, params) in product(split_ids, enumerate(candidates)):
+        shown = {k: str(v) for k, v in params.items()}
+        for m in metrics:
+            if (split, number) in bad:
+                test, train = float(error_score), float(error_score) if train_scores else None
+            else:
+                test, train = found[split, number][False][m], found[split, number][True][m] if train_scores else None
+            log.append((number, shown, split, sizes[split][1], m, test, train, fit_s, score_s))
+    return log
+
+
 def check_refit(metrics: Mapping[str, M.Metric], refit: str | None) -> str:
     """With several metrics the one that picks the best candidate must be named."""
     if refit is None and len(metrics) == 1:
@@ -441,6 +486,29 @@ def permutation_test(
 ) -> tuple[float, list[float], float]:
     """Mean score with the true labels, the permuted scores, and the p value."""
 
+    if isinstance(spec, LogisticSpec):
+        scored = _permuted_at_once(spec.checked(), rows, [int(s) for s in split_ids], labels, metric, n_permutations, seed, group)
+        true_score, permuted = scored[0], scored[1:]
+    else:
+        true_score, permuted = _permuted_one_by_one(spec, rows, split_ids, labels, metric, n_permutations, seed, group)
+    p = (sum(s >= true_score for s in permuted) + 1) / (n_permutations + 1)
+    return true_score, permuted, p
+
+
+def _permuted_at_once(spec, rows, split_ids, labels, metric, n_permutations, seed, group) -> list[float]:
+    """Mean score with the true labels, then with each permutation: labels are an array per row, all fits share the passes."""
+    dealt = permuted_labels(labels, n_permutations, seed, group).groupBy(F.col("sample_id").alias("_id"))
+    dealt = dealt.agg(F.array_sort(F.collect_list(F.struct("permutation", F.col("y").cast("double").alias("y")))).alias("_dealt"))
+    every = F.concat(F.array(F.col("label").cast("double")), F.transform("_dealt", lambda d: d["y"]))
+    held = rows.join(dealt, F.col("sample_id") == F.col("_id")).withColumn("_labels", every)
+    design = batch.pack(held, split_ids, labels="_labels")
+    fits = [batch.Fit(spec, s, labels=k) for k in range(n_permutations + 1) for s in split_ids]
+    found = [s[False]["score"] for s in batch.scores(design, fits, batch.solve(design, fits), {"score": metric})]
+    design.drop()
+    return [sum(found[at : at + len(split_ids)]) / len(split_ids) for at in range(0, len(found), len(split_ids))]
+
+
+def _permuted_one_by_one(spec, rows, split_ids, labels, metric, n_permutations, seed, group) -> tuple[float, list[float]]:
     def mean_score(data: DataFrame) -> float:
         return cross_val_score(spec, data, split_ids, metric).agg(F.avg("test_score")).first()[0]
 
@@ -450,8 +518,7 @@ def permutation_test(
     for k in range(n_permutations):
         one = shuffled.where(F.col("permutation") == k).select("sample_id", F.col("y").cast("double").alias("label"))
         permuted.append(mean_score(cut(rows.drop("label").join(one, "sample_id"), "dealt")))
-    p = (sum(s >= true_score for s in permuted) + 1) / (n_permutations + 1)
-    return true_score, permuted, p
+    return true_score, permuted
 
 
 # -- G14..G16 ---------------------------------------------------------------------------
@@ -490,6 +557,8 @@ def learning_curve(
         "split_id", F.explode(F.array(*[F.lit(s) for s in split_ids]))
     )
     folds = every.select("sample_id", "split_id", is_train_in(F.col("split_id")).alias("is_train")).where("is_train is not null")
+    if isinstance(spec, LogisticSpec):
+        return _curve_at_once(spec.checked(), rows, split_ids, listed, folds, metric)
     subsets = cut(train_subsets(folds, listed), "subsets")
     logs = []
     for size in listed:
@@ -499,6 +568,18 @@ def learning_curve(
     return reduce(DataFrame.unionByName, logs)
 
 
+def _curve_at_once(spec, rows, split_ids, listed, folds, metric) -> DataFrame:
+    """One design for all sizes: a fit reads the train rows whose place in their split is below its size."""
+    train = with_row_index(folds.where("is_train"), ["sample_id"], groups=["split_id"], name="_ix")
+    places = train.groupBy(F.col("sample_id").alias("_id")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("split_id").cast("int"), "_ix"))).alias("_places"))
+    design = batch.pack(rows.join(places, F.col("sample_id") == F.col("_id"), "left"), split_ids, places="_places")
+    fits = [batch.Fit(spec, split, size=size) for size in listed for split in split_ids]
+    found = batch.scores(design, fits, batch.solve(design, fits), {"score": metric}, train=True)
+    design.drop()
+    lines = [(f.size, f.split, s[True]["score"], s[False]["score"]) for f, s in zip(fits, found)]
+    return rows.sparkSession.createDataFrame(lines, "train_size int, split_id int, train_score double, test_score double")
+
+
 def validation_curve(
     spec, name: str, values: Sequence, rows: DataFrame, split_ids: Sequence[int], metric: M.Metric
 ) -> DataFrame:

@@ -9,12 +9,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.ml.feature import VectorSlicer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from riskloom.operators import batch
 from riskloom.operators import metrics as M
 from riskloom.operators.describe import participation, smooth
 from riskloom.operators.folds import sides
+from riskloom.operators.models import LogisticSpec
 from riskloom.operators.search import fit_and_score
 from riskloom.runtime import cut
 
@@ -59,17 +62,24 @@ def select_by_peeling(spec, rows: DataFrame, index: DataFrame, n_limit: int, pas
     """
     if passthrough:
         return index.select("gene_id")
-    n = rows.count()
-    left = list(range(index.count()))
-    kept: list[int] = []
-    while left:
-        fitted = spec.fit(slice_genes(rows, left), n)
-        batch = [place for place, w in zip(left, fitted.weights) if w > 0]
-        if not batch or len(kept) + len(batch) > n_limit:
+    everywhere = rows.select("features", "label", F.lit(None).cast("array<int>").alias("test_in"), F.lit(None).cast("array<int>").alias("train_in"))
+    design = batch.pack(everywhere, [0]) if isinstance(spec, LogisticSpec) else None
+    n = rows.count() if design is None else 0
+    left = np.ones(index.count() if design is None else design.genes, dtype=bool)
+    while left.any():
+        if design is None:
+            weights = np.zeros(len(left))
+            weights[left] = spec.fit(slice_genes(rows, np.flatnonzero(left).tolist()), n).weights
+        else:  # genes are masked in one packed design
+            weights = batch.solve(design, [batch.Fit(spec, 0, genes=left)])[0][:-1]
+        positive = weights > 0
+        if not positive.any() or int((~left).sum() + positive.sum()) > n_limit:
             break
-        kept += batch
-        left = [place for place in left if place not in set(batch)]
-    chosen = index.sparkSession.createDataFrame([(k,) for k in kept], "gene_ix long")
+        left &= ~positive
+    if design is not None:
+        design.drop()
+    kept = index.sparkSession.createDataFrame([((~left).tolist(),)], "kept array<boolean>")
+    chosen = kept.select(F.posexplode("kept").alias("gene_ix", "_kept")).where("_kept")
     return index.join(chosen, "gene_ix", "left_semi").select("gene_id")
 
 
@@ -121,14 +131,18 @@ def threshold_curve(
     placed = index.join(frequency, index["gene_id"].cast("string") == frequency["gene_id"].cast("string")).select(
         "gene_ix", "frequency"
     )
-    by_place = placed.collect()  # one number per vector place
-    logs = []
-    for k, g in enumerate(usable_thresholds(frequency, grid)):
+    usable = usable_thresholds(frequency, grid)
+    if not usable:
+        raise ValueError("no gene passes the first threshold")
+    if isinstance(spec, LogisticSpec):
+        logs = [_curve_at_once(spec.checked(), rows, [int(s) for s in split_ids], placed, usable, metrics)]
+        usable = []
+    else:
+        by_place, logs = placed.collect(), []
+    for k, g in enumerate(usable):
         places = sorted(r["gene_ix"] for r in by_place if r["frequency"] > g)
         log = fit_and_score(spec, [{}], slice_genes(rows, places), split_ids, metrics)
         logs.append(log.select(F.lit(k).alias("place"), F.lit(float(g)).alias("threshold"), "metric", "test_score"))
-    if not logs:
-        raise ValueError("no gene passes the first threshold")
     return (
         reduce(DataFrame.unionByName, logs)
         .groupBy("place", "threshold", "metric")
@@ -136,6 +150,29 @@ def threshold_curve(
     )
 
 
+def _curve_at_once(spec, rows: DataFrame, split_ids: Sequence[int], placed: DataFrame, grid: Sequence[float], metrics) -> DataFrame:
+    """Scores of every threshold and split; a threshold is a mask of genes, and all fits share the passes.
+
+    The masks are worked out in Spark, as a bitmap per threshold: one bit per weight that the fits hold anyway.
+    """
+    design = batch.pack(rows, split_ids)
+    bits = [F.sum(F.when(F.col("frequency") > float(g), F.expr("shiftleft(1L, CAST(gene_ix % 62 AS INT))")).otherwise(0)).alias(f"m{k}") for k, g in enumerate(grid)]
+    words = placed.groupBy(F.floor(F.col("gene_ix") / 62).cast("int").alias("word")).agg(*bits).collect()
+    fits = []
+    for k in range(len(grid)):
+        mask = np.zeros((max(r["word"] for r in words) + 1) * 62, dtype=bool)
+        for r in words:
+            mask[62 * r["word"] : 62 * r["word"] + 62] = (int(r[f"m{k}"]) >> np.arange(62)) & 1
+        mask = np.append(mask, np.zeros(max(0, design.genes - len(mask)), dtype=bool))[: design.genes]
+        fits += [batch.Fit(spec, split, genes=mask) for split in split_ids]
+    found = batch.scores(design, fits, batch.solve(design, fits), metrics)
+    design.drop()
+    lines = []
+    for i, s in enumerate(found):
+        lines += [(i // len(split_ids), float(grid[i // len(split_ids)]), name, value) for name, value in s[False].items()]
+    return rows.sparkSession.createDataFrame(lines, "place int, threshold double, metric string, test_score double")
+
+
 def select_by_participation(
     spec_frequency, spec_score, rows: DataFrame, frequency_splits: Sequence[int], score_splits: Sequence[int],
     index: DataFrame, grid: Sequence[float], score_rows: DataFrame | None = None, metric: M.Metric = M.log_loss,
