@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from riskloom.functions.vectors import assemble, gene_index, with_vector
 from riskloom.operators import metrics as M
 from riskloom.operators.folds import attach_splits, sides, stratified_k_fold
+from riskloom.operators.runs import RunStore
 from riskloom.operators.search import GridSearch, scores_of
 from riskloom.operators.selection import read_selection, select_by_model, slice_genes
-from riskloom.runtime import cut
+from riskloom.runtime import cut, scratch_path
 
 RESULT_SCHEMA = "model string, selector string, split_id int, section string, name string, value string"
 
@@ -46,20 +47,24 @@ def nested_evaluation(
     seed: int = 0,
     search_type: type = GridSearch,
     derive: Callable[[DataFrame], object] | None = None,
+    store: RunStore | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Result rows and out-of-fold predictions of one model and selector.
 
     ``outer`` is the test side of the outer splits.  ``select(split, train_rows, index)`` sees train
     rows only, or reads what is stored for the split.  ``derive(train_rows)`` fits new variables on the chosen
     genes of the train side, such as components; its ``transform`` makes them on both sides.  ``search_type`` is
-    ``GridSearch``, ``SequentialSearch`` (``grid`` is then a list of grids) or a class like them.  ``split_ids``
-    may be the splits that are still pending.
+    ``GridSearch``, ``SequentialSearch`` (``grid`` is then a list of grids) or a class like them.
+
+    Every split is committed to ``store`` as soon as it is done (without one, to scratch tables of this call).  With a
+    store of the same run key a stopped evaluation goes on: splits that have a whole result are not fitted again.
     """
     spark = expr.sparkSession
+    store = store or RunStore(spark, scratch_path(spark, "run"), "run")
+    pending = store.pending(model, selector, split_ids)
     whole, index = design(expr, labels)
-    whole = cut(attach_splits(whole, outer), "design")
-    lines, predictions = [], None
-    for split in split_ids:
+    whole = cut(attach_splits(whole, outer), "design") if pending else whole
+    for split in pending:
         train, test = sides(whole, split)
         genes = cut(select(int(split), train, index), "selected")
         chosen = sorted(r[0] for r in index.join(genes, "gene_id", "left_semi").select("gene_ix").collect())
@@ -74,15 +79,18 @@ def nested_evaluation(
         )
         scored = cut(search.best_model.transform(test), "scored")
         values = scores_of(AlreadyScored(), scored, metrics)[None]
-        lines += [(model, selector, split, "general", "fs_size", str(len(chosen)))]
+        lines = [(model, selector, split, "general", "fs_size", str(len(chosen)))]
         lines += [(model, selector, split, "general", "Class", type(spec).__name__)]
         lines += [(model, selector, split, "Test", "score", str(values[search.refit]))]
         lines += [(model, selector, split, "Test", name, str(v)) for name, v in values.items()]
         lines += [(model, selector, split, "Validation", "score", str(search.best_score))]
         lines += [(model, selector, split, "Validation", k, str(v)) for k, v in search.best_params.items()]
-        part = scored.select(F.lit(model).alias("model"), F.lit(int(split)).alias("split_id"), "sample_id", "label", "p1")
-        predictions = part if predictions is None else predictions.unionByName(part)
-    return spark.createDataFrame(lines, RESULT_SCHEMA), predictions
+        found = spark.createDataFrame(lines, RESULT_SCHEMA).select("section", "name", "value")
+        store.commit(model, selector, split, found, scored.select("sample_id", "label", "p1"))
+    mine = F.col("split_id").isin([int(s) for s in split_ids]) & (F.col("model") == model) & (F.col("selector") == selector)
+    predictions = store.predictions(labels.schema["sample_id"].dataType.simpleString()).where(mine)
+    names = [c.split()[0] for c in RESULT_SCHEMA.split(", ")]
+    return store.results().where(mine).select(*names), predictions.select("model", "split_id", "sample_id", "label", "p1")
 
 
 class AlreadyScored:

@@ -214,6 +214,40 @@ def test_nested_with_resume(spark, expr):
     assert table["l1"] == accuracy["mean"]
 
 
+def test_nested_goes_on_where_it_stopped(spark, expr):
+    """Stopped inside a split: started again, only what is left is fitted, and the answer is that of a whole run."""
+    long, labels, _, _ = expr
+    outer = E.stratified_k_fold(labels, "y", 3)
+    fitted = []
+
+    def run(store, stop=None):
+        def select(split, rows, index):
+            fitted.append(split)
+            if split == stop:
+                raise RuntimeError("executor gone")
+            return all_genes(split, rows, index)
+
+        metrics = {"log_loss": H.negative_log_loss, "accuracy": H.accuracy}
+        return nested_evaluation(long, labels, outer, range(3), "lr", LogisticSpec(), {"C": [0.1, 1.0]}, "all", select, metrics, 2, "log_loss", store=store)
+
+    path = scratch_path(spark, "runs")
+    with pytest.raises(RuntimeError, match="executor gone"):
+        run(R.RunStore(spark, path, "key"), stop=1)
+    assert fitted == [0, 1]
+    # predictions whose results were never written do not count
+    R.RunStore(spark, path, "key")._write(labels.selectExpr("sample_id", "1.0D AS label", "0.5D AS p1"), "predictions", {"run_key": "key", "model": "lr", "selector": "all", "split_id": 1})
+    fitted.clear()
+    results, predictions = run(R.RunStore(spark, path, "key"))
+    assert fitted == [1, 2]
+    whole, wanted = run(R.RunStore(spark, path, "other"))
+    assert fitted == [1, 2, 0, 1, 2]
+    assert sorted(map(tuple, results.collect())) == sorted(map(tuple, whole.collect()))
+    assert sorted(map(tuple, predictions.collect())) == sorted(map(tuple, wanted.collect())) and predictions.count() == 60
+    fitted.clear()
+    run(R.RunStore(spark, path, "key"))
+    assert fitted == []
+
+
 def test_passthrough_selector(expr):
     long, _, _, _ = expr
     assert all_genes(None, None, long.select("gene_id").distinct()).count() == 3
