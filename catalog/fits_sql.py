@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from catalog.tables import GENES
+
 
 def newton(name: str, data: str, pa: str, pb: str, keys: str = "", steps: int = 25) -> str:
     """CTE ``name(keys, it, u, v)``: Newton steps for p = 1/(1+exp(-(u*a + v*b))).
@@ -95,3 +97,42 @@ def auc_of(source: str, keys: str) -> str:
 
 
 LOSS = "-avg(CASE WHEN y = 1 THEN ln(p1) ELSE ln(1 - p1) END)"
+
+
+def binned_cells(most: int) -> str:
+    """CTE ``cells(sample_id, gene, v)``: every value of ``scaled`` as the number of its bin among ``most``."""
+    return f"""cells AS MATERIALIZED (SELECT sample_id, gene, (r - 1) * {most} // greatest(max(r) OVER (PARTITION BY gene), {most}) AS v
+  FROM (SELECT sample_id, gene, dense_rank() OVER (PARTITION BY gene ORDER BY e) AS r FROM (SELECT sample_id, x[i + 1] AS e, i AS gene FROM (SELECT sample_id, x, unnest(range({GENES})) AS i FROM scaled))))"""
+
+
+def grown_tree(name: str, start: str, depth: int, alpha: float = 0.0, penalty: float = 0.0, least: float = 0.0) -> str:
+    """CTE ``name_leaf(sample_id, weight)``: a tree over ``start(sample_id, g, h)`` and ``cells``, level by level.
+
+    The first gene and the least bin win ties; a child needs ``least`` of h.
+    """
+    pull = f"(sign({{g}}) * greatest(abs({{g}}) - {float(alpha)}, 0))"
+    score = lambda g, h: f"({pull.format(g=g)} ** 2 / ({h} + {float(penalty)}))"
+    parts = [f"{name}_0 AS MATERIALIZED (SELECT sample_id, 1 AS node, g, h FROM {start})"]
+    for k in range(depth):
+        parts.append(f"""{name}_b{k} AS MATERIALIZED (SELECT node, gene, v FROM (
+  SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, gene, v) AS place FROM (
+    SELECT node, gene, v, ({score('gl', 'hl')} + {score('(gw - gl)', '(hw - hl)')} - {score('gw', 'hw')}) / 2 AS gain FROM (
+      SELECT node, gene, v, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER (PARTITION BY node, gene) AS gw, sum(h) OVER (PARTITION BY node, gene) AS hw
+      FROM (SELECT node, gene, v, sum(g) AS g, sum(h) AS h FROM {name}_{k} n JOIN cells c ON n.sample_id = c.sample_id GROUP BY node, gene, v)
+      WINDOW w AS (PARTITION BY node, gene ORDER BY v))
+    WHERE hw - hl > 1e-9 AND hl >= {float(least)} AND hw - hl >= {float(least)}) WHERE gain > 1e-12) WHERE place = 1),
+{name}_{k + 1} AS MATERIALIZED (SELECT n.sample_id, CASE WHEN b.node IS NULL THEN n.node WHEN c.v <= b.v THEN 2 * n.node ELSE 2 * n.node + 1 END AS node, g, h
+  FROM {name}_{k} n LEFT JOIN {name}_b{k} b ON n.node = b.node LEFT JOIN cells c ON c.sample_id = n.sample_id AND c.gene = b.gene)""")
+    parts.append(f"""{name}_leaf AS MATERIALIZED (SELECT sample_id, -{pull.format(g='gs')} / (hs + {float(penalty)}) AS weight
+  FROM (SELECT sample_id, sum(g) OVER (PARTITION BY node) AS gs, sum(h) OVER (PARTITION BY node) AS hs FROM {name}_{depth}))""")
+    return ",\n".join(parts)
+
+
+def boosted_trees(rounds: int, depth: int, rate: float, alpha: float, penalty: float, least: float) -> str:
+    """CTE ``margins(sample_id, y, margin)``: the sum of boosted trees over ``scaled`` and ``cells``."""
+    parts = ["margin_0 AS MATERIALIZED (SELECT sample_id, y, CAST(0 AS DOUBLE) AS margin FROM scaled)"]
+    for r in range(rounds):
+        parts.append(f"gh_{r} AS MATERIALIZED (SELECT sample_id, p - y AS g, p * (1 - p) AS h FROM (SELECT *, 1 / (1 + exp(-margin)) AS p FROM margin_{r}))")
+        parts.append(grown_tree(f"t{r}", f"gh_{r}", depth, alpha, penalty, least))
+        parts.append(f"margin_{r + 1} AS MATERIALIZED (SELECT m.sample_id, y, margin + {float(rate)} * weight AS margin FROM margin_{r} m JOIN t{r}_leaf l ON m.sample_id = l.sample_id)")
+    return ",\n".join(parts) + f",\nmargins AS (SELECT * FROM margin_{rounds})"

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from catalog.e_folds import draw, fold_sql
 from catalog.f_selection import FITS4, L1, PCA2, QUICK, index_of, model_rows, split_rows
-from catalog.fits_sql import ALL_GENES, LOSS, TWO_GENES, WHOLE, auc_of, descent, log_loss_of, newton
+from catalog.fits_sql import ALL_GENES, LOSS, TWO_GENES, WHOLE, auc_of, binned_cells, boosted_trees, descent, grown_tree, log_loss_of, newton
 from catalog.g_search import SPEC
 from catalog.registry import query, rounded
 from catalog.tables import GENES
 from riskloom.functions.vectors import with_vector
 from riskloom.operators import metrics as H
 from riskloom.operators import models as M
+from riskloom.operators import trees as T
 from riskloom.operators.folds import repeated_stratified_k_fold, stratified_k_fold
 from riskloom.operators.metrics import roc_auc
 from riskloom.operators.runs import compare_models
@@ -192,13 +193,27 @@ def m07(t):
 @query("m08_random_forest")
 def m08(t):
     rows = model_rows(t)
-    return M.ForestSpec(5, n_trees=10, max_features="sqrt").fit(rows).transform(rows).select("sample_id", "label", "p1", "prediction")
+    return T.ForestSpec(5, n_trees=10, max_features="sqrt").fit(rows).transform(rows).select("sample_id", "label", "p1", "prediction")
 
 
-@query("m09_boosted_trees")
+@query("m08_one_tree", f"""WITH {ALL_GENES}, {binned_cells(64)}, stats AS (SELECT sample_id, CAST(-y AS DOUBLE) AS g, CAST(1 AS DOUBLE) AS h FROM scaled),
+{grown_tree('t', 'stats', 6)}
+SELECT s.sample_id, CAST(y AS DOUBLE) AS label, round(weight, 6) + 0 AS p1, CAST(CASE WHEN weight > 0.5 THEN 1 ELSE 0 END AS INTEGER) AS prediction
+FROM scaled s JOIN t_leaf l ON s.sample_id = l.sample_id""")
+def m08b(t):
+    """One tree of six levels on all samples and genes: equal to the tree grown in SQL."""
+    rows = model_rows(t)
+    out = T.ForestSpec(6, n_trees=1, max_features="all", bootstrap=False).fit(rows).transform(rows)
+    return out.select("sample_id", "label", rounded("p1").alias("p1"), "prediction")
+
+
+@query("m09_boosted_trees", f"""WITH {ALL_GENES}, {binned_cells(64)}, {boosted_trees(8, 2, 0.3, 0.1, 2.0, 1.0)}
+SELECT sample_id, CAST(y AS DOUBLE) AS label, round(1 / (1 + exp(-margin)), 6) + 0 AS p1, CAST(CASE WHEN margin > 0 THEN 1 ELSE 0 END AS INTEGER) AS prediction FROM margins""")
 def m09(t):
+    """Eight rounds with penalties on the leaves: equal to the same rounds in SQL."""
     rows = model_rows(t)
-    return M.BoostedSpec(max_depth=2, n_rounds=8).fit(rows).transform(rows).select("sample_id", "label", "p1", "prediction")
+    out = T.BoostedSpec(max_depth=2, n_rounds=8, learning_rate=0.3, alpha=0.1, reg_lambda=2.0).fit(rows).transform(rows)
+    return out.select("sample_id", "label", rounded("p1").alias("p1"), "prediction")
 
 
 # -- regression on months ---------------------------------------------------------------

@@ -11,7 +11,7 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
@@ -263,44 +263,6 @@ def kernel_probability(mapped: DataFrame, weights: list[float], intercept: float
     )
 
 
-# -- M8, M9 -----------------------------------------------------------------------------
-
-
-@dataclass(frozen=True)
-class ForestSpec(Spec):
-    """Random forest; ``max_features`` is 'sqrt', 'log2', 'auto' or a share.
-
-    Spark grows trees to a depth of 30 at most, so the depth has to be said.
-    """
-
-    max_depth: int
-    n_trees: int = 20
-    max_features: str = "auto"
-    seed: int = 0
-
-    def fit(self, rows: DataFrame, n: int | None = None) -> FittedClassifier:
-        model = RandomForestClassifier(
-            numTrees=self.n_trees, featureSubsetStrategy=str(self.max_features), maxDepth=self.max_depth, seed=self.seed
-        ).fit(rows)
-        return FittedClassifier(model, model.featureImportances.toArray())
-
-
-@dataclass(frozen=True)
-class BoostedSpec(Spec):
-    """Gradient-boosted trees.  Spark has no penalty on leaf weights (alpha, lambda)."""
-
-    max_depth: int = 3
-    learning_rate: float = 0.1
-    n_rounds: int = 100
-    seed: int = 0
-
-    def fit(self, rows: DataFrame, n: int | None = None) -> FittedClassifier:
-        model = GBTClassifier(
-            maxDepth=self.max_depth, stepSize=self.learning_rate, maxIter=self.n_rounds, seed=self.seed
-        ).fit(rows)
-        return FittedClassifier(model, model.featureImportances.toArray())
-
-
 # -- M10 --------------------------------------------------------------------------------
 
 

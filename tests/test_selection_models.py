@@ -80,12 +80,6 @@ def test_kernel_logistic_on_all_training_rows(data):
     assert (out.prediction == out.label).mean() > 0.8
 
 
-def test_trees(data):
-    for spec in (M.ForestSpec(5, n_trees=10), M.BoostedSpec(n_rounds=5)):
-        out = spec.fit(data[2]).transform(data[2]).toPandas()
-        assert out.p1.between(0, 1).all() and (out.prediction == out.label).mean() > 0.7
-
-
 def test_regressions(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(80, 3)) * [1, 3, 0.5]
