@@ -101,14 +101,18 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str | Column
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_duplicates` keeps, with all their columns."""
+    """The rows of ``docs`` that :func:`exact_duplicates` keeps, with all their columns, whatever their names.
+
+    Null text counts as empty; of rows repeated with their id and text exactly one stays; an empty table stays empty.
+    """
     found = exact_duplicates(docs, doc_id, text)
     gone = found.where(~F.col("kept")).groupBy("doc_id", "text_sha256").agg(F.count("*").alias("_n"))
     twins = found.where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
     gone = gone.join(twins, F.expr("doc_id <=> _kept_id AND text_sha256 = _kept_sha"), "left")
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("_kept_sha").isNotNull().alias("_twin"))
     gone = written(gone, "gone")
-    sha = F.sha2(F.coalesce(F.col(f"d.`{text}`"), F.lit("")), 256)
-    joined = docs.alias("d").join(gone.hint("merge").alias("g"), F.col(f"d.`{doc_id}`").eqNullSafe(F.col("g._id")) & (sha == F.col("g._sha")), "left")
-    once = joined.where("g._twin").dropDuplicates(["_id", "_sha"]).select("d.*")
-    return joined.where("g._sha IS NULL").select("d.*").unionByName(once)
+    sha = F.sha2(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), 256)
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{doc_id}`").cast("long").alias("id"), sha.alias("sha"))
+    joined = rows.join(gone.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")), "left")
+    once = joined.where("_twin").dropDuplicates(["id", "sha"]).select("row.*")
+    return joined.where("_sha IS NULL").select("row.*").unionByName(once)

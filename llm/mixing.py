@@ -120,18 +120,24 @@ def mix(
 def mixed_documents(
     docs: DataFrame, weight: Column | None = None, seed: int = 7, doc_id: str = "doc_id", text: str = "text", source: str = "source", size: str | None = None
 ) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is taken, with all its columns."""
+    """The mix itself: every row of ``docs`` as often as it is taken, with all its columns, whatever their names.
+
+    Null texts, sources and ids, and repeated rows, are treated as in :func:`mix`; an empty table gives no rows.
+    """
     weight = F.lit(1.0) if weight is None else weight
     counted = n_words(F.col(f"`{text}`")) if size is None else F.col(f"`{size}`")
     drawn = written(draws(docs, weight, seed, doc_id, counted, source), "draws")
-    ident = F.col(f"d.`{doc_id}`").cast("long")
-    key = -F.log(uniform(ident, seed)) / F.coalesce(weight.cast("double"), F.lit(1.0))
-    mine = F.struct(key.alias("key"), ident.alias("doc_id"), counted.cast("long").alias("size"))
     parts = _parts(drawn)
     line = written(cuts(drawn), "cuts").select(
         F.col("source").alias("_source"), F.col("epochs").alias("_epochs"), F.col("last").alias("_last"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part")
     )
-    at = F.pmod(F.xxhash64(key, ident), F.lit(parts)).cast("int")
-    joined = docs.alias("d").join(line.alias("s"), F.col(f"d.`{source}`").cast("string").eqNullSafe(F.col("s._source")) & (at == F.col("s._part")))
-    times = F.col("s._epochs") + F.when(F.col("s._last").isNotNull() & (mine <= F.col("s._last")), 1).otherwise(0)
-    return joined.where(times > 0).select("d.*", F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias("_time")).drop("_time")
+    ident = F.col(f"`{doc_id}`").cast("long")
+    key = -F.log(uniform(ident, seed)) / F.coalesce(weight.cast("double"), F.lit(1.0))
+    # the row is one column from here on, so that its names cannot clash with those below
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col(f"`{source}`").cast("string").alias("source"), F.pmod(F.xxhash64(key, ident), F.lit(parts)).cast("int").alias("at"),
+        F.struct(key.alias("key"), ident.alias("doc_id"), counted.cast("long").alias("size")).alias("mine"),
+    )
+    joined = rows.join(line, F.col("source").eqNullSafe(F.col("_source")) & (F.col("at") == F.col("_part")))
+    times = F.col("_epochs") + F.when(F.col("_last").isNotNull() & (F.col("mine") <= F.col("_last")), 1).otherwise(0)
+    return joined.where(times > 0).select("row", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select("row.*")

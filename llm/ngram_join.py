@@ -394,11 +394,12 @@ def keep_one(docs: DataFrame, width: int = 3, percent: int = 90, doc_id: str = "
     # repeated rows cannot be told apart: where the row that stays has some, all are found and one is taken
     gone = listed.groupBy(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha")).agg(F.max("_stays").alias("_twin"), F.count("*").alias("_copies"))
     gone = written(gone.where("NOT _twin OR _copies > 1").select("_id", "_sha", "_twin"), "gone")
-    sha = F.unhex(F.sha2(F.coalesce(F.col(f"d.`{text}`").cast("string"), F.lit("")), 256))
-    same = F.col(f"d.`{doc_id}`").cast("long").eqNullSafe(F.col("g._id")) & (sha == F.col("g._sha"))
-    out = docs.alias("d").join(gone.hint("merge").alias("g"), same, "left_anti")
+    sha = F.unhex(F.sha2(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), 256))
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{doc_id}`").cast("long").alias("id"), sha.alias("sha"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha"))
+    out = rows.join(gone.hint("merge"), same, "left_anti").select("row.*")
     twins = gone.where("_twin")
     if twins.isEmpty():
         return out
-    once = docs.alias("d").join(twins.hint("merge").alias("g"), same).dropDuplicates(["_id", "_sha"]).select("d.*")
+    once = rows.join(twins.hint("merge"), same).dropDuplicates(["id", "sha"]).select("row.*")
     return out.unionByName(once)

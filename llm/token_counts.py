@@ -17,7 +17,7 @@ BLOCK = 1024
 
 
 def token_lengths(docs: DataFrame, ranks: str, pattern: str, added: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_tokens.  Null and empty texts have 0 tokens."""
+    """One row per document: doc_id, n_tokens.  Null and empty texts have 0 tokens; repeated rows count each time."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks, pattern, added)
