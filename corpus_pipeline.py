@@ -31,9 +31,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it; labelled quality is the sampling weight."""
-    counted = docs.withColumn("_words", mixing.n_words(F.col("text")))  # before the join, which then need not carry texts twice
-    weighted = quality_weights(counted, table(spark, sf_dir, "labels"))
-    return mixing.mixed_documents(weighted, F.col("_weight"), size="_words").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", mixing.n_words(F.col("text")).alias("words"))  # before the join
+    weighted = quality_weights(rows, table(spark, sf_dir, "labels"))
+    return mixing.mixed_documents(weighted, F.col("_weight"), size="words").select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
