@@ -3,11 +3,16 @@
 Every detected entity is replaced by a made-up one of the same kind, derived from a key: the same entity
 gets the same surrogate everywhere (coreference), different entities get different ones (distinctness).
 Format, script and grammatical gender of the original stay.  Surrogates are checked against each other
-and against the real entities of the corpus; an entity that loses such a check draws again.
+and against the real entities of the corpus; an entity that loses such a check draws again.  A format may
+have fewer surrogates than entities (all numbers of four digits), so from the third redraw on a surrogate
+is one character longer with every further one: each of these rounds has at least ten times the room of
+the one before, and their number grows with the logarithm of the entities.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from llm.common import written
@@ -47,6 +52,8 @@ _DIGITS = ("phone", "national_id", "card")  # compared and replaced by their dig
 
 #: What stands for punctuation in a made-up secret, safe between quotes.
 SIGNS = "!#$%&*?@"
+#: Draws of the original length; later ones grow.
+PLAIN_DRAWS = 3
 #: Letters that made-up names are built of.
 LETTERS = {"latin": ("bdfgklmnprstvz", "aeiou", "a", "n"), "cyrillic": ("бвгдзклмнпрст", "аеиоу", "а", "н"), "greek": ("βγδζκλμνπρστ", "αειου", "α", "ς")}
 
@@ -126,7 +133,13 @@ def entities(x: Column) -> Column:
 
 
 def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
-    """The made-up normal form for an entity."""
+    """The made-up normal form for an entity.
+
+    From attempt ``PLAIN_DRAWS`` on it is longer by one character an attempt, at the end of a number, key,
+    word or local part.  An IPv4 address first leaves the reserved range 240 to 255 for any, three attempts
+    later it gets a fifth number, which no address of the corpus has.
+    """
+    growth = F.greatest(attempt - (PLAIN_DRAWS - 1), F.lit(0))
     digest = F.sha2(F.concat_ws(MARK, F.lit(key), kind, norm, attempt.cast("string")), 512)
     of_domain = F.sha2(F.concat_ws(MARK, F.lit(key), F.lit("domain"), F.split(norm, "@")[1], attempt.cast("string")), 512)
 
@@ -151,33 +164,40 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
 
         return F.array_join(F.transform(_chars(text), one), "")
 
+    def more(letters: str) -> Column:
+        """``growth`` characters of ``letters``, each of them worth at least 3 bits of a digest of its own."""
+        rest = F.sha2(F.concat_ws(MARK, F.lit(key), F.lit("more"), kind, norm, attempt.cast("string")), 512)
+        return F.when(growth > 0, F.left(F.translate(rest, "0123456789abcdef", (letters * 16)[:16]), growth)).otherwise("")
+
+    digits, small, capital = more("0123456789"), more("abcdefghijklmnop"), more("ABCDEFGHIJKLMNOP")
     label = F.concat(*[F.chr(draw(i, of_domain) % 26 + 97) for i in range(6)])
     top = F.element_at(F.array(F.lit("com"), F.lit("org"), F.lit("net")), (draw(6, of_domain) % 3 + 1).cast("int"))
-    email = F.concat(like(F.split(norm, "@")[0]), F.lit("@"), label, F.lit(".example."), top)
+    email = F.concat(like(F.split(norm, "@")[0]), small, F.lit("@"), label, F.lit(".example."), top)
     lead = F.greatest(F.length(norm) - 10, F.lit(0))
-    phone = F.concat(F.substr(norm, F.lit(1), lead), (draw(31) % 8 + 2).cast("string"), like(F.substr(norm, lead + 2)))
-    body = F.concat(F.substr(norm, F.lit(1), F.lit(1)), like(F.substr(norm, F.lit(2), F.length(norm) - 2)))
+    phone = F.concat(F.substr(norm, F.lit(1), lead), (draw(31) % 8 + 2).cast("string"), like(F.substr(norm, lead + 2)), digits)
+    body = F.concat(F.substr(norm, F.lit(1), F.lit(1)), like(F.substr(norm, F.lit(2), F.length(norm) - 2)), digits)
     card = F.concat(body, ((10 - _luhn_sum(body, True) % 10) % 10).cast("string"))
-    ip = F.concat_ws(".", (draw(0) % 15 + 240).cast("string"), *[(draw(i) % 256).cast("string") for i in (1, 2, 3)])
+    first = F.when(growth > 0, draw(0) % 255 + 1).otherwise(draw(0) % 15 + 240)
+    ip = F.concat_ws(".", first.cast("string"), *[(draw(i) % 256).cast("string") for i in (1, 2, 3)], F.when(growth > 3, (draw(4) % 256).cast("string")))
 
     def name(script: str) -> Column:
         consonants, vowels, female, male = LETTERS[script]
         letter = lambda letters, i: F.substr(F.lit(letters), (draw(i) % len(letters)).cast("int") + 1, F.lit(1))
         syllables = [letter(s, 2 * i + k) for i in range(4) for k, s in enumerate((consonants, vowels))]
         end = F.when(kind.startswith("given_f"), female).when(kind.startswith("given_m"), male).otherwise("")
-        return F.concat(*syllables, end)
+        return F.concat(*syllables, more(consonants + vowels), end)
 
     out = F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip)
-    out = out.when(kind == "national_id", F.concat(F.lit("9"), like(F.substr(norm, F.lit(2)))))
-    out = out.when(kind == "iban", F.concat(F.substr(norm, F.lit(1), F.lit(2)), like(F.substr(norm, F.lit(3)))))
-    out = out.when(kind == "cloud_key", F.concat(F.substr(norm, F.lit(1), F.lit(4)), like(F.substr(norm, F.lit(5)))))
+    out = out.when(kind == "national_id", F.concat(F.lit("9"), like(F.substr(norm, F.lit(2))), digits))
+    out = out.when(kind == "iban", F.concat(F.substr(norm, F.lit(1), F.lit(2)), like(F.substr(norm, F.lit(3))), digits))
+    out = out.when(kind == "cloud_key", F.concat(F.substr(norm, F.lit(1), F.lit(4)), like(F.substr(norm, F.lit(5))), capital))
     for script in LETTERS:
         out = out.when(kind.endswith(f"_{script}"), name(script))
-    return out.otherwise(like(norm, signs=True))
+    return out.otherwise(F.concat(like(norm, signs=True), F.when(norm.rlike("[A-Za-z]"), more("0123456789abcdef")).otherwise(digits)))
 
 
 def _refill(x: Column, characters: Column, kind: str) -> Column:
-    """``x`` with its characters of the class ``kind`` replaced in turn; everything between them stays."""
+    """``x`` with its characters of the class ``kind`` replaced in turn; everything between them stays, what is left over follows."""
     zero = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
 
     def step(acc: Column, c: Column) -> Column:
@@ -187,7 +207,7 @@ def _refill(x: Column, characters: Column, kind: str) -> Column:
             (acc["at"] + F.when(hit, 1).otherwise(0)).cast("int").alias("at"),
         )
 
-    return F.aggregate(_chars(x), zero, step)["out"]
+    return F.aggregate(_chars(x), zero, step, lambda acc: F.concat(acc["out"], F.substr(characters, acc["at"])))
 
 
 def render(x: Column, kinds: Column, fakes: Column) -> Column:
@@ -226,28 +246,30 @@ def _plain(text: Column) -> Column:
 def redraws(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The entities whose first surrogate is not theirs alone: id (kind and norm), attempt.
 
-    Two entities may not share a surrogate, and a surrogate may not be a real entity of its kind.  The
-    least norm keeps a shared surrogate, the others draw again until nothing is shared.
+    Two entities may not share a surrogate, and a surrogate may not be a real entity of its kind.  Of those
+    that draw the same in one round the least norm keeps it, one of an earlier round is taken.  Settled
+    entities stay settled, so a round draws and writes only what the round before left open.
     """
     mentions = docs.select(F.explode(_mentions(F.col(f"`{text}`").cast("string"))).alias("x"))
     found = mentions.distinct().select(F.explode(entities(F.col("x"))).alias("e")).select("e.kind", "e.norm").distinct()
     known = written(found, "entities")
-    made = lambda attempt: surrogate(F.col("kind"), F.col("norm"), attempt, key).alias("fake")
-    state = known.select("kind", "norm", F.lit(0).alias("attempt"))
-    real = known.select(F.col("kind").alias("_kind"), F.col("norm").alias("_norm"))
+    taken = known.select(F.col("kind").alias("_kind"), F.col("norm").alias("_fake"))
+    attempt, open_, settled = 0, known, []
     while True:
-        drawn = written(state.select("kind", "norm", "attempt", made(F.col("attempt"))), "surrogates")
-        shared = drawn.groupBy("kind", "fake").agg(F.min(F.struct("attempt", "norm")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        shared = shared.select(F.col("kind").alias("_k"), F.col("fake").alias("_f"), F.col("first.norm").alias("_first"))
-        losers = drawn.join(shared, F.expr("kind = _k AND fake = _f AND norm != _first")).select("kind", "norm")
-        taken = drawn.join(real, F.expr("kind = _kind AND fake = _norm"), "left_semi").select("kind", "norm")
-        again = written(losers.union(taken).distinct().select(F.col("kind").alias("_kind"), F.col("norm").alias("_norm")), "again")
-        if again.isEmpty():
+        drawn = written(open_.select("kind", "norm", surrogate(F.col("kind"), F.col("norm"), F.lit(attempt), key).alias("fake")), "surrogates")
+        free = drawn.join(taken, F.expr("kind = _kind AND fake = _fake"), "left_anti")
+        won = written(free.groupBy("kind", "fake").agg(F.min("norm").alias("norm"), F.lit(attempt).alias("attempt")), "settled")
+        lost = drawn.join(won.select(F.col("kind").alias("_kind"), F.col("norm").alias("_norm")), F.expr("kind = _kind AND norm = _norm"), "left_anti")
+        open_ = written(lost.select("kind", "norm"), "open")
+        if attempt:
+            settled.append(won)
+        if open_.isEmpty():
             break
-        state = drawn.join(again, F.expr("kind = _kind AND norm = _norm"), "left").select(
-            "kind", "norm", (F.col("attempt") + F.when(F.col("_norm").isNotNull(), 1).otherwise(0)).cast("int").alias("attempt")
-        )
-    return drawn.where("attempt > 0").select(F.concat_ws(MARK, "kind", "norm").alias("id"), "attempt")
+        taken = taken.union(won.select("kind", "fake"))
+        attempt += 1
+    if not settled:
+        return open_.select(F.concat_ws(MARK, "kind", "norm").alias("id"), F.lit(0).alias("attempt"))
+    return reduce(DataFrame.union, settled).select(F.concat_ws(MARK, "kind", "norm").alias("id"), "attempt")
 
 
 def pseudonymise(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
