@@ -13,6 +13,7 @@ from catalog.g_search import SPEC
 from catalog.registry import query, rounded
 from catalog.tables import GENES
 from riskloom.functions.vectors import with_vector
+from riskloom.operators import kernel_fit as KF
 from riskloom.operators import metrics as H
 from riskloom.operators import models as M
 from riskloom.operators import trees as T
@@ -187,6 +188,40 @@ def m07(t):
     return spec.fit(rows).transform(rows).select("sample_id", "label", "prediction")
 
 
+THREE_SWEEPS = 400
+SOFTMAX = "exp(list_dot_product(w[{c}], x)) / (exp(list_dot_product(w[1], x)) + exp(list_dot_product(w[2], x)) + exp(list_dot_product(w[3], x)))"
+AT = "(it // 11 % 3)"  # the class whose weight a step moves; the place of that weight is it % 11
+
+
+@query("m07_kernel_three_classes", f"""WITH {CENTRES}, lab AS (SELECT vec_id AS sample_id, label % 3 AS y FROM embeddings),
+kv AS (SELECT s.sample_id, y, list_append(list(exp(-2 * {SQUARED}) ORDER BY landmark_ix), CAST(1 AS DOUBLE)) AS x
+  FROM smp s JOIN lab ON lab.sample_id = s.sample_id CROSS JOIN centres GROUP BY s.sample_id, y),
+st AS (SELECT 0 AS it, list_transform(range(3), lambda c: list_transform(range(11), lambda k: CAST(0 AS DOUBLE))) AS w
+UNION ALL
+SELECT it + 1, list_transform(range(3), lambda c: list_transform(range(11), lambda k:
+    CASE WHEN c = {AT} AND k = it % 11 THEN w[c + 1][k + 1] - (g + pen * w[c + 1][k + 1]) / (h + pen) ELSE w[c + 1][k + 1] END))
+FROM (SELECT it, w, CASE WHEN it % 11 < 10 THEN CAST(0.2 AS DOUBLE) ELSE 0 END AS pen,
+    sum((p - CASE WHEN y = {AT} THEN 1 ELSE 0 END) * x[it % 11 + 1]) AS g, sum(p * (1 - p) * x[it % 11 + 1] * x[it % 11 + 1]) AS h
+  FROM (SELECT it, w, y, x, {SOFTMAX.format(c=f'{AT} + 1')} AS p FROM st CROSS JOIN kv WHERE it < {33 * THREE_SWEEPS}) GROUP BY it, w)),
+pr AS (SELECT sample_id, y, list_transform(range(3), lambda c: {SOFTMAX.format(c='c + 1')}) AS p FROM kv CROSS JOIN (SELECT w FROM st WHERE it = {33 * THREE_SWEEPS}))
+SELECT sample_id, CAST(y AS DOUBLE) AS label, round(p[1], 3) + 0 AS p_0, round(p[2], 3) + 0 AS p_1, round(p[3], 3) + 0 AS p_2,
+  CAST(list_position(p, list_max(p)) - 1 AS INTEGER) AS prediction FROM pr""")
+def m07b(t):
+    """Three classes by arg-max of a softmax fit on the kernel with the class means."""
+    mapped = M.Kernel("rbf", gamma=2.0).features(t.vectors.select("sample_id", "features"), centres(t)).withColumn("features", array_to_vector("features"))
+    rows = mapped.join(t.classes.select("sample_id", (F.col("code") % 3).cast("double").alias("label")), "sample_id")
+    out = KF.SoftmaxSpec(C=5.0, max_iter=300, tol=1e-11).fit(rows).transform(rows)
+    return out.select("sample_id", "label", *[rounded(F.col("probabilities")[c], 3).alias(f"p_{c}") for c in range(3)], "prediction")
+
+
+@query("m05_kernel_of_all_samples")
+def m05b(t):
+    """Fit against all samples, ten classes, linear kernel of all genes; its samples are chosen by the fit."""
+    rows = with_vector(t.vectors.drop("code", "label").join(t.classes.select("sample_id", F.col("code").cast("double").alias("label")), "sample_id"))
+    out = KF.KernelOfAllSpec(C=0.05, kind="linear").fit(rows).transform(rows)
+    return out.select("sample_id", "label", rounded(F.array_max("probabilities"), 3).alias("p"), "prediction")
+
+
 # -- trees ------------------------------------------------------------------------------
 
 
