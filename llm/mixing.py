@@ -4,8 +4,10 @@ Each document draws an exponential key, divided by its quality weight.  Sorted b
 documents are taken until their running size reaches the source's token budget.  A budget above the
 source's size is served by complete epochs first; only the rest is sampled.
 
-The running sums end in one cut per source: the last key that is taken.  Whether a document is taken is
-then a comparison with its source's cut, so texts are never sorted or joined by id.
+The running sums end in one cut per source: the last place that is taken.  Whether a document is taken is
+then a comparison with its source's cut, so texts are never sorted or joined by id.  A place is key, id, size,
+hash of the text, and the row's number in the written table of draws, so that no two rows share one: of
+equal rows as many are taken as fit.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from llm.common import WORD, written
 from riskloom.functions.rowindex import with_running_sum
 
 MOST_EPOCHS = 3
+#: What orders the rows of a source.
+PLACE = ("key", "doc_id", "size", "print", "row")
 #: Rows of one source that meet one copy of its line.
 ROWS_PER_PART = 10_000
 
@@ -61,16 +65,21 @@ def _with_source(rows: DataFrame, per_source: DataFrame, parts: int) -> DataFram
     by their key.
     """
     line = per_source.select(F.col("source").alias("_source"), *[c for c in per_source.columns if c != "source"], F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
-    part = F.pmod(F.xxhash64("key", "doc_id"), F.lit(parts)).cast("int")
+    part = F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")  # not the id: it may be null in most rows
     return rows.withColumn("_at", part).join(line, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_at") == F.col("_part"))).drop("_source", "_at", "_part")
 
 
-def draws(docs: DataFrame, weight: Column, seed: int, doc_id: str, size: Column, source: str) -> DataFrame:
-    """doc_id, source, size and key of every document; a null weight counts as 1, others have to be positive."""
+def draws(docs: DataFrame, weight: Column, seed: int, doc_id: str, size: Column, source: str, text: str, *carried: Column) -> DataFrame:
+    """doc_id, source, size, key, print and row of every document; a null weight counts as 1, others have to be positive.
+
+    ``row`` numbers the rows and holds only in a written table; ``print`` is the hash of the text if there is one.
+    """
     ident = F.col(f"`{doc_id}`").cast("long")
     return docs.select(
         ident.alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), size.cast("long").alias("size"),
         (-F.log(uniform(ident, seed)) / F.coalesce(weight.cast("double"), F.lit(1.0))).alias("key"),
+        (F.xxhash64(F.col(f"`{text}`").cast("string")) if text in docs.columns else F.lit(0).cast("long")).alias("print"),
+        F.monotonically_increasing_id().alias("row"), *carried,
     )
 
 
@@ -79,7 +88,7 @@ def _parts(drawn: DataFrame) -> int:
 
 
 def cuts(drawn: DataFrame, share: float = 1.0, most: int = MOST_EPOCHS) -> DataFrame:
-    """Per source: source_size, target, whole epochs, and the last (key, doc_id, size) of the sampled part.
+    """Per source: source_size, target, whole epochs, and the last place of the sampled part.
 
     A document belongs to the sampled part when more than half of it lies inside the remaining budget,
     so a source misses its target by half a document at most.
@@ -90,15 +99,15 @@ def cuts(drawn: DataFrame, share: float = 1.0, most: int = MOST_EPOCHS) -> DataF
     targets = targets.withColumn("epochs", epochs.cast("long"))
     targets = targets.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     parts = _parts(drawn)
-    sums = with_running_sum(drawn.select("source", "key", "doc_id", "size"), ["key", "doc_id", "size"], "size", ["source"], "_upto")
+    sums = with_running_sum(drawn.select("source", *PLACE), list(PLACE), "size", ["source"], "_upto")
     inside = _with_source(sums, targets.select("source", "rest"), parts).where((F.col("_upto") - F.col("size") / 2 <= F.col("rest")) & (F.col("rest") > 0))
-    last = inside.groupBy("source").agg(F.max(F.struct("key", "doc_id", "size")).alias("last"))
+    last = inside.groupBy("source").agg(F.max(F.struct(*PLACE)).alias("last"))
     last = last.withColumnRenamed("source", "_source")
     return targets.join(last, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source", "rest")
 
 
 def _epochs_taken() -> Column:
-    mine = F.struct("key", "doc_id", "size")
+    mine = F.struct(*PLACE)
     return F.col("epochs") + F.when(F.col("last").isNotNull() & (mine <= F.col("last")), 1).otherwise(0)
 
 
@@ -109,10 +118,11 @@ def mix(
 
     The size is the number of words of ``text``, or what the column ``size`` already holds.
     Null text has size 0, a null source is a source of its own, a null id draws like an id.  Rows that
-    repeat id and size share their draw and fate.  An empty table gives no rows.  Other columns are not read.
+    repeat an id share their draw; the source's cut may fall between them, so its target is met to half a
+    document all the same.  An empty table gives no rows.  Other columns are not read.
     """
     counted = n_words(F.col(f"`{text}`")) if size is None else F.col(f"`{size}`")
-    drawn = written(draws(docs, F.lit(1.0) if weight is None else weight, seed, doc_id, counted, source), "draws")
+    drawn = written(draws(docs, F.lit(1.0) if weight is None else weight, seed, doc_id, counted, source, text), "draws")
     out = _with_source(drawn, cuts(drawn), _parts(drawn)).withColumn("epochs_taken", _epochs_taken().cast("long"))
     return out.select("doc_id", "source", "size", "source_size", "target", "epochs_taken", (F.col("epochs_taken") * F.col("size")).alias("taken"))
 
@@ -123,21 +133,13 @@ def mixed_documents(
     """The mix itself: every row of ``docs`` as often as it is taken, with all its columns, whatever their names.
 
     Null texts, sources and ids, and repeated rows, are treated as in :func:`mix`; an empty table gives no rows.
+    Rows and draws are written together, so a text is read and counted once and each row keeps its number.
     """
-    weight = F.lit(1.0) if weight is None else weight
     counted = n_words(F.col(f"`{text}`")) if size is None else F.col(f"`{size}`")
-    drawn = written(draws(docs, weight, seed, doc_id, counted, source), "draws")
-    parts = _parts(drawn)
-    line = written(cuts(drawn), "cuts").select(
-        F.col("source").alias("_source"), F.col("epochs").alias("_epochs"), F.col("last").alias("_last"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part")
-    )
-    ident = F.col(f"`{doc_id}`").cast("long")
-    key = -F.log(uniform(ident, seed)) / F.coalesce(weight.cast("double"), F.lit(1.0))
-    # the row is one column from here on, so that its names cannot clash with those below
-    rows = docs.select(
-        F.struct("*").alias("row"), F.col(f"`{source}`").cast("string").alias("source"), F.pmod(F.xxhash64(key, ident), F.lit(parts)).cast("int").alias("at"),
-        F.struct(key.alias("key"), ident.alias("doc_id"), counted.cast("long").alias("size")).alias("mine"),
-    )
-    joined = rows.join(line, F.col("source").eqNullSafe(F.col("_source")) & (F.col("at") == F.col("_part")))
-    times = F.col("_epochs") + F.when(F.col("_last").isNotNull() & (F.col("mine") <= F.col("_last")), 1).otherwise(0)
-    return joined.where(times > 0).select("row", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select("row.*")
+    # the row is one column of numbered fields, so that its names cannot clash with those below or one another
+    fields = [f"c{i}" for i in range(len(docs.columns))]
+    carried = F.struct(*[F.col(f"`{c}`").alias(f) for c, f in zip(docs.columns, fields)]).alias("whole")
+    drawn = written(draws(docs, F.lit(1.0) if weight is None else weight, seed, doc_id, counted, source, text, carried), "draws")
+    line = written(cuts(drawn).select("source", "epochs", "last"), "cuts")
+    taken = _with_source(drawn, line, _parts(drawn)).select("whole", _epochs_taken().cast("int").alias("times")).where("times > 0")
+    return taken.select("whole", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("whole.*").toDF(*docs.columns)
