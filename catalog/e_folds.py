@@ -161,7 +161,8 @@ pairs AS (SELECT a.grp AS ga, b.grp AS gb, row_number() OVER (ORDER BY a.grp, b.
 SELECT sample_id, grp, split_id FROM people JOIN pairs ON grp = ga OR grp = gb""")
 def e10(t):
     """Every pair of nations as the test set of the customers."""
-    return E.leave_p_groups_out(_people(t).select("sample_id", "grp"), "grp", 2)
+    people = _people(t).select("sample_id", "grp")
+    return E.leave_p_groups_out(people, "grp", 2, E.every_combination(t.spark, people.select("grp").distinct().count(), 2))
 
 
 @query("e11_shuffle_split", f"""

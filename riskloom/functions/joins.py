@@ -27,11 +27,16 @@ def join_by_key(
     A key with more than ``ROWS_PER_COPY`` rows is split: its side rows are repeated once
     per part, and its rows choose a part by the hash of ``spread``.  The list of such keys
     is written once, so both sides see the same one; it has at most rows / ``ROWS_PER_COPY``
-    entries by construction, and Spark broadcasts it while its bytes allow.
+    entries by construction, and Spark broadcasts it while its bytes allow.  If none is listed
+    the join is plain.
     """
     spread = F.col(spread) if isinstance(spread, str) else spread
     side = cut(side.withColumn("_parts", F.ceil(F.col(size) / ROWS_PER_COPY).cast("int")), "side")
     hot = cut(side.where("_parts > 1").select(*keys, "_parts").distinct(), "hot_keys")
+    if hot.isEmpty():
+        renamed = side.drop("_parts", size).withColumnsRenamed({k: f"_side_{k}" for k in keys})
+        same = [F.col(k).eqNullSafe(F.col(f"_side_{k}")) for k in keys]
+        return rows.join(renamed, same).drop(*[f"_side_{k}" for k in keys])
     marked = _with_parts(rows, hot, keys)
     marked = marked.withColumn("_part", F.pmod(F.xxhash64(spread), F.col("_parts"))).drop("_parts")
     listed = _with_parts(side.drop("_parts"), hot, keys)

@@ -126,9 +126,13 @@ def symbol_assignment(symbols: DataFrame, iqr: DataFrame) -> DataFrame:
 
 
 def update_genes(expr: DataFrame, gene_map: DataFrame) -> DataFrame:
-    """Measurement table under current gene symbols."""
-    symbols = cut(map_symbols(expr.select("gene_id").distinct(), gene_map), "symbols")
+    """Measurement table under current gene symbols.
+
+    ``expr`` is read for the quartiles and for the result; the probes that have values come
+    from the quartile table, a probe without any cannot carry a symbol.
+    """
     spread = cut(inter_quartile_range(expr), "iqr")
+    symbols = cut(map_symbols(spread, gene_map), "symbols")
     chosen = symbol_assignment(symbols, spread).join(spread.select("gene_id", "n"), "gene_id")
     return join_by_key(expr, chosen, ["gene_id"], "n").select("sample_id", F.col("gene_symbol").alias("gene_id"), "value")
 

@@ -210,6 +210,8 @@ def _combinations(split: Column, n: int, p: int) -> Column:
     def members(place: pd.Series) -> pd.Series:
         out = []
         for s in place:
+            if not 0 <= s < total:
+                raise ValueError(f"split {s} is none of {total}")
             left, chosen = total - 1 - int(s), []
             for i in range(p, 0, -1):
                 low, high = i - 1, n
@@ -224,29 +226,28 @@ def _combinations(split: Column, n: int, p: int) -> Column:
     return members(split)
 
 
-def _chosen_splits(spark: SparkSession, n: int, p: int, splits: DataFrame | None, limit: int) -> DataFrame:
-    total = comb(n, p)
-    if total >= 1 << 62:
+def every_combination(spark: SparkSession, n: int, p: int) -> DataFrame:
+    """``split_id``: the numbers of all C(n, p) test sets of p out of n samples or groups."""
+    return spark.range(comb(n, p)).withColumnRenamed("id", "split_id")
+
+
+def _chosen_splits(n: int, p: int, splits: DataFrame) -> DataFrame:
+    if comb(n, p) >= 1 << 62:
         raise ValueError("too many combinations to number")
-    if splits is None:
-        if total > limit:
-            raise ValueError(f"{total} combinations: pass the split ids that are wanted")
-        splits = spark.range(total).withColumnRenamed("id", "split_id")
     return splits.select("split_id").select("split_id", F.explode(_combinations(F.col("split_id"), n, p)).alias("_ix"))
 
 
-def leave_p_out(
-    samples: DataFrame, p: int, splits: DataFrame | None = None, order: Sequence[str] = (ID,), limit: int = 1_000_000
-) -> DataFrame:
+def leave_p_out(samples: DataFrame, p: int, splits: DataFrame, order: Sequence[str] = (ID,)) -> DataFrame:
     """Test sets of size p, numbered in lexicographic order.
 
-    There are C(n, p) of them.  ``splits`` names the wanted numbers; a number is turned
-    into its members by arithmetic, so the cost follows the request and not n to the p.
+    There are C(n, p) of them.  ``splits`` names the wanted numbers (``every_combination`` for
+    all); a number is turned into its members by arithmetic, so the cost follows the request
+    and not n to the p.  A number outside the range is an error.
     """
     n = samples.count()
     if not 0 < p < n:
         raise ValueError("p lies between 1 and the number of samples minus 1")
-    wanted = _chosen_splits(samples.sparkSession, n, p, splits, limit)
+    wanted = _chosen_splits(n, p, splits)
     return with_row_index(samples, order, name="_ix").join(wanted, "_ix").drop("_ix")
 
 
@@ -265,15 +266,13 @@ def leave_one_group_out(samples: DataFrame, group: str) -> DataFrame:
     )
 
 
-def leave_p_groups_out(
-    samples: DataFrame, group: str, p: int, splits: DataFrame | None = None, limit: int = 1_000_000
-) -> DataFrame:
-    """Test sets made of p groups, numbered in lexicographic order of the groups."""
+def leave_p_groups_out(samples: DataFrame, group: str, p: int, splits: DataFrame) -> DataFrame:
+    """Test sets made of p groups, numbered in lexicographic order of the groups; ``splits`` as in :func:`leave_p_out`."""
     index = _group_index(samples, group)
     n = index.count()
     if n <= p:
         raise ValueError(f"leaving out {p} groups needs more than {p} groups, there are {n}")
-    wanted = _chosen_splits(samples.sparkSession, n, p, splits, limit)
+    wanted = _chosen_splits(n, p, splits)
     return join_by_key(samples, index.join(wanted, "_ix").drop("_ix"), [group], "_size").select(
         *samples.columns, "split_id"
     )

@@ -6,7 +6,9 @@ returns a fitted model whose ``transform`` adds ``p1``, ``decision`` and ``predi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -21,8 +23,8 @@ from riskloom.functions.rowindex import with_row_index
 from riskloom.functions.scalar import dot, logistic
 from riskloom.runtime import cut
 
-LANDMARK_BLOCK = 256  # landmarks multiplied at once
-ROWS_PER_GROUP = 20_000  # samples multiplied with one block in one task
+LANDMARK_BYTES = 64 << 20  # landmarks that one pass brings to the tasks
+VALUE_BYTES = 64 << 20  # samples or kernel values that a task multiplies at once
 
 
 class Spec:
@@ -164,41 +166,55 @@ class Kernel:
     degree: float = 3
     coef0: float = 1.0
 
+    def _passes(self, rows: DataFrame, landmarks: DataFrame) -> list[DataFrame]:
+        landmarks = cut(landmarks.select("landmark_ix", "features"), "landmarks")
+        n, width = landmarks.agg(F.count("*"), F.max(F.size("features"))).first()
+        at_once = max(1, LANDMARK_BYTES // (8 * max(width or 1, 1)))
+        id_type = rows.schema["sample_id"].dataType.simpleString()
+        parts = []
+        for block, first in enumerate(range(0, n, at_once)):
+            here = F.col("landmark_ix").between(first, first + at_once - 1)
+            marks = np.stack(landmarks.where(here).orderBy("landmark_ix").toPandas()["features"]).astype(float)
+            part = rows.select("sample_id", "features").mapInPandas(
+                self._multiply(marks, block), f"sample_id {id_type}, block int, values array<double>"
+            )
+            parts.append(part if n <= at_once else cut(part, "kernel"))
+        return parts
+
+    def _multiply(self, marks: np.ndarray, block: int):
+        kind, gamma, degree, coef0 = self.kind, self.gamma, self.degree, self.coef0
+        samples = max(1, VALUE_BYTES // (8 * max(marks.shape)))
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for at in range(0, len(frame), samples):
+                    part = frame.iloc[at : at + samples]
+                    values = _kernel_matrix(kind, np.stack(part["features"]).astype(float), marks, gamma, degree, coef0)
+                    yield pd.DataFrame({"sample_id": part["sample_id"], "block": block, "values": list(values)})
+
+        return run
+
     def blocks(self, rows: DataFrame, landmarks: DataFrame) -> DataFrame:
         """``(sample_id, block, values)``: kernel of every sample with each block of landmarks.
 
-        ``landmarks`` holds ``(landmark_ix, features ARRAY)``, numbered from 0 without gaps.
-        Samples meet a block of landmarks in groups of bounded size (block, salt), where one
-        matrix product gives all values; no pair of rows is ever a row of its own.
+        ``landmarks`` holds ``(landmark_ix, features ARRAY)``, numbered from 0 without gaps.  A block is as
+        many landmarks as ``LANDMARK_BYTES`` hold; it goes through the driver to the tasks, and a pass over
+        the samples, where they are, multiplies them with it.  Samples are never shuffled or copied, and
+        the driver holds one block at a time: with several, the values of each are written before the next.
+        Without landmarks there are no rows.
         """
-        groups = max(1, ceil(rows.count() / ROWS_PER_GROUP))
-        n_blocks = ceil(landmarks.count() / LANDMARK_BLOCK)
-        every_block = F.sequence(F.lit(0), F.lit(n_blocks - 1))
-        every_salt = F.sequence(F.lit(0), F.lit(groups - 1))
-        left = rows.select("sample_id", F.col("features").alias("x")).withColumn("block", F.explode(every_block))
-        left = left.withColumn("salt", F.pmod(F.xxhash64("sample_id"), F.lit(groups)).cast("int"))
-        right = landmarks.select(
-            F.floor(F.col("landmark_ix") / LANDMARK_BLOCK).cast("int").alias("block"), "landmark_ix", "features"
-        ).withColumn("salt", F.explode(every_salt))
-        kind, gamma, degree, coef0 = self.kind, self.gamma, self.degree, self.coef0
-
-        def multiply(samples: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
-            if samples.empty or marks.empty:
-                return pd.DataFrame({"sample_id": [], "block": [], "values": []})
-            marks = marks.sort_values("landmark_ix")
-            values = _kernel_matrix(kind, np.stack(samples["x"]), np.stack(marks["features"]), gamma, degree, coef0)
-            return pd.DataFrame({"sample_id": samples["sample_id"], "block": samples["block"], "values": list(values)})
-
         id_type = rows.schema["sample_id"].dataType.simpleString()
-        return (
-            left.groupBy("block", "salt")
-            .cogroup(right.groupBy("block", "salt"))
-            .applyInPandas(multiply, f"sample_id {id_type}, block int, values array<double>")
-        )
+        empty = rows.sparkSession.createDataFrame([], f"sample_id {id_type}, block int, values array<double>")
+        return reduce(DataFrame.unionByName, self._passes(rows, landmarks) or [empty])
 
     def features(self, rows: DataFrame, landmarks: DataFrame) -> DataFrame:
-        """One array per sample: its kernel with every landmark, in landmark order."""
-        parts = self.blocks(rows, landmarks).groupBy("sample_id").agg(
+        """One array per sample: its kernel with every landmark, in landmark order; empty without landmarks."""
+        passes = self._passes(rows, landmarks)
+        if not passes:
+            return rows.select("sample_id", F.array().cast("array<double>").alias("features"))
+        if len(passes) == 1:
+            return passes[0].select("sample_id", F.col("values").alias("features"))
+        parts = reduce(DataFrame.unionByName, passes).groupBy("sample_id").agg(
             F.array_sort(F.collect_list(F.struct("block", "values"))).alias("_b")
         )
         return parts.select("sample_id", F.flatten(F.transform("_b", lambda b: b["values"])).alias("features"))

@@ -50,22 +50,26 @@ def candidate_table(spark: SparkSession, grids: Mapping | Sequence[Mapping]) ->
 
     A candidate's values follow from its number by division with remainder, so large grids
     are made in parallel from a range and no tables are multiplied.  Values are a list, or a
-    table of one column, which is numbered in its order and joined by number.
+    table of one column, which is numbered in its order, once for all grids, and joined by number.
     """
     grids = [grids] if isinstance(grids, Mapping) else grids
+    numbered_once: dict[int, tuple[DataFrame, int]] = {}
     parts, offset = [], 0
     for grid in grids:
         names = sorted(grid)
         tables = {k: v for k, v in grid.items() if isinstance(v, DataFrame)}
-        sizes = {k: tables[k].count() if k in tables else len(grid[k]) for k in names}
+        for v in tables.values():
+            if id(v) not in numbered_once:
+                values = cut(with_row_index(v.select(F.col(v.columns[0]).alias("_v")), ["_v"], name="_n"), "values")
+                numbered_once[id(v)] = values.select("_n", F.col("_v").cast("string").alias("_v")), values.count()
+        sizes = {k: numbered_once[id(tables[k])][1] if k in tables else len(grid[k]) for k in names}
         total = prod(sizes.values())
         stride, cells, rows = total, [], spark.range(total)
         for i, k in enumerate(names):
             stride //= sizes[k]
             place = F.floor(F.col("id") / stride) % sizes[k]
             if k in tables:
-                numbered = with_row_index(tables[k], tables[k].columns, name=f"_n{i}")
-                numbered = numbered.select(f"_n{i}", F.col(tables[k].columns[0]).cast("string").alias(f"_v{i}"))
+                numbered = numbered_once[id(tables[k])][0].toDF(f"_n{i}", f"_v{i}")
                 rows = rows.withColumn(f"_p{i}", place.cast("long")).join(numbered, F.col(f"_p{i}") == F.col(f"_n{i}"))
                 cells += [F.lit(k), F.col(f"_v{i}")]
             else:

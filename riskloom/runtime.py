@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _WRITTEN: dict[str, set[str]] = {}  # scratch folders of each application
+_LOCK, _WRITERS, _BEFORE = Lock(), [], ["true"]  # threads inside ``cut`` and the setting they found
 
 
 def local_session(cpus: int | str = 8, partitions: int = 8, app: str = "riskloom") -> SparkSession:
@@ -46,6 +50,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}"
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """The setting holds while any thread writes; the last one out puts the user's value back."""
+    with _LOCK:
+        if not _WRITERS:
+            _BEFORE[0] = spark.conf.get(_CLEANUP)
+            spark.conf.set(_CLEANUP, "true")
+        _WRITERS.append(spark)
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _WRITERS.pop()
+            if not _WRITERS:
+                spark.conf.set(_CLEANUP, _BEFORE[0])
+
+
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write the rows once to the shared folder and go on from the written table.
 
@@ -54,12 +75,8 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")  # the shuffles of this write are of no use after it
-    try:
+    with _shuffles_removed(spark):  # the shuffles of this write are of no use after it
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_folder = path.rpartition("/")[0]
     return out

@@ -1,5 +1,7 @@
 """Golden examples and errors of the splitters."""
 
+from math import comb
+
 import numpy as np
 import pytest
 
@@ -83,19 +85,20 @@ def test_time_series(spark):
 
 def test_leave_out(spark):
     assert test_sets(E.leave_one_out(ids(spark, 2))) == [{0}, {1}]
-    assert test_sets(E.leave_p_out(ids(spark, 4), 2)) == [{0, 1}, {0, 2}, {0, 3}, {1, 2}, {1, 3}, {2, 3}]
-    assert [sorted(s) for s in test_sets(E.leave_p_out(ids(spark, 5), 3))][:3] == [[0, 1, 2], [0, 1, 3], [0, 1, 4]]
-    with pytest.raises(ValueError):
-        E.leave_p_out(ids(spark, 2000), 3)
+    assert test_sets(E.leave_p_out(ids(spark, 4), 2, E.every_combination(spark, 4, 2))) == [{0, 1}, {0, 2}, {0, 3}, {1, 2}, {1, 3}, {2, 3}]
+    assert [sorted(s) for s in test_sets(E.leave_p_out(ids(spark, 5), 3, E.every_combination(spark, 5, 3)))][:3] == [[0, 1, 2], [0, 1, 3], [0, 1, 4]]
+    assert test_sets(E.leave_p_out(ids(spark, 2000), 3, spark.createDataFrame([(0,), (comb(2000, 3) - 1,)], "split_id long"))) == [{0, 1, 2}, {1997, 1998, 1999}]
+    with pytest.raises(Exception, match="is none of"):
+        E.leave_p_out(ids(spark, 4), 2, spark.createDataFrame([(6,)], "split_id long")).collect()
 
 
 def test_leave_groups_out(spark):
     assert test_sets(E.leave_one_group_out(frame(spark, g=[1, 1, 2, 2]), "g")) == [{0, 1}, {2, 3}]
-    assert test_sets(E.leave_p_groups_out(frame(spark, g=[1, 2, 3]), "g", 2)) == [{0, 1}, {0, 2}, {1, 2}]
+    assert test_sets(E.leave_p_groups_out(frame(spark, g=[1, 2, 3]), "g", 2, E.every_combination(spark, 3, 2))) == [{0, 1}, {0, 2}, {1, 2}]
     with pytest.raises(ValueError):
         E.leave_one_group_out(frame(spark, g=[1, 1]), "g")
     with pytest.raises(ValueError):
-        E.leave_p_groups_out(frame(spark, g=[1, 2]), "g", 2)
+        E.leave_p_groups_out(frame(spark, g=[1, 2]), "g", 2, E.every_combination(spark, 2, 2))
 
 
 def test_shuffle_split_sizes(spark):

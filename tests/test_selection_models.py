@@ -62,14 +62,27 @@ def test_negative_settings_are_refused(data):
 
 @pytest.mark.parametrize("kind", ["linear", "poly", "rbf", "sigmoid"])
 def test_kernel_over_several_blocks(spark, data, kind, monkeypatch):
-    monkeypatch.setattr(M, "LANDMARK_BLOCK", 50)
-    monkeypatch.setattr(M, "ROWS_PER_GROUP", 40)
     x, _, rows = data
+    monkeypatch.setattr(M, "LANDMARK_BYTES", 50 * 8 * x.shape[1])
+    monkeypatch.setattr(M, "VALUE_BYTES", 7 * 8 * 50)
     plain = rows.select("sample_id", vector_to_array("features").alias("features"))
+    blocks = M.Kernel(kind).blocks(plain, M.landmark_table(plain))
+    assert blocks.count() == len(x) * -(-len(x) // 50)
     got = M.Kernel(kind, coef0=0.5).features(plain, M.landmark_table(plain)).orderBy("sample_id").toPandas()
     assert np.allclose(np.stack(got["features"]), M._kernel_matrix(kind, x, x, None, 3, 0.5))
 
 
+def test_kernel_moves_no_samples(data):
+    """Samples are multiplied where they are; without landmarks they have no values."""
+    rows = data[2].select("sample_id", vector_to_array("features").alias("features"))
+    marks = M.landmark_table(rows)
+    plan = M.Kernel("rbf").features(rows, marks)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "Exchange" not in plan
+    none = marks.where("landmark_ix < 0")
+    assert M.Kernel("rbf").blocks(rows, none).count() == 0
+    assert {len(r["features"]) for r in M.Kernel("rbf").features(rows, none).collect()} == {0}
+
+
 def test_kernel_logistic_on_all_training_rows(data):
     x, y, rows = data
     marks = M.landmark_table(rows.select("sample_id", vector_to_array("features").alias("features")))
